@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, packing, tokenfile
 from ._common import table
 
 
@@ -12,7 +12,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.encode_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_packing": op3_packing,
+    "op9_token_file": op9_token_file,
     "op10_mixing": op10_mixing,
 }
 
