@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash, tokenfile
+from . import mixing, packing, quality_rules, simhash, tokenfile, weak_quality
 from ._common import table
 
 
@@ -16,17 +16,27 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.classify(table(spark, sf_dir, "documents")).select("doc_id", "weak_label", "score", "kept")
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.encode_table(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
+    "op7_weak_quality": op7_weak_quality,
     "op9_token_file": op9_token_file,
     "op10_mixing": op10_mixing,
 }
