@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_rules, simhash, tokenfile, weak_quality
+from . import line_dedup, mixing, packing, quality_rules, simhash, tokenfile, weak_quality
 from ._common import table
 
 
@@ -24,6 +24,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs, counts=True).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.classify(table(spark, sf_dir, "documents")).select("doc_id", "weak_label", "score", "kept")
 
@@ -36,6 +41,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op7_weak_quality": op7_weak_quality,
     "op9_token_file": op9_token_file,
     "op10_mixing": op10_mixing,
