@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, packing, quality_rules, simhash, tokenfile, weak_quality
+from . import interpolation, line_dedup, mixing, packing, permutation_index, quality_rules, simhash, tokenfile, weak_quality
 from ._common import table
 
 
@@ -29,6 +29,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs, counts=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op5_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
+def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.classify(table(spark, sf_dir, "documents")).select("doc_id", "weak_label", "score", "kept")
 
@@ -42,6 +50,8 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_interpolation": op5_interpolation,
+    "op8_permutation_index": op8_permutation_index,
     "op7_weak_quality": op7_weak_quality,
     "op9_token_file": op9_token_file,
     "op10_mixing": op10_mixing,
