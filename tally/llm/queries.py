@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import interpolation, line_dedup, mixing, packing, permutation_index, quality_rules, simhash, tokenfile, weak_quality
+from . import interpolation, language_crf, line_dedup, mixing, packing, permutation_index, quality_rules, simhash, tokenfile, weak_quality
 from ._common import table
 
 
@@ -33,6 +33,10 @@ def op5_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(table(spark, sf_dir, "documents"))
 
 
+def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_interpolation": op5_interpolation,
+    "op6_language_crf": op6_language_crf,
     "op8_permutation_index": op8_permutation_index,
     "op7_weak_quality": op7_weak_quality,
     "op9_token_file": op9_token_file,
