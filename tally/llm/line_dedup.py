@@ -2,10 +2,11 @@ r"""Fuzzy line dedup over the whole corpus, on DataFrame functions alone.
 
 Lines are normalised (lower case, digits as 0, white space runs as one blank);
 lines of fewer than ``MIN_WORDS`` words stay as they are. Equal normalised lines
-are one id (their XXH64). Different ones are compared where their SimHashes, over
-the distinct words, differ in at most three of 64 bits: of five blocks two agree
-then, so that a join on ten keys of two blocks finds every such pair. A pair is
-linked if its edit similarity, 1 - distance / longer length, is at least 0.8
+are one id (their XXH64). Different ones are compared where two of five blocks of
+their SimHashes, over the distinct words, agree, which a join on ten keys of two
+blocks finds, and at most eight of all 64 bits differ. Pairs that differ in up to
+three bits always have two such blocks, pairs that differ in more often do. A
+pair is linked if its edit similarity, 1 - distance / longer length, is at least 0.8
 (over ``LONG`` characters, where the distance would take hours: if at least 0.8
 of all their distinct words are in both). Of all lines in one connected group the
 first, by doc_id, row and place, stays; the others go. A document that loses all
@@ -34,7 +35,7 @@ from .graph import components
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
-BUDGET = 3
+BUDGET = 8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 LONG = 4096
 _MOST = 16383
