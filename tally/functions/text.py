@@ -91,9 +91,9 @@ def words(c) -> Column:
     """Lower-case words of a name up to its first bracket, version tags left out."""
     low = F.lower(F.regexp_replace(_col(c), r"[(\[].*$", ""))
     parts = F.split(low, r"[^\p{L}\p{N}.]+")
-    cut = F.transform(parts, lambda w: F.regexp_replace(w, r"(?<=\p{L})[0-9]+(?:\.[0-9]+)+$", ""))
-    flat = F.flatten(F.transform(F.filter(cut, lambda w: ~w.rlike(r"^(?:v|rev)?[0-9]+(?:\.[0-9]+)+$")), lambda w: F.split(w, r"\.")))
-    return F.filter(flat, lambda w: w != "")
+    named = F.filter(parts, lambda w: ~w.rlike(r"^(?:v|rev)?[0-9]+(?:\.[0-9]+)+$"))
+    cut = F.transform(named, lambda w: F.regexp_replace(w, r"(?<=\p{L})[0-9]+(?:\.[0-9]+)+$", ""))
+    return F.filter(F.flatten(F.transform(cut, lambda w: F.split(w, r"\."))), lambda w: w != "")
 
 
 def is_sequel(word: Column) -> Column:
