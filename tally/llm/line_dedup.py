@@ -16,7 +16,11 @@ A group of many similar lines is not expanded into pairs: each key first links
 its lines to the least of them, and only lines that are in different components
 after that are compared with each other. What the second join leaves out joins
 nothing new, so no link is lost. Only lines that share a key with another leave
-the window that counts keys, and lines are fetched for verified pairs alone.
+the window that counts keys.
+
+Texts are moved once: into a table bucketed by row number. SimHashes are sums by
+row and line, the lines of candidate pairs are fetched by row, and the result is
+cut by row, all of which the buckets already hold together.
 
 Defined results: null and empty texts, and short lines, pass unchanged; rows of
 the same doc_id are documents of their own; an empty table gives an empty
@@ -30,14 +34,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import word_count, written
+from ._common import new_path, word_count, written
 from .graph import components
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
 BUDGET = 8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-LONG = 4096
+LONG = 1024
 _MOST = 16383
 #: 16-bit lanes of a long: their low bits, and the bits that say over half.
 _ONES, _OVER = 0x0001000100010001, 0x4000400040004000
@@ -48,27 +52,20 @@ def normalised(line: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(low, "[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
 
 
-def line_simhash(norm: Column) -> Column:
-    """SimHash of a normalised line as a long: sixteen sums of four 16-bit counters each."""
-    hashes = F.array_distinct(F.transform(F.split(norm, " "), lambda w: F.xxhash64(w)))
-    hashes = F.when(F.size(hashes) > _MOST, F.slice(F.array_sort(hashes), 1, _MOST)).otherwise(hashes)
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"s{k}") for k in range(16)], F.lit(0).cast("long").alias("n"))
-    ones = F.lit(_ONES)
-
-    def add(acc: Column, h: Column) -> Column:
-        lanes = [(acc[f"s{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(ones)).alias(f"s{k}") for k in range(16)]
-        return F.struct(*lanes, (acc["n"] + 1).alias("n"))
+def simhash_sums(h: str) -> list[Column]:
+    """Aggregates over the hashes of a line's words: sixteen sums of four 16-bit counters, and their number."""
+    sums = [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_ONES))).alias(f"s{k}") for k in range(16)]
+    return [*sums, F.count("*").alias("n")]
 
-    def bits(acc: Column) -> Column:
-        # lifted, a lane has bit 14 if its count is over half of n
-        lift = F.lit(_ONES) * (F.lit(_MOST) - F.floor(acc["n"] / 2))
-        out = None
-        for k in range(16):
-            bit = F.shiftleft(F.shiftrightunsigned((acc[f"s{k}"] + lift).bitwiseAND(F.lit(_OVER)), 14), k)
-            out = bit if out is None else out.bitwiseOR(bit)
-        return out
 
-    return F.aggregate(hashes, zero, add, bits)
+def simhash_bits() -> Column:
+    """SimHash from simhash_sums: lifted, a lane has bit 14 if its count is over half of n."""
+    lift = F.lit(_ONES) * (F.lit(_MOST) - F.floor(F.col("n") / 2))
+    out = None
+    for k in range(16):
+        bit = F.shiftleft(F.shiftrightunsigned((F.col(f"s{k}") + lift).bitwiseAND(F.lit(_OVER)), 14), k)
+        out = bit if out is None else out.bitwiseOR(bit)
+    return out
 
 
 def _keys(simhash: Column) -> Column:
@@ -81,21 +78,36 @@ def _close(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BUDGET
 
 
-def _prepared(docs: DataFrame, min_words: int) -> DataFrame:
-    """docs with _row and _lines: an (id, simhash) for each line, null where the line is short."""
-    # one pass over the lines: norm, then its id and SimHash
-    lines = F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) >= 2 * min_words - 1, normalised(x)))
-    norm = F.transform(lines, lambda x: F.when(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) >= min_words - 1, x))
-    marked = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_norm", norm)
-    pair = F.transform("_norm", lambda x: F.when(x.isNotNull(), F.struct(F.xxhash64(x).alias("id"), line_simhash(x).alias("sh"))))
-    return written(marked.withColumn("_lines", pair).drop("_norm"), "lines")
-
-
-def _linked(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) whose lines are similar enough."""
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    lines = prepared.select(F.explode(F.arrays_zip(F.split("text", "\n").alias("line"), F.col("_lines.id").alias("id"))).alias("x")).select("x.line", "x.id").where("id is not null")
-    texts = lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")).select("id", normalised(F.col("line")).alias("line"))
+def _prepared(docs: DataFrame) -> DataFrame:
+    """docs with a row number, in a table bucketed by it: joins and sums by row need no shuffle of texts."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, "lines")
+    name = "tally_" + path.rsplit("-", 1)[1]
+    rows = docs.withColumn("_row", F.monotonically_increasing_id()).repartition(n, "_row")
+    rows.write.option("compression", "zstd").option("path", path).bucketBy(n, "_row").sortBy("_row").saveAsTable(name)
+    return spark.table(name)
+
+
+def _lines(prepared: DataFrame, min_words: int) -> DataFrame:
+    """_row, _id (the doc_id), _pos, id, sh of every line that is long enough."""
+    lines = prepared.select("_row", F.col("doc_id").alias("_id"), F.posexplode(F.split("text", "\n")).alias("_pos", "line"))
+    norms = lines.where(F.length("line") >= 2 * min_words - 1).select("_row", "_id", "_pos", normalised(F.col("line")).alias("norm"))
+    parts = norms.select("_row", "_id", "_pos", F.xxhash64("norm").alias("id"), F.split("norm", " ").alias("words")).where(F.size("words") >= min_words)
+    words = parts.withColumn("words", F.array_distinct("words"))
+    ranked = F.array_sort(F.transform("words", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
+    few = F.when(F.size("words") > _MOST, F.transform(F.slice(ranked, 1, _MOST), lambda x: x["w"])).otherwise(F.col("words"))
+    hashes = words.select("_row", "_id", "_pos", "id", F.explode(few).alias("word")).select("_row", "_id", "_pos", "id", F.xxhash64("word").alias("h"))
+    sums = hashes.groupBy("_row", "_id", "_pos", "id").agg(*simhash_sums("h"))
+    return written(sums.select("_row", "_id", "_pos", "id", simhash_bits().alias("sh")), "lines-hashes")
+
+
+def _linked(pairs: DataFrame, distinct: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose lines are similar enough; a line is read at its first place."""
+    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct().join(distinct, "id")
+    places = wanted.groupBy(F.col("at._row").alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct("at._pos", "id"))).alias("_want"))
+    lines = prepared.select("_row", "text").join(places, "_row").select("_want", F.posexplode(F.split("text", "\n")).alias("_pos", "line"))
+    texts = lines.withColumn("id", F.try_element_at("_want", F.col("_pos"))).where("id is not null").select("id", normalised(F.col("line")).alias("line"))
     texts = written(texts, "lines-texts")
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
     longer, shorter = F.greatest(F.length("a"), F.length("b")), F.least(F.length("a"), F.length("b"))
@@ -106,23 +118,25 @@ def _linked(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
     return both.where(similar).select("u", "v")
 
 
-def groups(prepared: DataFrame) -> DataFrame:
+def groups(lines: DataFrame, prepared: DataFrame) -> DataFrame:
     """(node, root): ids of lines that are linked to others, with the least id of their component."""
-    distinct = prepared.select(F.explode("_lines").alias("x")).where("x is not null").select("x.id", "x.sh").groupBy("id").agg(F.min("sh").alias("sh"))
+    distinct = written(lines.groupBy("id").agg(F.min("sh").alias("sh"), F.min(F.struct("_row", "_pos")).alias("at")), "lines-distinct")
     keyed = distinct.select(F.explode(_keys(F.col("sh"))).alias("key"), "id", "sh")
     by_key = Window.partitionBy("key")
     least = F.min(F.struct("id", "sh")).over(by_key)
     shared = keyed.select("key", "id", "sh", F.count("*").over(by_key).alias("n"), least.alias("least")).where("n > 1")
     shared = written(shared.select("key", "id", "sh", F.col("least.id").alias("first"), F.col("least.sh").alias("first_sh")), "lines-keys")
     near = shared.where(F.col("id") != F.col("first")).where(_close("sh", "first_sh")).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
-    stars = written(_linked(written(near, "lines-pairs"), prepared), "lines-links")
+    stars = written(_linked(written(near, "lines-pairs"), distinct, prepared), "lines-links")
     roots = written(components(stars), "lines-roots")
     known = shared.join(roots, shared["id"] == roots["node"], "left").select("key", "id", "sh", F.coalesce("root", "id").alias("root"))
     a, b = known.select("key", *[F.col(c).alias(f"a_{c}") for c in ("id", "sh", "root")]), known.select("key", *[F.col(c).alias(f"b_{c}") for c in ("id", "sh", "root")])
     rest = a.join(b, (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & _close("a_sh", "b_sh"))
     rest = written(rest.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).distinct(), "lines-pairs")
-    more = written(_linked(rest, prepared), "lines-links")
-    return written(components(stars.unionByName(more)), "lines-roots")
+    more = written(_linked(rest, distinct, prepared), "lines-links")
+    if more.isEmpty():
+        return roots
+    return written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "lines-roots")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
@@ -130,14 +144,14 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False) ->
 
     counts: keep every document, and add n_lines and n_removed.
     """
-    prepared = _prepared(docs, min_words)
-    roots = groups(prepared)
-    seen = prepared.select("_row", F.col("doc_id").alias("_id"), F.posexplode("_lines.id").alias("_pos", "id")).where("id is not null")
-    seen = seen.join(roots, seen["id"] == roots["node"], "left").select(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row", "_pos").alias("at"), F.coalesce("root", "id").alias("root"))
+    prepared = _prepared(docs)
+    lines = _lines(prepared, min_words)
+    roots = groups(lines, prepared)
+    seen = lines.join(roots, lines["id"] == roots["node"], "left").select(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row", "_pos").alias("at"), F.coalesce("root", "id").alias("root"))
     seen = written(seen, "lines-places")
     firsts = seen.groupBy("root").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
     gone = seen.join(firsts, "root").where(~F.col("at").eqNullSafe(F.col("first"))).groupBy(F.col("at._row").alias("_row")).agg(F.collect_list("at._pos").alias("_gone"))
-    rows = prepared.drop("_lines").join(gone, "_row", "left")
+    rows = prepared.join(gone, "_row", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     rows = rows.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
     columns = []

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import hashing, text
+from ..functions import hashing, naming, text
 from ..operators import bind, browse, diff, fuzzy, groups, match, pick, quality, relational, state
+from ..streaming import streams
 from . import catalogue as cat
 from .catalogue import ENTRIES_SQL, table
 
@@ -239,14 +241,14 @@ def null_aware_not_in(spark, d):
 
 
 @query("""WITH offers AS (SELECT p_partkey AS offer, p_name AS name, substr(p_type, 1, 5) AS base, p_size AS size FROM part WHERE p_partkey % 2 = 0),
-items AS (SELECT p_partkey AS item, p_name AS name, substr(p_type, 1, 5) AS base, p_size AS size, p_brand AS domain FROM part WHERE p_partkey % 20 = 1),
-named AS (SELECT offer, item, domain FROM offers JOIN items USING (name)), based AS (SELECT offer, item, domain FROM offers JOIN items USING (base, size))
+items AS (SELECT min(p_partkey) AS item, p_name AS name, substr(p_type, 1, 5) AS base, p_size AS size, p_brand AS domain FROM part WHERE p_partkey % 2 = 1 GROUP BY ALL),
+named AS (SELECT offer, item, domain FROM offers JOIN items USING (name, size)), based AS (SELECT offer, item, domain FROM offers JOIN items USING (base, size))
 SELECT *, 'name' AS "by" FROM named UNION ALL SELECT *, 'base' FROM based b WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.offer = b.offer AND n.domain = b.domain)""")
 def name_then_base_fallback(spark, d):
     part = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.substring("p_type", 1, 5).alias("base"), F.col("p_size").alias("size"), F.col("p_brand").alias("domain"))
     offers = part.where("p_partkey % 2 = 0").drop("domain").withColumnRenamed("p_partkey", "offer")
-    items = part.where("p_partkey % 20 = 1").withColumnRenamed("p_partkey", "item")
-    return match.name_then_base(offers, items, "name", ["base", "size"], "domain", "offer", "item")
+    items = part.where("p_partkey % 2 = 1").groupBy("name", "base", "size", "domain").agg(F.min("p_partkey").alias("item"))
+    return match.name_then_base(offers, items, ["name", "size"], ["base", "size"], "domain", "offer", "item")
 
 
 @query("""SELECT l_partkey AS item, l_suppkey AS source, 0::INT AS confidence, sum(l_quantity)::BIGINT AS held FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL
@@ -279,12 +281,12 @@ def members_exact(spark, d):
     return match.members_exact(rows.where("l_returnflag <> 'A'"), rows.where("l_linestatus = 'F'"), ["l_orderkey"], ["l_partkey"])
 
 
-@query("""WITH a AS (SELECT DISTINCT o_custkey AS root, translate(o_orderpriority, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM orders), b AS (SELECT DISTINCT o_custkey AS other, lower(o_orderpriority) AS key FROM orders WHERE o_custkey % 10 = 1 AND o_totalprice > 400000)
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS root, translate(o_orderpriority, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM orders), b AS (SELECT DISTINCT o_custkey AS other, lower(o_orderpriority) AS key FROM orders WHERE o_orderstatus = 'F')
 SELECT root, other, key FROM a JOIN b USING (key) WHERE root = other""")
 def nocase_join(spark, d):
     orders = table(spark, d, "orders")
     a = orders.select(F.col("o_custkey").alias("root"), text.ascii_lower("o_orderpriority").alias("key")).distinct()
-    b = orders.where("o_custkey % 10 = 1 AND o_totalprice > 400000").select(F.col("o_custkey").alias("other"), text.ascii_lower("o_orderpriority").alias("key")).distinct()
+    b = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("other"), text.ascii_lower("o_orderpriority").alias("key")).distinct()
     return a.join(b, (a["key"] == b["key"]) & (F.col("root") == F.col("other"))).select("root", "other", a["key"])
 
 
@@ -637,3 +639,57 @@ def longest_pattern(spark, d):
     names = table(spark, d, "part").select(text.ascii_lower("p_name").alias("name")).distinct()
     patterns = spark.createDataFrame([("colour", "red", 0), ("thing", "red widget", 1), ("thing", "ring", 2), ("heat", "hot", 3), ("size", "small", 4)], "domain string, pattern string, place int")
     return bind.longest_pattern(names, "name", patterns, "domain", "pattern")
+
+
+@query("SELECT doc_id, trim(regexp_replace(translate(lower(nfc_normalize(substr(text, 1, 200))), '&*/:`<>?\\|\"', '___________'), '\\s+', ' ', 'g')) AS name FROM documents")
+def normalize_name(spark, d):
+    return table(spark, d, "documents").select("doc_id", naming.normalize_for_match(F.substring("text", 1, 200)).alias("name"))
+
+
+@query()
+def release_names(spark, d):
+    """Names of parts as release names with made-up tags, parsed and picked by region."""
+    name = F.concat("p_name", F.lit(" ("), F.element_at(F.array(F.lit("USA"), F.lit("Japan, Europe"), F.lit("Korea")), (F.col("p_partkey") % 3 + 1).cast("int")), F.lit(") (Rev "), (F.col("p_size") % 9).cast("string"), F.lit(")"))
+    parsed = table(spark, d, "part").select("p_partkey", naming.parsed_name(name).alias("n")).select("p_partkey", "n.*").withColumn("group", F.lower("base_name"))
+    order = [pick.list_rank(F.col("regions"), ["Europe", "USA"]), F.desc("version"), F.desc("stage"), F.col("p_partkey")]
+    return pick.pick(parsed, ["group"], order, hidden=F.arrays_overlap("flags", F.array(*map(F.lit, naming.HIDDEN_FLAGS)))).select("group", "p_partkey", "regions", "version")
+
+
+@query("SELECT name FROM (SELECT lower(p_name) AS name FROM part) GROUP BY 1")
+def interned_names(spark, d):
+    return table(spark, d, "part").select(text.ascii_lower("p_name").alias("name")).distinct()
+
+
+def _stream(spark, d, name: str) -> DataFrame:
+    rows = table(spark, d, name)
+    # a pattern, since the file source takes a plain path for a directory
+    return spark.readStream.schema(rows.schema).parquet(f"{d}/{name}.parque[t]")
+
+
+def _drained(df: DataFrame, mode: str) -> DataFrame:
+    """All that a stream gives on the files there are now."""
+    sink = f"stream_{uuid.uuid4().hex}"
+    df.writeStream.format("memory").queryName(sink).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.table(sink)
+
+
+@query(ORACLES["throttle_per_phase"].replace("len(ev)::BIGINT AS events FROM f", "FROM f").replace("s.kept AS kept, ", "s.kept AS kept "))
+def stream_throttle(spark, d):
+    """The streaming throttle over all events in one micro-batch: as many pass as in the batch form."""
+    rows = _stream(spark, d, "events").withColumn("seconds", F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    passed = _drained(streams.throttled(rows, "user_id", "event_type", "seconds", "event_id", 3600.0), "append")
+    return passed.groupBy("user_id").agg(F.count("*").alias("kept"))
+
+
+@query("SELECT user_id, floor(epoch(ts) / 86400)::BIGINT AS day, count(*) AS n FROM events GROUP BY ALL")
+def stream_daily_counts(spark, d):
+    rows = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _drained(streams.windowed_counts(rows, "user_id", "ts", "1 day", "1 hour"), "complete")
+    return out.select("user_id", F.floor(F.unix_timestamp("start") / 86400).alias("day"), "n")
+
+
+@query(ORACLES["session_runs"])
+def stream_sessions(spark, d):
+    rows = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _drained(streams.sessions(rows, "user_id", "ts", "4 hours", "1 hour"), "complete")
+    return out.select("user_id", "n", F.unix_timestamp("start").alias("first"))
