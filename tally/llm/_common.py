@@ -34,8 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local[sc.applicationId]
 
 
+_paths: list[tuple[SparkSession, str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tally/{label}-{uuid.uuid4().hex}"
+    """A path for a table that this process needs until it ends."""
+    path = f"{shared_dir(spark)}/tally/{label}-{uuid.uuid4().hex}"
+    _paths.append((spark, path))
+    return path
+
+
+@atexit.register
+def _sweep() -> None:
+    """Tables of this process go with it, as far as its Spark still runs."""
+    for spark, path in _paths:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # a stopped session cannot delete; its folder is the user's to clear
+            return
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -45,6 +62,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def written_by(df: DataFrame, label: str, key: str) -> DataFrame:
+    """df as a table in buckets of a key: later joins and sums by the key alone need no shuffle of it.
+
+    The rows are not shuffled here either; to have few files, deal them out by the key first.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = "tally_" + path.rsplit("-", 1)[1]
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets(spark), key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by written() that nothing reads any more."""
     jvm = df.sparkSession._jvm

@@ -6,9 +6,8 @@ are one id (their XXH64). Different ones are compared where two of five blocks o
 their SimHashes, over the distinct words, agree, which a join on ten keys of two
 blocks finds, and at most eight of all 64 bits differ. Pairs that differ in up to
 three bits always have two such blocks, pairs that differ in more often do. A
-pair is linked if its edit similarity, 1 - distance / longer length, is at least 0.8
-(over ``LONG`` characters, where the distance would take hours: if at least 0.8
-of all their distinct words are in both). Of all lines in one connected group the
+pair is linked if its edit similarity, 1 - distance / longer length in words, is
+at least 0.8. Of all lines in one connected group the
 first, by doc_id, row and place, stays; the others go. A document that loses all
 its words goes, too.
 
@@ -34,22 +33,27 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import new_path, word_count, written
+from ._common import buckets, word_count, written, written_by
 from .graph import components
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
 BUDGET = 8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-LONG = 1024
 _MOST = 16383
 #: 16-bit lanes of a long: their low bits, and the bits that say over half.
 _ONES, _OVER = 0x0001000100010001, 0x4000400040004000
 
 
-def normalised(line: Column) -> Column:
-    low = F.lower(line)
-    return F.btrim(F.regexp_replace(F.regexp_replace(low, "[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
+def line_words(line: Column) -> Column:
+    """Words of a line in lower case, with digits as 0."""
+    return F.array_remove(F.split(F.translate(F.lower(line), "123456789", "000000000"), r"[\x20\x09-\x0D]+"), "")
+
+
+def word_codes(words: Column) -> Column:
+    """A text of one character a word, by a hash, so that Levenshtein distance counts words."""
+    code = F.transform(words, lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(0x5000)) + F.lit(0x3000)))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
 def simhash_sums(h: str) -> list[Column]:
@@ -80,20 +84,15 @@ def _close(a: str, b: str) -> Column:
 
 def _prepared(docs: DataFrame) -> DataFrame:
     """docs with a row number, in a table bucketed by it: joins and sums by row need no shuffle of texts."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = new_path(spark, "lines")
-    name = "tally_" + path.rsplit("-", 1)[1]
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).repartition(n, "_row")
-    rows.write.option("compression", "zstd").option("path", path).bucketBy(n, "_row").sortBy("_row").saveAsTable(name)
-    return spark.table(name)
+    rows = docs.withColumn("_row", F.monotonically_increasing_id()).repartition(buckets(docs.sparkSession), "_row")
+    return written_by(rows, "lines", "_row")
 
 
 def _lines(prepared: DataFrame, min_words: int) -> DataFrame:
     """_row, _id (the doc_id), _pos, id, sh of every line that is long enough."""
     lines = prepared.select("_row", F.col("doc_id").alias("_id"), F.posexplode(F.split("text", "\n")).alias("_pos", "line"))
-    norms = lines.where(F.length("line") >= 2 * min_words - 1).select("_row", "_id", "_pos", normalised(F.col("line")).alias("norm"))
-    parts = norms.select("_row", "_id", "_pos", F.xxhash64("norm").alias("id"), F.split("norm", " ").alias("words")).where(F.size("words") >= min_words)
+    parts = lines.where(F.length("line") >= 2 * min_words - 1).select("_row", "_id", "_pos", line_words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
+    parts = parts.select("_row", "_id", "_pos", F.xxhash64(F.array_join("words", " ")).alias("id"), "words")
     words = parts.withColumn("words", F.array_distinct("words"))
     ranked = F.array_sort(F.transform("words", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
     few = F.when(F.size("words") > _MOST, F.transform(F.slice(ranked, 1, _MOST), lambda x: x["w"])).otherwise(F.col("words"))
@@ -107,15 +106,13 @@ def _linked(pairs: DataFrame, distinct: DataFrame, prepared: DataFrame) -> DataF
     wanted = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct().join(distinct, "id")
     places = wanted.groupBy(F.col("at._row").alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct("at._pos", "id"))).alias("_want"))
     lines = prepared.select("_row", "text").join(places, "_row").select("_want", F.posexplode(F.split("text", "\n")).alias("_pos", "line"))
-    texts = lines.withColumn("id", F.try_element_at("_want", F.col("_pos"))).where("id is not null").select("id", normalised(F.col("line")).alias("line"))
+    texts = lines.withColumn("id", F.try_element_at("_want", F.col("_pos"))).where("id is not null").select("id", word_codes(line_words(F.col("line"))).alias("line"))
     texts = written(texts, "lines-texts")
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
     longer, shorter = F.greatest(F.length("a"), F.length("b")), F.least(F.length("a"), F.length("b"))
     room = f"cast(floor(greatest(length(a), length(b)) * {1 - SIMILARITY:.6f} + 0.000001) as int)"
     edits = F.expr(f"levenshtein(a, b, {room}) between 0 and {room}")
-    words = F.size(F.array_intersect(F.split("a", " "), F.split("b", " "))) >= SIMILARITY * F.size(F.array_union(F.split("a", " "), F.split("b", " ")))
-    similar = F.when(longer > LONG, words).otherwise((shorter >= SIMILARITY * longer - 0.000001) & edits)
-    return both.where(similar).select("u", "v")
+    return both.where((shorter >= SIMILARITY * longer - 0.000001) & edits).select("u", "v")
 
 
 def groups(lines: DataFrame, prepared: DataFrame) -> DataFrame:
