@@ -1,7 +1,7 @@
 """Language of texts by a linear-chain conditional random field over words.
 
 A word's features are its affixes (up to three letters at either end), its
-letter pairs and triples, and its entries in lexicons of frequent words, hashed
+letter triples, and its entries in lexicons of frequent words, hashed
 into ``DIMENSIONS`` weights a language; transitions between the languages of
 neighbouring words are learned with them. Training sequences are stretches of
 labelled documents, one to three of them joined, so that the transitions see
@@ -21,72 +21,129 @@ is ``und``; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, written
+from ._common import written
 
 FIT = 400
 LEXICON = 300
-DIMENSIONS = 1 << 15
+BITS = 15
+DIMENSIONS = 1 << BITS
 MODULUS, HELD_OUT = 3, 1
 STRETCH = 24
 EPOCHS = 6
 #: Words whose emissions a worker keeps; a full cache starts anew.
-CACHE = 300_000
+CACHE = 400_000
 #: Words that go through the chain together.
 GROUP = 200_000
 
 
 def letters(word: str) -> str:
-    return "".join(c for c in word if c.isalpha()).lower()
+    return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Feature numbers of a word of letters; none for one without."""
-    if not word:
-        return []
-    w = f"<{word}>"
-    names = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)]
-    names += [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
-    found = [zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIMENSIONS for x in names]
-    mask = lexicon.get(word, 0)
-    return found + [DIMENSIONS + k for k in range(mask.bit_length()) if mask >> k & 1]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of words of letters, word after word, and how many each has.
 
+    On the UTF-8 bytes of <word>: all triples, and the pairs and quadruples at
+    either end, which with the triples there are the affixes. An empty word has none.
+    """
+    raw = [b"<" + w.encode("utf-8", "surrogatepass") + b">" if w else b"" for w in words]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    data = np.frombuffer(b"".join(raw) + b"\0\0\0", np.uint8).astype(np.uint64)
+    start = np.cumsum(size) - size
+    some = size > 0
+    grams = {2: data[:-1] * 257 + data[1:] + (2 << 40)}
+    grams[3] = grams[2][:-1] * 263 + data[2:]
+    grams[4] = grams[3][:-1] * 269 + data[3:] + (4 << 50)
+    triples = np.maximum(size - 2, 0)
+    word = np.repeat(np.arange(len(raw)), triples)
+    at = np.arange(len(word)) - np.repeat(np.cumsum(triples) - triples, triples) + start[word]
+    where, code = [word], [grams[3][at]]
+    for n in (2, 4):
+        long = np.flatnonzero(some & (size >= n))
+        where += [long, long]
+        code += [grams[n][start[long]], grams[n][start[long] + size[long] - n] + 1]
+    word, code = np.concatenate(where), np.concatenate(code)
+    order = np.argsort(word, kind="stable")
+    mixed = code[order] * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - BITS)).astype(np.int64), np.bincount(word, minlength=len(raw))
+
+
+def _times(a: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """a @ moves over the last axis, as sums over the few states."""
+    out = a[..., :1] * moves[0]
+    for k in range(1, len(moves)):
+        out = out + a[..., k : k + 1] * moves[k]
+    return out
 
-def forward_backward(emissions: np.ndarray, sizes: np.ndarray, start: np.ndarray, moves: np.ndarray) -> np.ndarray:
+
+def forward_backward(emissions: np.ndarray, sizes: np.ndarray, start: np.ndarray, moves: np.ndarray, block: int = 64) -> np.ndarray:
     """Posteriors of all positions of many chains (rows of emissions, chain after chain).
 
-    Chains go side by side, longest first, one step of all that are long enough at a time.
+    Chains are cut into blocks that go side by side. A block's product of moves
+    and emissions carries vectors over it, so that chains of any length take a
+    step a block for what comes in from both ends, and the steps of one block
+    for the rest. The result is that of the plain recursions.
     """
-    order = np.argsort(-sizes, kind="stable")
-    first = (np.cumsum(sizes) - sizes)[order]
-    size = sizes[order]
-    steps = int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(1, steps + 1), "right")  # chains of at least t + 1 words
-    e = np.exp(emissions - emissions.max(1, keepdims=True))
-    alpha = np.empty_like(e)
-    now = None
-    for t in range(steps):
-        at = first[: live[t]] + t
-        now = e[at] * (start if now is None else now[: live[t]] @ moves)
-        now /= now.sum(1, keepdims=True)
-        alpha[at] = now
-    back = moves.T.copy()
-    beta, after = np.ones((len(size), e.shape[1])), 0
-    for t in range(steps - 1, -1, -1):
-        n = live[t]
-        at = first[:n] + t
-        if after:
-            step = (e[at[:after] + 1] * beta[:after]) @ back
-            beta[:after] = step / step.sum(1, keepdims=True)
-        alpha[at] *= beta[:n]
-        after = n
-    return alpha / alpha.sum(1, keepdims=True)
+    n, states = len(emissions), len(moves)
+    if not n:
+        return np.empty((0, states))
+    sizes = np.asarray(sizes)
+    sizes = sizes[sizes > 0]
+    blocks = -(-sizes // block)
+    chain = np.repeat(np.arange(len(sizes)), blocks)
+    head = np.cumsum(blocks) - blocks  # a chain's first block
+    place = np.arange(len(chain)) - head[chain]
+    length = np.minimum(block, sizes[chain] - place * block)
+    at = ((np.cumsum(sizes) - sizes)[chain] + place * block)[:, None] + np.arange(block)
+    live = np.arange(block) < length[:, None]
+    e = np.exp(emissions - emissions.max(1, keepdims=True))[np.minimum(at, n - 1)]
+    begins = place == 0
+    full = int((length == block).all()) and block or int(length.min())  # up to here no block has ended
+    carry = np.broadcast_to(np.eye(states), (len(chain), states, states)).copy()
+    for t in range(block):
+        step = _times(carry, moves)
+        if t == 0:
+            step[begins] = carry[begins]
+        step *= e[:, t, None, :]
+        if t >= full:
+            step = np.where(live[:, t, None, None], step, carry)
+        carry = step / step.sum((1, 2), keepdims=True) if t % 4 == 3 else step
+    # vectors that come in from the left and from the right of each block
+    left, right = np.empty((len(chain), states)), np.ones((len(chain), states))
+    left[begins] = start
+    order = np.argsort(-blocks, kind="stable")
+    heads, counts = head[order], blocks[order]
+    for j in range(1, int(counts[0])):
+        b = heads[: np.searchsorted(-counts, -j, "left")] + j
+        v = (left[b - 1][:, :, None] * carry[b - 1]).sum(1)
+        left[b] = v / v.sum(1, keepdims=True)
+    for j in range(int(counts[0]) - 1, 0, -1):
+        b = heads[: np.searchsorted(-counts, -j, "left")] + j
+        v = (carry[b] * right[b][:, None, :]).sum(2)
+        right[b - 1] = v / v.sum(1, keepdims=True)
+    alpha, now = np.empty_like(e), left
+    for t in range(block):
+        step = _times(now, moves)
+        if t == 0:
+            step[begins] = now[begins]
+        step = step * e[:, t]
+        now = step / step.sum(1, keepdims=True)
+        alpha[:, t] = now
+    now, back = right, moves.T
+    for t in range(block - 1, -1, -1):
+        alpha[:, t] *= now
+        step = _times(e[:, t] * now, back)
+        step /= step.sum(1, keepdims=True)
+        now = np.where(live[:, t, None], step, now) if t >= full else step
+    out = alpha[live]
+    return out / out.sum(1, keepdims=True)
 
 
 class Model:
@@ -97,45 +154,42 @@ class Model:
 
     def open(self) -> Model:
         self.cache: dict[bytes, int] = {}
-        self.rows = np.zeros((1 << 12, len(self.langs)))
-        self.sizes = np.zeros(1 << 12, np.int32)
+        self.table = np.empty((0, len(self.langs) + 1))
         return self
 
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Emissions of words of letters in each language."""
+        code, size = features(words)
+        word = np.repeat(np.arange(len(words)), size)
+        out = np.stack([np.bincount(word, self.weights[code, c], len(words)) for c in range(len(self.langs))], axis=1)
+        for k, w in enumerate(words):
+            if mask := self.lexicon.get(w):
+                out[k] += sum(self.weights[DIMENSIONS + c] for c in range(mask.bit_length()) if mask >> c & 1)
+        return out
+
     def look(self, words: list[bytes]) -> np.ndarray:
-        """Rows of the cache for the words of one text."""
+        """Emissions, and in the last column the number of letters, of each word."""
         found = list(map(self.cache.get, words))
         if None in found:
-            if len(self.cache) + len(words) > max(CACHE, 2 * len(words)):
-                self.cache.clear()
-                return self.look(words)
-            for k, row in enumerate(found):
-                if row is None:
-                    found[k] = self._add(words[k])
-        return np.array(found, np.int64)
-
-    def _add(self, word: bytes) -> int:
-        if (n := self.cache.get(word)) is not None:
-            return n
-        n = self.cache[word] = len(self.cache)
-        if n == len(self.rows):
-            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-            self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
-        plain = letters(word.decode("utf-8", "replace"))
-        at = features(plain, self.lexicon)
-        self.rows[n] = self.weights[at].sum(0) if at else 0
-        self.sizes[n] = len(plain)
-        return n
+            if len(self.cache) > CACHE:
+                self.open()
+                found = [None] * len(words)
+            new = list(dict.fromkeys(w for w, k in zip(words, found, strict=True) if k is None))
+            plain = [letters(w.decode("utf-8", "replace")) for w in new]
+            size = np.fromiter(map(len, plain), float, len(plain))
+            rows = np.concatenate((self.emissions(plain), size[:, None]), axis=1)
+            self.cache.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+            self.table = np.concatenate((self.table, rows))
+            found = list(map(self.cache.__getitem__, words))
+        return self.table[np.array(found, np.int64)]
 
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         """(language, share of its letters) of each text."""
-        emissions, weights, sizes = [], [], []
-        for text in texts:
-            rows = self.look(text.split()) if text else np.empty(0, np.int64)
-            emissions.append(self.rows[rows])
-            weights.append(self.sizes[rows])
-            sizes.append(len(rows))
-        sizes, weight = np.array(sizes), np.concatenate(weights).astype(float)
-        posterior = forward_backward(np.concatenate(emissions), sizes, self.start, self.moves)
+        words = [text.split() if text else [] for text in texts]
+        sizes = np.array(list(map(len, words)))
+        rows = self.look([w for text in words for w in text])
+        weight = rows[:, -1]
+        posterior = forward_backward(rows[:, :-1], sizes, self.start, self.moves)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         share = np.stack([np.bincount(doc, weight * posterior[:, k], len(sizes)) for k in range(len(self.langs))], axis=1)
         total = share.sum(1)
@@ -165,15 +219,17 @@ def train(texts: list[str], labels: list[str], lexicon: dict[str, int], langs: l
     rng, n = np.random.default_rng(seed), len(langs)
     weights, moves, start = np.zeros((DIMENSIONS + n, n)), np.eye(n) * 2.0, np.zeros(n)
     seen_w, seen_m, seen_s = np.full(weights.shape, 1e-6), np.full(moves.shape, 1e-2), np.full(n, 1e-2)
-    y = np.array([langs.index(x) for x in labels])
+    n_langs, y = n, np.array([langs.index(x) for x in labels])
     words = [[letters(w) for w in t.split()] for t in texts]
-    known: dict[str, list[int]] = {}
-    look = lambda w: known[w] if w in known else known.setdefault(w, features(w, lexicon))
+    vocabulary = sorted({w for text in words for w in text})
+    codes, size = features(vocabulary)
+    ends = np.cumsum(size)
+    known = {w: codes[e - n : e].tolist() + [DIMENSIONS + c for c in range(n_langs) if lexicon.get(w, 0) >> c & 1] for w, n, e in zip(vocabulary, size.tolist(), ends.tolist(), strict=True)}
     for _ in range(EPOCHS):
         sequences = _stretches(words, y, rng)
         for k in range(0, len(sequences), 64):
             batch = sequences[k : k + 64]
-            at = [look(w) for s, _ in batch for w in s]
+            at = [known[w] for s, _ in batch for w in s]
             flat = np.fromiter((f for a in at for f in a), np.int64)
             row = np.repeat(np.arange(len(at)), [len(a) for a in at])
             sizes = np.array([len(s) for s, _ in batch])
@@ -225,12 +281,34 @@ def _expectations(emissions: np.ndarray, sizes: np.ndarray, start: np.ndarray, m
     return post[live], pairs
 
 
+def _word_counts(batches):
+    """(lang, word, n) of the words of letters, summed up to some hundred thousand words at a time."""
+    counts: dict[str, Counter] = {}
+
+    def flush():
+        sums: Counter = Counter()
+        for lang, words in counts.items():
+            for word, n in words.items():
+                if plain := letters(word.decode("utf-8", "replace")):
+                    sums[lang, plain] += n
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], names=["lang", "word", "n"])
+
+    for batch in batches:
+        texts = batch.column("text")
+        for i, lang in enumerate(batch.column("lang").to_pylist()):
+            counts.setdefault(lang, Counter()).update(texts[i].as_py().lower().split())
+            if i % 64 == 0 and sum(map(len, counts.values())) > CACHE:
+                yield flush()
+    yield flush()
+
+
 def fit(docs: DataFrame) -> Model | None:
     """The field learned from docs (doc_id, text, lang); None without a labelled row."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(key) % MODULUS != HELD_OUT)).select("doc_id", "text", "lang")
-    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")).select("lang", F.regexp_replace("word", r"[^\p{L}]", "").alias("word"))
-    counts = words.where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = rows.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(_word_counts, "lang string, word string, n bigint")
+    counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     frequent = counts.withColumn("k", F.row_number().over(top)).where(F.col("k") <= LEXICON).collect()  # LEXICON words a language
     langs = sorted({r["lang"] for r in frequent})
