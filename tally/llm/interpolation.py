@@ -5,7 +5,7 @@ with one weight b for each bucket of context frequency, floor(log2 c(h)). Some
 training documents are held out of the counts at first; expectation-maximisation
 on the tokens of these learns a and every b. The scores use the counts of all
 training documents. Counts are exact, over all documents, but for words and word
-pairs that agree in 64-bit hashes.
+pairs that agree in 56-bit hashes.
 
 Texts become chunks of about ``CHUNK`` tokens, a row each: local word numbers,
 and the hashes of the chunk's words. A chunk asks for its distinct words and
@@ -32,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import written, written_by
 
 CHUNK = 1 << 19
 #: Entries that a bucket should get, and the least number of buckets.
-BUCKET = 1 << 21
-LEAST_BUCKETS = 64
+BUCKET = 1 << 20
+LEAST_BUCKETS = 128
+#: Bits of a word's or pair's hash that are sent.
+BITS = 56
 MODULUS, HELD_OUT, DEVELOPMENT = 7, 2, 3
 #: Histogram of log2 ratios: from -32 to 32 by sixteenths; bin 0 holds ratio zero.
 BINS = 1025
@@ -55,6 +57,12 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
+def _rows(batch):
+    """Rows of a batch one at a time: a chunk is some MB."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _values(raw: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
@@ -104,7 +112,7 @@ class Chunk:
     def __init__(self, row: dict):
         self.doc_ids, self.parts = row["doc_ids"], np.array(row["parts"], np.int8)
         self.sizes = np.array(row["sizes"], np.int64)
-        hashes, self.tokens = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], np.uint32)
+        hashes, self.tokens = np.frombuffer(row["words"], np.uint64) >> np.uint64(64 - BITS), np.frombuffer(row["tokens"], np.uint32)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.part = self.parts[self.doc]
         # words in order of hash: place[token] is a token's entry
@@ -121,7 +129,7 @@ class Chunk:
         first, second = np.divmod(pairs, len(hashes))
         mixed = (self.words[first] ^ (self.words[first] >> _FOLD)) * _MIX + self.words[second]
         mixed = (mixed ^ (mixed >> _FOLD)) * _MIX
-        mixed ^= mixed >> np.uint64(32)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) >> np.uint64(64 - BITS)
         order = np.argsort(mixed)
         place = np.empty(len(pairs), np.int64)
         place[order] = np.arange(len(pairs))
@@ -140,10 +148,10 @@ ASKS = "bucket int, chunk bigint, keys binary, counted binary, held binary"
 def _asks(bits: int):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 out = {"bucket": [], "chunk": [], "keys": [], "counted": [], "held": []}
                 for order, keys, counted, held in Chunk(row).asks():
-                    cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+                    cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(BITS - bits))
                     for b, (s, e) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
                         if e > s:
                             out["bucket"].append((order << 24) + b)
@@ -220,7 +228,7 @@ def _development(n: float, v: float, a: float):
     def run(batches):
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 chunk = Chunk(row)
                 held = chunk.part == DEVELOPMENT
                 if not held.any():
@@ -243,7 +251,7 @@ SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 def _scores(n: int, v: int, a: float, b: np.ndarray):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 chunk = Chunk(row)
                 counts = Counts(chunk, row["answers"], "trained")
                 p1, ml, bucket = counts.parts(n, v, a)
@@ -262,7 +270,7 @@ def _scores(n: int, v: int, a: float, b: np.ndarray):
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    chunks = written(rows.mapInArrow(_chunks, CHUNKS), "lm-chunks")
+    chunks = written_by(rows.mapInArrow(_chunks, CHUNKS), "lm-chunks", "chunk")
     tokens = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
     bits = max(LEAST_BUCKETS, tokens // BUCKET).bit_length() - 1
     asks = chunks.mapInArrow(_asks(bits), ASKS)
@@ -276,7 +284,7 @@ def score(docs: DataFrame) -> DataFrame:
     ratios = np.append(2.0 ** (np.arange(BINS) / 16) * (v + 1) / max(n, 1), 0.0)
     a = mixture_weight(ratios, np.append(levels, totals["unseen"]))
     mine = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counted", "trained")).alias("answers"))
-    joined = written(chunks.join(mine, "chunk"), "lm-joined")
+    joined = chunks.join(written_by(mine, "lm-mine", "chunk"), "chunk")  # both in buckets of the chunk: no shuffle
     cells = joined.mapInArrow(_development(n, v, a), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 64 * BINS rows at most
     held = np.zeros(64 * BINS)
     for r in cells:
