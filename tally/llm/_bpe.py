@@ -9,10 +9,14 @@ hold this (a blank before white space) send the whole text to the library.
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 
 import numpy as np
 
 PATH = "byte_bpe_50k.json"
+#: Marks that make one cut of their own after letters, whatever their number and mix.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def public_path(name: str = PATH) -> str:
@@ -32,44 +36,54 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """encode(text) -> little-endian ids of the whole text as bytes.
 
-    limit: words kept in the cache; a full cache starts anew, ids do not change.
+    limit: words in either generation of the cache; ids do not depend on it.
     """
 
-    def __init__(self, path: str | None = None, dtype: str = "<u4", limit: int = 600_000):
+    def __init__(self, path: str | None = None, dtype: str = "<u4", limit: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_path())
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype, self.limit = dtype, limit
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are written in native order, which has to be little-endian")
+        self.dtype = dtype
         self.size = self.tokenizer.get_vocab_size()
         letters = _byte_letters()
         self._letters = {b: x for b, x in enumerate(letters)}
         model = self.tokenizer.model
 
-        def merge(part: str) -> list[int]:
-            return [t.id for t in model.tokenize(part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._letters))]
+        code = "H" if np.dtype(dtype).itemsize == 2 else "I"
+        tails: dict[str, bytes] = {"": b""}
 
-        plain = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}]*)").fullmatch
-        tails: dict[str, list[int]] = {"": []}
+        def merge(part: str) -> bytes:
+            if not part.isascii():
+                part = part.encode("utf-8", "surrogatepass").decode("latin-1")
+            return array(code, [t.id for t in model.tokenize(part.translate(self._letters))]).tobytes()
+
+        def tail_ids(tail: str) -> bytes:
+            if len(tails) > 10_000:
+                tails.clear()
+            found = tails[tail] = merge(tail)
+            return found
 
         class Words(dict):
+            """Ids by word. Full, it becomes the old generation, whose words come back as they are met."""
+
+            old: dict[str, bytes | None] = {}
+
             def __missing__(words, word):
-                if not word or word[0].isspace():
-                    ids = None  # joining fails, and the text is encoded whole
-                else:
-                    if m := plain(word):
-                        if (tail := tails.get(m[2])) is None:
-                            if len(tails) > 10_000:
-                                tails.clear()
-                                tails[""] = []
-                            tail = tails[m[2]] = merge(m[2])
-                        found = merge(" " + m[1]) + tail
+                if (ids := words.old.get(word, 0)) == 0:
+                    core = word.rstrip(MARKS)
+                    if core.isalpha():
+                        tail = word[len(core) :]
+                        ids = merge(" " + core) + ((tails.get(tail) or tail_ids(tail)) if tail else b"")
+                    elif not word or word[0].isspace():
+                        ids = None  # joining fails, and the text is encoded whole
                     else:
-                        found = self.tokenizer.encode(" " + word, add_special_tokens=False).ids
-                    ids = np.array(found, dtype).tobytes()
+                        ids = array(code, self.tokenizer.encode(" " + word, add_special_tokens=False).ids).tobytes()
                 if len(words) >= limit:
+                    words.old = dict(words)
                     words.clear()
                 if len(word) <= 100:
                     words[word] = ids

@@ -35,8 +35,8 @@ from ._common import new_path
 MAGIC = b"TRP1"
 END = 2
 SHARD = 1 << 20
-ROUNDS = 4
-MIN_COUNT = 8
+ROUNDS = 3
+MIN_COUNT = 12
 #: Symbols replaced in one round, at most.
 BATCH = 3000
 
@@ -58,7 +58,7 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, min_count: int =
         if not len(often):
             break
         pairs, counts = ordered[edges[often]], counts[often]
-        best = np.lexsort((pairs, -counts))[: min(BATCH, room - len(rules)) * 4]
+        best = np.lexsort((pairs, -counts))[: min(BATCH, room - len(rules)) * 2]
         lefts, rights, chosen = set(), set(), []
         for code in pairs[best].tolist():
             a, b = code >> shift, code & ((1 << shift) - 1)
@@ -115,15 +115,24 @@ class Shard:
         self.lengths = np.concatenate((np.ones(self.base, np.int64), lengths))
         # all symbols written out one after another: terminals, then rules in order
         self.place = np.concatenate(([0], np.cumsum(self.lengths)))
-        flat = np.empty(self.place[-1], np.int64)
-        flat[: self.base] = np.arange(self.base)
-        for k, (a, b) in enumerate(rules.tolist()):
-            s, n = self.place[self.base + k], self.lengths[a]
-            flat[s : s + n] = flat[self.place[a] : self.place[a] + n]
-            flat[s + n : self.place[self.base + k + 1]] = flat[self.place[b] : self.place[b + 1]]
-        self.flat = flat.astype("<u4")
+        self.flat = np.empty(self.place[-1], "<u4")
+        self.flat[: self.base] = np.arange(self.base)
+        # rules whose symbols all stand before a run of rules are written together
+        newest, start = rules.max(1, initial=0) - self.base, 0
+        while start < n_rules:
+            later = np.flatnonzero(newest[start:] >= start)
+            end = start + int(later[0]) if len(later) else n_rules
+            first = self.place[self.base + start]
+            self.flat[first : self.place[self.base + end]] = self._written(rules[start:end].reshape(-1))
+            start = end
         self.ends = np.cumsum(self.lengths[self.seq])
 
+    def _written(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of symbols whose expansions are written out."""
+        lengths = self.lengths[symbols]
+        shift = self.place[symbols] - np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        return self.flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))]
+
     def ids(self, start: int = 0, end: int | None = None) -> np.ndarray:
         """Little-endian u32 ids from start to end."""
         end = self.n_ids if end is None else min(end, self.n_ids)
@@ -131,11 +140,8 @@ class Shard:
             return np.empty(0, "<u4")
         first, last = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, end, "left")
         part = self.seq[first : last + 1]
-        lengths = self.lengths[part]
-        shift = self.place[part] - np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        out = self.flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))]
-        skip = start - (self.ends[first] - lengths[0])
-        return out[skip : skip + end - start]
+        skip = start - (self.ends[first] - self.lengths[part[0]])
+        return self._written(part)[skip : skip + end - start]
 
 
 SHARDS = "part int, shard int, doc_ids array<bigint>, starts array<bigint>, n_ids bigint, payload binary"
