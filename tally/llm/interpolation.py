@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ._common import written, written_by
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Entries that a bucket should get, and the least number of buckets.
 BUCKET = 1 << 20
 LEAST_BUCKETS = 128
@@ -57,6 +57,21 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Counts as planes of as many bytes as the largest needs, their number first."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + _planes(x.astype("<u8"))[: width * len(x)]
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros(planes.shape[1], np.int64)
+    for k in range(width):
+        out |= planes[k].astype(np.int64) << (8 * k)
+    return out
+
+
 def _rows(batch):
     """Rows of a batch one at a time: a chunk is some MB."""
     for i in range(batch.num_rows):
@@ -157,8 +172,8 @@ def _asks(bits: int):
                             out["bucket"].append((order << 24) + b)
                             out["chunk"].append(row["chunk"])
                             out["keys"].append(_planes(np.diff(keys[s:e], prepend=np.uint64(0))))
-                            out["counted"].append(_planes(counted[s:e]))
-                            out["held"].append(_planes(held[s:e]))
+                            out["counted"].append(_packed(counted[s:e]))
+                            out["held"].append(_packed(held[s:e]))
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=list(out))
 
     return run
@@ -173,8 +188,8 @@ def _answer(table: pa.Table) -> pa.Table:
     keys = [np.cumsum(_values(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
     sizes = np.cumsum([len(k) for k in keys])
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    counted = np.bincount(at, np.concatenate([_values(r["counted"], np.uint32) for r in rows])).astype(np.int64)
-    held = np.bincount(at, np.concatenate([_values(r["held"], np.uint32) for r in rows])).astype(np.int64)
+    counted = np.bincount(at, np.concatenate([_unpacked(r["counted"]) for r in rows])).astype(np.int64)
+    held = np.bincount(at, np.concatenate([_unpacked(r["held"]) for r in rows])).astype(np.int64)
     trained = counted + held
     # held-out tokens by the log2 of their word's count, for the weight of single words
     levels = np.zeros(BINS, np.int64)
@@ -185,7 +200,7 @@ def _answer(table: pa.Table) -> pa.Table:
         mine = at[sizes[k] - len(keys[k]) : sizes[k]]
         head = k == 0
         for name, value in (
-            ("bucket", r["bucket"]), ("chunk", r["chunk"]), ("counted", _planes(counted[mine].astype("<u8"))), ("trained", _planes(trained[mine].astype("<u8"))),
+            ("bucket", r["bucket"]), ("chunk", r["chunk"]), ("counted", _packed(counted[mine])), ("trained", _packed(trained[mine])),
             ("distinct_counted", int(known.sum()) * head), ("distinct_trained", int((trained > 0).sum()) * head), ("n_counted", int(counted.sum()) * head), ("n_trained", int(trained.sum()) * head),
             ("seen", levels.tolist() if head and r["bucket"] >> 24 == 1 else None), ("unseen", int(held[~known].sum()) * head),
         ):
@@ -212,7 +227,7 @@ class Counts:
 
     def __init__(self, chunk: Chunk, answers: list[dict], kind: str):
         answers = sorted(answers, key=lambda a: a["bucket"])
-        one, two = (np.concatenate([_values(a[kind], "<u8") for a in answers if a["bucket"] >> 24 == order]).astype(float) for order in (1, 2))
+        one, two = (np.concatenate([_unpacked(a[kind]) for a in answers if a["bucket"] >> 24 == order]).astype(float) for order in (1, 2))
         self.word, self.context, self.pair = one[chunk.word], one[chunk.context], two[chunk.pair]
 
     def parts(self, n: float, v: float, a: float):
