@@ -24,8 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays; shingles of five words."""
-    return simhash.drop_near_duplicates(docs, shingle=5)
+    """One document of each component stays, linked by SimHash or a Jaccard similarity of 0.8; shingles of five words."""
+    return simhash.drop_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,14 @@ budget. Pairs of nodes that lie in one component already end as well, so a group
 of near copies costs about its size and not its square, and gives a spanning
 forest and not all its pairs. No link is lost: what is cut off joins nothing new.
 
+``drop_near_duplicates`` with a similarity also links texts of at least that
+shingle Jaccard similarity. Fingerprints cannot find these (at 0.8 about ten bits
+differ), so candidates are texts that agree in one of ``BANDS`` bands of ``ROWS``
+minimal shingle hashes: a pair of similarity j is missed with probability
+(1 - j^ROWS)^BANDS, 0.00003 at 0.8. Every candidate is decided by its whole shingle
+sets, so no pair below the similarity is linked by this. A band first links its
+texts to one of them; only texts still in different components are compared in pairs.
+
 Defined results: a text without words, or null, has fingerprint zero and is
 linked like any other; fewer words than a shingle make one shingle; rows of the
 same doc_id are documents of their own; an empty table gives an empty result.
@@ -25,7 +33,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import written
@@ -41,7 +49,29 @@ LEAF = 64
 SLICE = 1 << 18
 #: Rows that a task gathers before it joins the groups among them.
 GATHER = 1 << 17
+#: Bands of minimal shingle hashes, and hashes a band.
+BANDS, ROWS = 20, 4
 _LANES = np.uint64(0x0101010101010101)
+_MINIMA = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a UTF-8 text's shingles; none without words."""
+    words = text.lower().split() if text else []
+    parts = {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))} if words else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts)))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A key for each band of the minimal hashes of a set of shingles."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for k in range(0, len(found), 4096):
+        least = np.minimum(least, (found[k : k + 4096, None] * _MINIMA[0] + _MINIMA[1]).min(0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        key = (key ^ least[k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -210,9 +240,79 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classify(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs without near duplicates: of each component the row of least (doc_id, hash of text) stays."""
-    found = classify(docs, shingle)
+def _sketches(shingle: int):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text")
+            fps, sizes, keys = [], [], []
+            for i in range(len(texts)):
+                text = texts[i].as_py()
+                found = shingles(text, shingle)
+                fps.append(fingerprint(text, shingle))
+                sizes.append(len(found))
+                keys.append(bands(found).view(np.int64) if len(found) else np.empty(0, np.int64))
+            columns = [batch.column("doc_id"), batch.column("h"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "size", "keys"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text")
+            found = [shingles(texts[i].as_py(), shingle).view(np.int64) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(found, pa.list_(pa.int64()))], names=["h", "found"])
+
+    return run
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The fingerprints (u, v) of those pairs of texts (a, b) whose shingle sets are similar enough."""
+    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
+    texts = docs.select(F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")).join(wanted, "h", "left_semi").dropDuplicates(["h"])
+    sets = written(texts.mapInArrow(_sets(shingle), "h bigint, found array<bigint>"), "simhash-sets")
+    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("found").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("u", "v").distinct()
+
+
+def _classify_similar(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """As classify, with texts of similar shingle sets linked, too."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    marked = written(rows.mapInArrow(_sketches(shingle), "doc_id bigint, h bigint, fp bigint, size bigint, keys array<bigint>"), "simhash")
+    fps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    texts = marked.where("size > 0").dropDuplicates(["h"])
+    by_key = Window.partitionBy("key")
+    keyed = texts.select(F.explode("keys").alias("key"), "h", "fp", "size")
+    # another text of a group in every band, so that one that is far from most of them does no harm
+    centre = F.min(F.struct(F.xxhash64("key", "h").alias("rank"), "h", "fp", "size")).over(by_key)
+    shared = keyed.select("*", F.count("*").over(by_key).alias("n"), centre.alias("centre")).where("n > 1")
+    shared = written(shared.select("key", "h", "fp", "size", F.col("centre.h").alias("c_h"), F.col("centre.fp").alias("c_fp"), F.col("centre.size").alias("c_size")), "simhash-bands")
+    near = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    first = shared.where((F.col("fp") != F.col("c_fp")) & near("size", "c_size")).select(F.col("h").alias("a"), F.col("c_h").alias("b"), F.col("fp").alias("u"), F.col("c_fp").alias("v")).distinct()
+    found = links(fps).unionByName(_similar(written(first, "simhash-pairs"), docs, shingle, similarity))
+    roots = written(components(written(found, "simhash-links")), "simhash-roots")
+    known = shared.join(roots, shared["fp"] == roots["node"], "left").select("key", "h", "fp", "size", F.coalesce("root", "fp").alias("root"))
+    a, b = (known.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("h", "fp", "size", "root")]) for side in "ab")
+    rest = a.join(b, (a["key"] == b["key"]) & (F.col("a_root") < F.col("b_root")) & near("a_size", "b_size"))
+    rest = written(rest.select(F.col("a_h").alias("a"), F.col("b_h").alias("b"), F.col("a_fp").alias("u"), F.col("b_fp").alias("v")).distinct(), "simhash-pairs")
+    if not rest.isEmpty():
+        more = _similar(rest, docs, shingle, similarity).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        roots = written(components(more), "simhash-roots")
+    roots = roots.select(F.col("node").alias("fp"), "root")
+    firsts = roots.join(fps, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = roots.join(firsts, "root").select("fp", "component_id")
+    known = written(fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "simhash-known")
+    return marked.select("doc_id", "h", "fp").join(known, "fp")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """docs without near duplicates: of each component the row of least (doc_id, hash of text) stays.
+
+    similarity: also link texts of at least this Jaccard similarity of shingles.
+    """
+    found = classify(docs, shingle) if similarity is None else _classify_similar(docs, shingle, similarity)
     keep = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("_keep_id"), F.col("k.h").alias("_keep_h"))
     rows = docs.withColumn("_keep_hash", F.xxhash64("text"))
     held = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_keep_hash") == F.col("_keep_h")), "left_semi")
