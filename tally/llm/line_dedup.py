@@ -11,6 +11,16 @@ at least 0.8. Of all lines in one connected group the
 first, by doc_id, row and place, stays; the others go. A document that loses all
 its words goes, too.
 
+With ``runs`` (the query and the pipeline), candidates are lines with a run of words
+in common instead. A line of L words has over 0.2 L disjoint runs of three words (two
+at five words, four from twenty on), so one of them survives up to 0.2 L word edits.
+Lines of fewer than twenty words have all their runs as keys: of these, no pair of
+similarity 0.8 in words is lost. Longer ones have the runs of four that start at
+multiples of four from either end: no pair is lost that differs by replaced words, nor
+by words added or lost while a run before the first or after the last of these is
+whole. A pair is linked, too, if its edit similarity in characters is at least 0.8;
+such pairs are found as far as they have a run in common.
+
 A group of many similar lines is not expanded into pairs: each key first links
 its lines to the least of them, and only lines that are in different components
 after that are compared with each other. What the second join leaves out joins
@@ -101,18 +111,81 @@ def _lines(prepared: DataFrame, min_words: int) -> DataFrame:
     return written(sums.select("_row", "_id", "_pos", "id", simhash_bits().alias("sh")), "lines-hashes")
 
 
-def _linked(pairs: DataFrame, distinct: DataFrame, prepared: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) whose lines are similar enough; a line is read at its first place."""
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct().join(distinct, "id")
+def _run_lines(prepared: DataFrame, min_words: int) -> DataFrame:
+    """As _lines for runs of words: sh has a bit for each word's hash, and n is the number of words."""
+    lines = prepared.select("_row", F.col("doc_id").alias("_id"), F.posexplode(F.split("text", "\n")).alias("_pos", "line"))
+    parts = lines.where(F.length("line") >= 2 * min_words - 1).select("_row", "_id", "_pos", line_words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
+    bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
+    return written(parts.select("_row", "_id", "_pos", F.xxhash64(F.array_join("words", " ")).alias("id"), bits.alias("sh"), F.size("words").alias("n")), "lines-hashes")
+
+
+def run_keys(words: Column) -> Column:
+    """Hashes of the runs of words that a line is compared by."""
+    n, none = F.size(words), F.array().cast("array<bigint>")
+
+    def at(starts: Column, q: int) -> Column:
+        return F.when(n >= q, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, q)))).otherwise(none)
+
+    two, three, four = (at(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), q) for q in (2, 3, 4))
+    left = F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1)), F.lit(4))
+    blocks = F.concat(at(left, 4), at(F.transform(left, lambda i: i + n % 4), 4))
+    return F.array_distinct(F.when(n < 6, F.concat(two, three)).when(n < 16, three).when(n < 20, F.concat(three, four)).otherwise(blocks))
+
+
+def _few_differ(a: str, a_n: str, b: str, b_n: str) -> Column:
+    """Whether two lines can be similar by their numbers of words, and by words that only one of them has."""
+    most, least = F.greatest(a_n, b_n), F.least(a_n, b_n)
+    one_side = F.greatest(F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b)))), F.bit_count(F.col(b).bitwiseAND(F.bitwise_not(F.col(a)))))
+    return (least >= SIMILARITY * most - 0.000001) & (one_side <= 2 * (1 - SIMILARITY) * most + 0.000001)
+
+
+def _read(wanted: DataFrame, prepared: DataFrame) -> DataFrame:
+    """id and line of wanted (id, at); a line is read at its first place."""
     places = wanted.groupBy(F.col("at._row").alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct("at._pos", "id"))).alias("_want"))
     lines = prepared.select("_row", "text").join(places, "_row").select("_want", F.posexplode(F.split("text", "\n")).alias("_pos", "line"))
-    texts = lines.withColumn("id", F.try_element_at("_want", F.col("_pos"))).where("id is not null").select("id", word_codes(line_words(F.col("line"))).alias("line"))
-    texts = written(texts, "lines-texts")
-    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
-    longer, shorter = F.greatest(F.length("a"), F.length("b")), F.least(F.length("a"), F.length("b"))
-    room = f"cast(floor(greatest(length(a), length(b)) * {1 - SIMILARITY:.6f} + 0.000001) as int)"
-    edits = F.expr(f"levenshtein(a, b, {room}) between 0 and {room}")
-    return both.where((shorter >= SIMILARITY * longer - 0.000001) & edits).select("u", "v")
+    return lines.withColumn("id", F.try_element_at("_want", F.col("_pos"))).where("id is not null").select("id", "line")
+
+
+def _edits(a: str, b: str) -> Column:
+    """Whether two texts have an edit similarity of SIMILARITY, by characters."""
+    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+    room = f"cast(floor(greatest(length({a}), length({b})) * {1 - SIMILARITY:.6f} + 0.000001) as int)"
+    return (shorter >= SIMILARITY * longer - 0.000001) & F.expr(f"levenshtein({a}, {b}, {room}) between 0 and {room}")
+
+
+def _linked(pairs: DataFrame, distinct: DataFrame, prepared: DataFrame, characters: bool) -> DataFrame:
+    """Those of the pairs (u, v) whose lines are similar enough in words, or in characters."""
+    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct().join(distinct, "id")
+    words = line_words(F.col("line"))
+    plain = [F.array_join(words, " ").alias("plain")] if characters else []
+    texts = written(_read(wanted, prepared).select("id", word_codes(words).alias("line"), *plain), "lines-texts")
+    sides = [texts.select(F.col("id").alias(k), F.col("line").alias(c), *([F.col("plain").alias(f"{c}_plain")] if characters else [])) for k, c in (("u", "a"), ("v", "b"))]
+    both = pairs.join(sides[0], "u").join(sides[1], "v")
+    return both.where(_edits("a", "b") | _edits("a_plain", "b_plain") if characters else _edits("a", "b")).select("u", "v")
+
+
+def _run_groups(lines: DataFrame, prepared: DataFrame) -> DataFrame:
+    """As groups, for lines of _run_lines."""
+    distinct = written(lines.groupBy("id").agg(F.min("sh").alias("sh"), F.min("n").alias("n"), F.min(F.struct("_row", "_pos")).alias("at")), "lines-distinct")
+    # the words as a lambda's variable: split once, not once a run
+    keys = F.flatten(F.transform(F.array(line_words(F.col("line"))), run_keys))
+    keyed = _read(distinct, prepared).select("id", F.explode(keys).alias("key"))
+    by_key = Window.partitionBy("key")
+    shared = keyed.select("key", "id", F.count("*").over(by_key).alias("many"), F.min("id").over(by_key).alias("first")).where("many > 1").select("key", "id", "first")
+    facts = distinct.select("id", "sh", "n")
+    shared = written(shared.join(facts, "id"), "lines-keys")
+    near = shared.where("id != first").select("id", "sh", "n", "first").distinct().join(facts.select(F.col("id").alias("first"), F.col("sh").alias("f_sh"), F.col("n").alias("f_n")), "first")
+    near = near.where(_few_differ("sh", "n", "f_sh", "f_n")).select(F.col("first").alias("u"), F.col("id").alias("v"))
+    stars = written(_linked(written(near, "lines-pairs"), distinct, prepared, True), "lines-links")
+    roots = written(components(stars), "lines-roots")
+    known = shared.join(roots, shared["id"] == roots["node"], "left").select("key", "id", "sh", "n", F.coalesce("root", "id").alias("root"))
+    a, b = (known.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "sh", "n", "root")]) for side in "ab")
+    rest = a.join(b, (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & _few_differ("a_sh", "a_n", "b_sh", "b_n"))
+    rest = written(rest.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).distinct(), "lines-pairs")
+    more = written(_linked(rest, distinct, prepared, True), "lines-links")
+    if more.isEmpty():
+        return roots
+    return written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "lines-roots")
 
 
 def groups(lines: DataFrame, prepared: DataFrame) -> DataFrame:
@@ -124,26 +197,27 @@ def groups(lines: DataFrame, prepared: DataFrame) -> DataFrame:
     shared = keyed.select("key", "id", "sh", F.count("*").over(by_key).alias("n"), least.alias("least")).where("n > 1")
     shared = written(shared.select("key", "id", "sh", F.col("least.id").alias("first"), F.col("least.sh").alias("first_sh")), "lines-keys")
     near = shared.where(F.col("id") != F.col("first")).where(_close("sh", "first_sh")).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
-    stars = written(_linked(written(near, "lines-pairs"), distinct, prepared), "lines-links")
+    stars = written(_linked(written(near, "lines-pairs"), distinct, prepared, False), "lines-links")
     roots = written(components(stars), "lines-roots")
     known = shared.join(roots, shared["id"] == roots["node"], "left").select("key", "id", "sh", F.coalesce("root", "id").alias("root"))
     a, b = known.select("key", *[F.col(c).alias(f"a_{c}") for c in ("id", "sh", "root")]), known.select("key", *[F.col(c).alias(f"b_{c}") for c in ("id", "sh", "root")])
     rest = a.join(b, (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & _close("a_sh", "b_sh"))
     rest = written(rest.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).distinct(), "lines-pairs")
-    more = written(_linked(rest, distinct, prepared), "lines-links")
+    more = written(_linked(rest, distinct, prepared, False), "lines-links")
     if more.isEmpty():
         return roots
     return written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "lines-roots")
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False, runs: bool = False) -> DataFrame:
     """docs without repeated lines, documents that lost all words left out.
 
     counts: keep every document, and add n_lines and n_removed.
+    runs: compare lines that share a run of words, in words and characters, instead of by SimHash.
     """
     prepared = _prepared(docs)
-    lines = _lines(prepared, min_words)
-    roots = groups(lines, prepared)
+    lines = _run_lines(prepared, min_words) if runs else _lines(prepared, min_words)
+    roots = _run_groups(lines, prepared) if runs else groups(lines, prepared)
     seen = lines.join(roots, lines["id"] == roots["node"], "left").select(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row", "_pos").alias("at"), F.coalesce("root", "id").alias("root"))
     seen = written(seen, "lines-places")
     firsts = seen.groupBy("root").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")

@@ -26,7 +26,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup(docs, counts=True).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.dedup(docs, counts=True, runs=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op5_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

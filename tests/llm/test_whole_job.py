@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tally.llm import simhash
+from tally.llm import line_dedup, simhash
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -60,3 +60,33 @@ def test_chain_and_hot_group_of_near_copies(spark):
     kept = simhash.drop_near_duplicates(docs, 5, 0.8)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {0, 900, 902}
     assert simhash.drop_near_duplicates(docs.where("doc_id < 0"), 5, 0.8).count() == 0
+
+
+# op4 ---------------------------------------------------------------------------
+
+
+def test_line_dedup_finds_near_copies_of_any_length(spark):
+    """One word in five replaced, one word lost or added, and misspelt words: of each pair the first line stays."""
+    rng, pairs = random.Random(11), []
+    for n in (5, 6, 7, 8, 9, 10, 12, 15, 16, 19, 20, 21, 24, 30, 50, 90):
+        for _ in range(4):
+            words = invented(rng, n)
+            other = list(words)
+            for k in rng.sample(range(n), n // 5):
+                other[k] = invented(rng, 1)[0]
+            pairs.append((words, other))
+            words, k = invented(rng, n), rng.randrange(n)
+            pairs.append((words, [*words[:k], "added", *words[k:]]))
+            if n > 5:
+                words, k = invented(rng, n), rng.randrange(n)
+                pairs.append((words, [*words[:k], *words[k + 1 :]]))
+    words = invented(rng, 8)
+    pairs.append((words, [w + "x" if k in (1, 2) else w for k, w in enumerate(words)]))
+    words = invented(rng, 30)
+    pairs.append((words, [w + "x" if k in range(20, 27) else w for k, w in enumerate(words)]))
+    far = [" ".join(invented(rng, n)) for n in (5, 8, 20, 40) for _ in range(5)]
+    far += [" ".join([*x.split()[: len(x.split()) // 2], *invented(rng, len(x.split()) // 2)]) for x in far]
+    texts = [" ".join(x) for pair in pairs for x in pair] + far
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS), counts=True, runs=True).collect()}
+    assert got == {k: int(k < 2 * len(pairs) and k % 2) for k in range(len(rows))}
