@@ -646,6 +646,18 @@ def normalize_name(spark, d):
     return table(spark, d, "documents").select("doc_id", naming.normalize_for_match(F.substring("text", 1, 200)).alias("name"))
 
 
+@query("SELECT doc_id, trim(regexp_replace(translate(lower(nfc_normalize(text)), '&*/:`<>?\\|\"', '___________'), '\\s+', ' ', 'g')) AS name FROM documents")
+def normalize_text(spark, d):
+    """normalize_name over whole texts."""
+    return table(spark, d, "documents").select("doc_id", naming.normalize_for_match("text").alias("name"))
+
+
+@query("SELECT doc_id, text FROM documents ORDER BY translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), doc_id LIMIT 100")
+def ascii_nocase_text_sort(spark, d):
+    """ascii_nocase_sort by whole texts."""
+    return relational.page(table(spark, d, "documents").select("doc_id", "text"), [text.ascii_lower("text"), F.col("doc_id")], 100)
+
+
 @query()
 def release_names(spark, d):
     """Names of parts as release names with made-up tags, parsed and picked by region."""
