@@ -10,6 +10,8 @@ posterior; a text's language is that of most of its letters, by posterior.
 
 The field is fitted on the driver on ``FIT`` documents a language at most (those
 of least hash among the rows with a language whose crc32(doc_id) mod 3 is not 1).
+Each epoch draws its stretches anew from seeded places over the whole of these texts,
+at most ``FIT_WORDS`` words a language.
 The lexicons, ``LEXICON`` words a language, come from counts over all training
 documents. Prediction is one Arrow pass over the whole texts; language, source
 and doc_id are no inputs of it.
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from ._common import written
 
 FIT = 400
+#: Words a language that an epoch is fitted on, at most.
+FIT_WORDS = 96_000
 LEXICON = 300
 BITS = 15
 DIMENSIONS = 1 << BITS
@@ -198,7 +202,14 @@ class Model:
 
 def _stretches(texts: list[list[str]], langs: np.ndarray, rng: np.random.Generator) -> list[tuple[list[str], np.ndarray]]:
     """Sequences of one to three stretches of the texts with the languages of their words."""
-    parts = [(k, i) for k, words in enumerate(texts) for i in range(0, max(1, min(len(words), 10 * STRETCH)), STRETCH)]
+    places: dict[int, list[tuple[int, int]]] = {}
+    for k, words in enumerate(texts):
+        shift = int(rng.integers(STRETCH)) if len(words) > STRETCH else 0
+        places.setdefault(int(langs[k]), []).extend((k, max(0, i)) for i in range(-shift, len(words), STRETCH))
+    parts = []
+    for lang in sorted(places):
+        rng.shuffle(places[lang])
+        parts += places[lang][: FIT_WORDS // STRETCH]
     rng.shuffle(parts)
     out, at = [], 0
     while at < len(parts):

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from tally.llm import line_dedup, simhash
+from tally.llm import language_crf, line_dedup, simhash
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -90,3 +91,22 @@ def test_line_dedup_finds_near_copies_of_any_length(spark):
     rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS), counts=True, runs=True).collect()}
     assert got == {k: int(k < 2 * len(pairs) and k % 2) for k in range(len(rows))}
+
+
+# op6 ---------------------------------------------------------------------------
+
+
+def test_training_reads_whole_texts():
+    texts = [[f"w{k}" for k in range(20_000)], [f"x{k}" for k in range(300)], ["one"], []]
+    rng, seen = np.random.default_rng(1), set()
+    for _ in range(language_crf.EPOCHS):
+        for words, labels in language_crf._stretches(texts, np.array([0, 1, 1, 1]), rng):
+            assert len(words) == len(labels) and all((w[0] == "w") == (y == 0) for w, y in zip(words, labels, strict=True))
+            seen.update(words)
+    assert len(seen & set(texts[0])) >= 19_000 and len(seen & set(texts[1])) >= 280 and "one" in seen
+
+
+def test_training_is_bounded_by_words_a_language(monkeypatch):
+    monkeypatch.setattr(language_crf, "FIT_WORDS", 2400)
+    found = language_crf._stretches([["a"] * 20_000, ["b"] * 100], np.array([0, 1]), np.random.default_rng(1))
+    assert 0 < sum((y == 0).sum() for _, y in found) <= 2400 and sum((y == 1).sum() for _, y in found) > 0
