@@ -328,10 +328,12 @@ def fit(docs: DataFrame) -> Model | None:
     lexicon: dict[str, int] = {}
     for r in frequent:
         lexicon[r["word"]] = lexicon.get(r["word"], 0) | 1 << langs.index(r["lang"])
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    keys = rows.select("lang", "doc_id", F.xxhash64("text").alias("h"), F.row_number().over(least).alias("k")).where(F.col("k") <= FIT)
-    chosen = written(keys.select("doc_id", "h"), "crf-fit")
-    sample = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"], "left_semi").orderBy("lang", "doc_id", "h").limit(FIT * len(langs)).collect()
+    keys = rows.select("lang", "doc_id", F.xxhash64("text").alias("h")).distinct()
+    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    chosen = written(keys.withColumn("k", F.row_number().over(least)).where(F.col("k") <= FIT).select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "crf-fit")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    same = (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+    sample = rows.join(F.broadcast(chosen), same, "left_semi").dropDuplicates(["lang", "doc_id", "h"]).orderBy("lang", "doc_id", "h").collect()
     return train([r["text"] for r in sample], [r["lang"] for r in sample], lexicon, langs)
 
 

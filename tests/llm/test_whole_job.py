@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -110,3 +111,13 @@ def test_training_is_bounded_by_words_a_language(monkeypatch):
     monkeypatch.setattr(language_crf, "FIT_WORDS", 2400)
     found = language_crf._stretches([["a"] * 20_000, ["b"] * 100], np.array([0, 1]), np.random.default_rng(1))
     assert 0 < sum((y == 0).sum() for _, y in found) <= 2400 and sum((y == 1).sum() for _, y in found) > 0
+
+
+def test_repeated_rows_push_no_language_out(spark, monkeypatch):
+    free = [k for k in range(30) if zlib.crc32(str(k).encode()) % 3 != 1]
+    rows = [(free[0], "der die das", "de", "s", 1)] * 30 + [(k, f"the of and {k}", "en", "s", 1) for k in free[:5]] + [(None, "le la les", "fr", "s", 1)]
+    found = []
+    monkeypatch.setattr(language_crf, "FIT", 2)
+    monkeypatch.setattr(language_crf, "train", lambda texts, labels, lexicon, langs: found.extend(labels))
+    language_crf.fit(spark.createDataFrame(rows, DOCS))
+    assert found == ["de", "en", "en", "fr"]
