@@ -35,6 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _paths: list[tuple[SparkSession, str]] = []
+_names: list[tuple[SparkSession, str]] = []
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -47,6 +48,11 @@ def new_path(spark: SparkSession, label: str) -> str:
 @atexit.register
 def _sweep() -> None:
     """Tables of this process go with it, as far as its Spark still runs."""
+    for spark, name in _names:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # as below
+            break
     for spark, path in _paths:
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -62,19 +68,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of a plan's estimated output that a bucket is to hold, the most buckets Spark allows, and estimates that say nothing (Spark's default is 8 EB).
+BUCKET_BYTES, MOST_BUCKETS, NO_ESTIMATE = 128 << 20, 100_000, 1 << 58
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for a table of df: as many as shuffle partitions, more where Spark's estimate of its bytes asks for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= NO_ESTIMATE else max(least, min(MOST_BUCKETS, -(-size // BUCKET_BYTES)))
 
 
-def written_by(df: DataFrame, label: str, key: str) -> DataFrame:
-    """df as a table in buckets of a key: later joins and sums by the key alone need no shuffle of it.
+def written_by(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
+    """df as a table in n buckets of a key: later joins and sums by the key alone need no shuffle of it.
 
     The rows are not shuffled here either; to have few files, deal them out by the key first.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     name = "tally_" + path.rsplit("-", 1)[1]
-    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets(spark), key).sortBy(key).saveAsTable(name)
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+    _names.append((spark, name))
     return spark.table(name)
 
 

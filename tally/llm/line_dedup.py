@@ -2,57 +2,77 @@ r"""Fuzzy line dedup over the whole corpus, on DataFrame functions alone.
 
 Lines are normalised (lower case, digits as 0, white space runs as one blank);
 lines of fewer than ``MIN_WORDS`` words stay as they are. Equal normalised lines
-are one id (their XXH64). Different ones are compared where two of five blocks of
-their SimHashes, over the distinct words, agree, which a join on ten keys of two
-blocks finds, and at most eight of all 64 bits differ. Pairs that differ in up to
-three bits always have two such blocks, pairs that differ in more often do. A
-pair is linked if its edit similarity, 1 - distance / longer length in words, is
-at least 0.8. Of all lines in one connected group the
-first, by doc_id, row and place, stays; the others go. A document that loses all
-its words goes, too.
-
-With ``runs`` (the query and the pipeline), candidates are lines with a run of words
-in common instead. A line of L words has over 0.2 L disjoint runs of three words (two
-at five words, four from twenty on), so one of them survives up to 0.2 L word edits.
-Lines of fewer than twenty words have all their runs as keys: of these, no pair of
-similarity 0.8 in words is lost. Longer ones have the runs of four that start at
-multiples of four from either end: no pair is lost that differs by replaced words, nor
-by words added or lost while a run before the first or after the last of these is
-whole. A pair is linked, too, if its edit similarity in characters is at least 0.8;
-such pairs are found as far as they have a run in common.
-
-A group of many similar lines is not expanded into pairs: each key first links
-its lines to the least of them, and only lines that are in different components
+are one id (their XXH64). Two different lines are candidates if
+
+* their SimHashes, over their distinct words, differ in at most ``BUDGET`` bits, or
+* both have at most ``SHORT`` words and they are equal but for one word, which is
+  replaced, added or lost (a SimHash says little about so few words).
+
+Candidates are linked if their edit similarity, 1 - distance / longer length, is at
+least ``SIMILARITY`` in words or in characters. Of all lines in one connected group
+the first, by doc_id, row and place, stays; the others go. A document that loses all
+its words goes, too. No candidate is missed and none is decided by a part of it.
+
+The join on pigeonhole blocks: of BUDGET + k blocks of bits, k agree, so lines meet
+in a key for each choice of k blocks. k grows with the number of lines (``BLOCKS``),
+which keeps the lines by chance in a key few; any k finds the same pairs. A key of
+over ``HOT`` lines is cut further: the bits outside it fall into BUDGET + 1 parts, of
+which one agrees. For the short lines a key is the sum of the hashes of all words
+but one, or of all.
+
+Keys are counted map-side first, and only keys of two different lines or more are
+joined back. A group of many similar lines is not expanded into pairs: each key first
+links its lines to the least of them, and only lines that are in different components
 after that are compared with each other. What the second join leaves out joins
-nothing new, so no link is lost. Only lines that share a key with another leave
-the window that counts keys.
-
-Texts are moved once: into a table bucketed by row number. SimHashes are sums by
-row and line, the lines of candidate pairs are fetched by row, and the result is
-cut by row, all of which the buckets already hold together.
+nothing new, so no link is lost. Lines that are repeated so often that one task would
+feel it are at most ``MOST`` and are joined by broadcast, all others by their ids.
+
+Texts are moved once: into a table bucketed by row number. The lines of candidate
+pairs are fetched by row, and the result is cut by row, which the buckets already
+hold together.
+
+With ``runs``, lines that share a run of two to four words are candidates as well: a
+line of L words has over 0.2 L disjoint runs of three words (two at five words, four
+from twenty on), so one of them survives up to 0.2 L word edits. Lines of fewer than
+twenty words have all their runs as keys: of these, no pair of similarity 0.8 in words
+is lost. Longer ones have the runs of four that start at multiples of four from either
+end: no pair is lost that differs by replaced words, nor by words added or lost while
+a run before the first or after the last of these is whole. That costs a key for every
+second word, and common runs bring many pairs; it is meant for small tables.
 
 Defined results: null and empty texts, and short lines, pass unchanged; rows of
-the same doc_id are documents of their own; an empty table gives an empty
-result. Words beyond the 16383 of least hash don't enter a line's SimHash.
+the same doc_id are documents of their own; an empty table gives an empty result.
+Other columns pass through, whatever their names: the operator's own columns lie
+beside a struct of the caller's.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import buckets, word_count, written, written_by
+from ._common import bucket_count, word_count, written, written_by
 from .graph import components
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
-BUDGET = 8
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-_MOST = 16383
-#: 16-bit lanes of a long: their low bits, and the bits that say over half.
-_ONES, _OVER = 0x0001000100010001, 0x4000400040004000
+BUDGET = 3
+SHORT = 16
+#: (lines up to which, blocks that agree): 10 keys of 25 bits, 20 of 32, 35 of 36, 56 of 40.
+BLOCKS = ((1 << 23, 2), (1 << 29, 3), (1 << 33, 4), (1 << 62, 5))
+#: Lines in a key from which it is cut by the bits outside it.
+HOT = 64
+#: Lines that are repeated over 1 / MOST of all lines each.
+MOST = 1000
+#: Keys up to which the list of shared keys is broadcast (24 bytes each).
+BROADCAST_KEYS = 1 << 20
+_SUMS = (1 << 62) - 1
+#: Low bits of lanes of 8 and 32 bits, and the bits of a sum that say over half.
+_ONES8, _OVER8, _ONES32, _OVER32 = 0x0101010101010101, 0x4040404040404040, 0x0000000100000001, 0x4000000040000000
+#: Words that counters of 8 bits take.
+_CHUNK = 63
 
 
 def line_words(line: Column) -> Column:
@@ -61,62 +81,62 @@ def line_words(line: Column) -> Column:
 
 
 def word_codes(words: Column) -> Column:
-    """A text of one character a word, by a hash, so that Levenshtein distance counts words."""
-    code = F.transform(words, lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(0x5000)) + F.lit(0x3000)))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+    """A text of one character a word, by a hash to 917,504 of them, so that Levenshtein distance counts words."""
+    code = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xE0000)) + F.lit(0x10000)), 8, "0"))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
 
-def simhash_sums(h: str) -> list[Column]:
-    """Aggregates over the hashes of a line's words: sixteen sums of four 16-bit counters, and their number."""
-    sums = [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_ONES))).alias(f"s{k}") for k in range(16)]
-    return [*sums, F.count("*").alias("n")]
+def _let(value: Column, fn) -> Column:
+    """fn of a value that is computed once, not once a mention."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def simhash_bits() -> Column:
-    """SimHash from simhash_sums: lifted, a lane has bit 14 if its count is over half of n."""
-    lift = F.lit(_ONES) * (F.lit(_MOST) - F.floor(F.col("n") / 2))
-    out = None
-    for k in range(16):
-        bit = F.shiftleft(F.shiftrightunsigned((F.col(f"s{k}") + lift).bitwiseAND(F.lit(_OVER)), 14), k)
-        out = bit if out is None else out.bitwiseOR(bit)
+def _or(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.bitwiseOR(p)
     return out
 
 
-def _keys(simhash: Column) -> Column:
-    bits = [F.shiftrightunsigned(simhash, at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in BLOCKS]
-    pairs = combinations(range(len(BLOCKS)), 2)
-    return F.array(*[F.lit(k << 26).cast("long").bitwiseOR(F.shiftleft(bits[i], 13)).bitwiseOR(bits[j]) for k, (i, j) in enumerate(pairs)])
+def _lanes(hashes: Column) -> Column:
+    """Eight sums of eight 8-bit counters: counter j of sum k counts bit 8 j + k."""
 
+    def lane(k: int) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_ONES8)))
 
-def _close(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BUDGET
+    return F.array(*[lane(k) for k in range(8)])
+
+
+def simhash(hashes: Column) -> Column:
+    """The bits that over half of the hashes have; counters of 8 bits for each 63 of them, of 32 bits over these."""
+    zero, half = F.lit(0).cast("long"), F.floor(F.size(hashes) / 2)
 
+    def few(lanes: Column) -> Column:
+        lift = F.lit(_ONES8) * (F.lit(_CHUNK) - half)
+        return _or([F.shiftleft(F.shiftrightunsigned((F.get(lanes, F.lit(k)) + lift).bitwiseAND(F.lit(_OVER8)), 6), k) for k in range(8)])
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    """docs with a row number, in a table bucketed by it: joins and sums by row need no shuffle of texts."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).repartition(buckets(docs.sparkSession), "_row")
-    return written_by(rows, "lines", "_row")
+    def many(chunks: Column) -> Column:
+        lift = F.lit(_ONES32) * (F.lit((1 << 30) - 1) - half)
 
+        def total(k: int, m: int) -> Column:
+            wide = lambda c: F.shiftrightunsigned(F.get(c, F.lit(k)), 8 * m).bitwiseAND(F.lit(0xFF * _ONES32))
+            return F.aggregate(chunks, zero, lambda a, c: a + wide(c))
 
-def _lines(prepared: DataFrame, min_words: int) -> DataFrame:
-    """_row, _id (the doc_id), _pos, id, sh of every line that is long enough."""
-    lines = prepared.select("_row", F.col("doc_id").alias("_id"), F.posexplode(F.split("text", "\n")).alias("_pos", "line"))
-    parts = lines.where(F.length("line") >= 2 * min_words - 1).select("_row", "_id", "_pos", line_words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
-    parts = parts.select("_row", "_id", "_pos", F.xxhash64(F.array_join("words", " ")).alias("id"), "words")
-    words = parts.withColumn("words", F.array_distinct("words"))
-    ranked = F.array_sort(F.transform("words", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
-    few = F.when(F.size("words") > _MOST, F.transform(F.slice(ranked, 1, _MOST), lambda x: x["w"])).otherwise(F.col("words"))
-    hashes = words.select("_row", "_id", "_pos", "id", F.explode(few).alias("word")).select("_row", "_id", "_pos", "id", F.xxhash64("word").alias("h"))
-    sums = hashes.groupBy("_row", "_id", "_pos", "id").agg(*simhash_sums("h"))
-    return written(sums.select("_row", "_id", "_pos", "id", simhash_bits().alias("sh")), "lines-hashes")
+        return _or([F.shiftleft(F.shiftrightunsigned((total(k, m) + lift).bitwiseAND(F.lit(_OVER32)), 30), 8 * m + k) for k in range(8) for m in range(4)])
 
+    chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(hashes), F.lit(1)), F.lit(_CHUNK)), lambda i: _lanes(F.slice(hashes, i, _CHUNK)))
+    return F.when(F.size(hashes) <= _CHUNK, _let(_lanes(hashes), few)).otherwise(_let(chunks, many))
 
-def _run_lines(prepared: DataFrame, min_words: int) -> DataFrame:
-    """As _lines for runs of words: sh has a bit for each word's hash, and n is the number of words."""
-    lines = prepared.select("_row", F.col("doc_id").alias("_id"), F.posexplode(F.split("text", "\n")).alias("_pos", "line"))
-    parts = lines.where(F.length("line") >= 2 * min_words - 1).select("_row", "_id", "_pos", line_words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
-    bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
-    return written(parts.select("_row", "_id", "_pos", F.xxhash64(F.array_join("words", " ")).alias("id"), bits.alias("sh"), F.size("words").alias("n")), "lines-hashes")
+
+def short_keys(hashes: Column) -> Column:
+    """Of a line of at most SHORT words: the sums of its words' hashes without one of them, and with all."""
+
+    def keys(total: Column) -> Column:
+        less = F.transform(hashes, lambda h: (total - h.bitwiseAND(F.lit(_SUMS))).bitwiseAND(F.lit(_SUMS)))
+        return F.array_distinct(F.transform(F.array_append(less, total), lambda s: F.xxhash64(F.lit("short"), s)))
+
+    total = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: (a + h.bitwiseAND(F.lit(_SUMS))).bitwiseAND(F.lit(_SUMS)))
+    return F.when(F.size(hashes) <= SHORT, _let(total, keys)).otherwise(F.array().cast("array<bigint>"))
 
 
 def run_keys(words: Column) -> Column:
@@ -132,18 +152,74 @@ def run_keys(words: Column) -> Column:
     return F.array_distinct(F.when(n < 6, F.concat(two, three)).when(n < 16, three).when(n < 20, F.concat(three, four)).otherwise(blocks))
 
 
-def _few_differ(a: str, a_n: str, b: str, b_n: str) -> Column:
-    """Whether two lines can be similar by their numbers of words, and by words that only one of them has."""
-    most, least = F.greatest(a_n, b_n), F.least(a_n, b_n)
-    one_side = F.greatest(F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b)))), F.bit_count(F.col(b).bitwiseAND(F.bitwise_not(F.col(a)))))
-    return (least >= SIMILARITY * most - 0.000001) & (one_side <= 2 * (1 - SIMILARITY) * most + 0.000001)
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+
+
+def _parts(bits: list[int], n: int) -> list[int]:
+    """Masks of n parts of a list of bit numbers, as even as can be."""
+    return [sum(1 << b for b in bits[len(bits) * k // n : len(bits) * (k + 1) // n]) for k in range(n)]
+
+
+def block_masks(agree: int) -> list[int]:
+    """Masks of the bits that any pair within the budget has in common in one of them at least."""
+    blocks = _parts(list(range(64)), BUDGET + agree)
+    return [sum(chosen) for chosen in combinations(blocks, agree)]
+
+
+def _lines(prepared: DataFrame, min_words: int, runs: bool) -> DataFrame:
+    """row, did (the doc_id), pos, id, sh and more (further keys) of every line that is long enough."""
+
+    def facts(words: Column, i: Column) -> Column:
+        def found(hashes: Column) -> Column:
+            more = F.concat(short_keys(hashes), run_keys(words)) if runs else short_keys(hashes)
+            return F.struct(i.alias("pos"), F.xxhash64(F.array_join(words, " ")).alias("id"), _let(F.array_distinct(hashes), simhash).alias("sh"), more.alias("more"))
+
+        return F.when(F.size(words) >= min_words, _let(F.transform(words, lambda w: F.xxhash64(w)), found))
 
+    def line(x: Column, i: Column) -> Column:
+        return F.when(F.length(x) >= 2 * min_words - 1, _let(line_words(x), lambda words: facts(words, i)))
 
-def _read(wanted: DataFrame, prepared: DataFrame) -> DataFrame:
-    """id and line of wanted (id, at); a line is read at its first place."""
-    places = wanted.groupBy(F.col("at._row").alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct("at._pos", "id"))).alias("_want"))
-    lines = prepared.select("_row", "text").join(places, "_row").select("_want", F.posexplode(F.split("text", "\n")).alias("_pos", "line"))
-    return lines.withColumn("id", F.try_element_at("_want", F.col("_pos"))).where("id is not null").select("id", "line")
+    # in one expression before the rows part, so that no filter is pushed down and computes it again
+    found = F.filter(F.transform(F.split("doc.text", "\n"), line), lambda x: x.isNotNull())
+    rows = prepared.select("row", F.col("doc.doc_id").alias("did"), F.explode(found).alias("x"))
+    return written(rows.select("row", "did", "x.pos", "x.id", "x.sh", "x.more"), "lines-hashes")
+
+
+def _ids(lines: DataFrame) -> DataFrame:
+    """id, at (the first place of such a line) and n (how many there are)."""
+    at = F.struct(F.col("did").isNull().alias("no_id"), "did", "row", "pos")
+    return written(lines.groupBy("id").agg(F.min(at).alias("at"), F.count("*").alias("n")), "lines-ids")
+
+
+def _shared(keyed: DataFrame, label: str) -> DataFrame:
+    """(key, block, id, sh, first, n) of the rows (key, block, id, sh) whose key has different lines; n counts rows."""
+    keys = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first != last")
+    keys = written(keys.select("key", "first", "n"), f"{label}-keys")
+    small = keys.count() <= BROADCAST_KEYS
+    return written(keyed.join(F.broadcast(keys) if small else keys, "key").select("key", "block", "id", "sh", "first", "n").distinct(), label)
+
+
+def _members(lines: DataFrame) -> DataFrame:
+    """Lines by the keys that they share with others: key, block (null for further keys), id, sh, first (the least id of the key)."""
+    n = lines.count()
+    masks = block_masks(next(agree for most, agree in BLOCKS if n <= most))
+    keys = [F.struct(F.xxhash64(F.lit(k), F.col("sh").bitwiseAND(_signed(m))).alias("key"), F.lit(k).alias("block")) for k, m in enumerate(masks)]
+    more = F.transform("more", lambda x: F.struct(x.alias("key"), F.lit(None).cast("int").alias("block")))
+    keyed = lines.select(F.explode(F.concat(F.array(*keys), more)).alias("k"), "id", "sh").select("k.key", "k.block", "id", "sh")
+    found = _shared(keyed, "lines-shared")
+    hot = found.where(f"n > {HOT} and block is not null")
+    if hot.isEmpty():
+        return found
+    rest = [[_signed(p) for p in _parts([b for b in range(64) if not m >> b & 1], BUDGET + 1)] for m in masks]
+    parts = F.get(F.array(*[F.array(*r) for r in rest]), F.col("block"))
+    cut = hot.select(F.explode(F.transform(parts, lambda p: F.xxhash64("key", p, F.col("sh").bitwiseAND(p)))).alias("key"), "block", "id", "sh")
+    return found.where(f"n <= {HOT} or block is null").unionByName(_shared(cut, "lines-cut"))
+
+
+def _close(a: str, b: str) -> Column:
+    """Whether two lines of a key can be linked: any of a further key, those within the budget of a block key."""
+    return F.col("block").isNull() | (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BUDGET)
 
 
 def _edits(a: str, b: str) -> Column:
@@ -153,87 +229,78 @@ def _edits(a: str, b: str) -> Column:
     return (shorter >= SIMILARITY * longer - 0.000001) & F.expr(f"levenshtein({a}, {b}, {room}) between 0 and {room}")
 
 
-def _linked(pairs: DataFrame, distinct: DataFrame, prepared: DataFrame, characters: bool) -> DataFrame:
+def _linked(pairs: DataFrame, ids: DataFrame, prepared: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) whose lines are similar enough in words, or in characters."""
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct().join(distinct, "id")
-    words = line_words(F.col("line"))
-    plain = [F.array_join(words, " ").alias("plain")] if characters else []
-    texts = written(_read(wanted, prepared).select("id", word_codes(words).alias("line"), *plain), "lines-texts")
-    sides = [texts.select(F.col("id").alias(k), F.col("line").alias(c), *([F.col("plain").alias(f"{c}_plain")] if characters else [])) for k, c in (("u", "a"), ("v", "b"))]
+    pairs = written(pairs.distinct(), "lines-pairs")
+    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+    first = ids.join(wanted, "id", "left_semi").select("id", "at.row", "at.pos")
+    by_row = first.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "id"))).alias("want"))
+    read = prepared.select("row", F.col("doc.text").alias("text")).join(by_row, "row")
+    # the lines that are wanted, cut out of the split text before any of them becomes a row
+    cut = _let(F.split("text", "\n"), lambda x: F.transform(F.map_entries("want"), lambda e: F.struct(e["value"].alias("id"), F.get(x, e["key"]).alias("line"))))
+    read = read.select(F.explode(cut).alias("x")).select("x.id", line_words(F.col("x.line")).alias("words"))
+    texts = written(read.select("id", word_codes(F.col("words")).alias("codes"), F.array_join("words", " ").alias("plain")), "lines-texts")
+    sides = [texts.select(F.col("id").alias(k), F.col("codes").alias(f"{k}_codes"), F.col("plain").alias(f"{k}_plain")) for k in "uv"]
     both = pairs.join(sides[0], "u").join(sides[1], "v")
-    return both.where(_edits("a", "b") | _edits("a_plain", "b_plain") if characters else _edits("a", "b")).select("u", "v")
-
-
-def _run_groups(lines: DataFrame, prepared: DataFrame) -> DataFrame:
-    """As groups, for lines of _run_lines."""
-    distinct = written(lines.groupBy("id").agg(F.min("sh").alias("sh"), F.min("n").alias("n"), F.min(F.struct("_row", "_pos")).alias("at")), "lines-distinct")
-    # the words as a lambda's variable: split once, not once a run
-    keys = F.flatten(F.transform(F.array(line_words(F.col("line"))), run_keys))
-    keyed = _read(distinct, prepared).select("id", F.explode(keys).alias("key"))
-    by_key = Window.partitionBy("key")
-    shared = keyed.select("key", "id", F.count("*").over(by_key).alias("many"), F.min("id").over(by_key).alias("first")).where("many > 1").select("key", "id", "first")
-    facts = distinct.select("id", "sh", "n")
-    shared = written(shared.join(facts, "id"), "lines-keys")
-    near = shared.where("id != first").select("id", "sh", "n", "first").distinct().join(facts.select(F.col("id").alias("first"), F.col("sh").alias("f_sh"), F.col("n").alias("f_n")), "first")
-    near = near.where(_few_differ("sh", "n", "f_sh", "f_n")).select(F.col("first").alias("u"), F.col("id").alias("v"))
-    stars = written(_linked(written(near, "lines-pairs"), distinct, prepared, True), "lines-links")
-    roots = written(components(stars), "lines-roots")
-    known = shared.join(roots, shared["id"] == roots["node"], "left").select("key", "id", "sh", "n", F.coalesce("root", "id").alias("root"))
-    a, b = (known.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "sh", "n", "root")]) for side in "ab")
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & _few_differ("a_sh", "a_n", "b_sh", "b_n"))
-    rest = written(rest.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).distinct(), "lines-pairs")
-    more = written(_linked(rest, distinct, prepared, True), "lines-links")
-    if more.isEmpty():
-        return roots
-    return written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "lines-roots")
+    return both.where(_edits("u_codes", "v_codes") | _edits("u_plain", "v_plain")).select("u", "v")
 
 
-def groups(lines: DataFrame, prepared: DataFrame) -> DataFrame:
+def groups(lines: DataFrame, ids: DataFrame, prepared: DataFrame) -> DataFrame:
     """(node, root): ids of lines that are linked to others, with the least id of their component."""
-    distinct = written(lines.groupBy("id").agg(F.min("sh").alias("sh"), F.min(F.struct("_row", "_pos")).alias("at")), "lines-distinct")
-    keyed = distinct.select(F.explode(_keys(F.col("sh"))).alias("key"), "id", "sh")
-    by_key = Window.partitionBy("key")
-    least = F.min(F.struct("id", "sh")).over(by_key)
-    shared = keyed.select("key", "id", "sh", F.count("*").over(by_key).alias("n"), least.alias("least")).where("n > 1")
-    shared = written(shared.select("key", "id", "sh", F.col("least.id").alias("first"), F.col("least.sh").alias("first_sh")), "lines-keys")
-    near = shared.where(F.col("id") != F.col("first")).where(_close("sh", "first_sh")).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
-    stars = written(_linked(written(near, "lines-pairs"), distinct, prepared, False), "lines-links")
-    roots = written(components(stars), "lines-roots")
-    known = shared.join(roots, shared["id"] == roots["node"], "left").select("key", "id", "sh", F.coalesce("root", "id").alias("root"))
-    a, b = known.select("key", *[F.col(c).alias(f"a_{c}") for c in ("id", "sh", "root")]), known.select("key", *[F.col(c).alias(f"b_{c}") for c in ("id", "sh", "root")])
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & _close("a_sh", "b_sh"))
-    rest = written(rest.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).distinct(), "lines-pairs")
-    more = written(_linked(rest, distinct, prepared, False), "lines-links")
+    members = _members(lines)
+    firsts = members.where("id = first").select("key", F.col("sh").alias("first_sh"))
+    stars = members.where("id != first").join(firsts, "key").where(_close("sh", "first_sh")).select(F.col("first").alias("u"), F.col("id").alias("v"))
+    roots = written(components(written(_linked(stars, ids, prepared), "lines-links")), "lines-roots")
+    known = members.join(roots, members["id"] == roots["node"], "left").select("key", "block", "id", "sh", F.coalesce("root", "id").alias("root"))
+    # keys whose lines are all in one component have nothing more to compare
+    open_keys = known.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("key")
+    known = written(known.join(open_keys, "key", "left_semi"), "lines-open")
+    a, b = (known.select("key", *([F.col("block")] if side == "a" else []), *[F.col(c).alias(f"{side}_{c}") for c in ("id", "sh", "root")]) for side in "ab")
+    rest = a.join(b, (a["key"] == b["key"]) & (F.col("a_root") < F.col("b_root"))).where(_close("a_sh", "b_sh"))
+    more = written(_linked(rest.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")), ids, prepared), "lines-links")
     if more.isEmpty():
         return roots
     return written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "lines-roots")
 
 
+def _gone(lines: DataFrame, ids: DataFrame, roots: DataFrame) -> DataFrame:
+    """(row, gone): the places of the lines that go."""
+    ids = written(ids.join(roots, ids["id"] == roots["node"], "left").select("id", "at", "n", F.coalesce("root", "id").alias("root")), "lines-rooted")
+    firsts = ids.groupBy("root").agg(F.min("at").alias("first"), F.sum("n").alias("all")).where("all > 1").select("root", "first")
+    known = written(ids.join(firsts, "root").select("id", "n", F.col("first.row").alias("f_row"), F.col("first.pos").alias("f_pos")), "lines-firsts")
+    bar = lines.count() // MOST
+    often = known.where(F.col("n") > bar)
+    places = lines.select("id", "row", "pos")
+    hot = places.join(F.broadcast(often), "id")
+    rest = places.join(F.broadcast(often.select("id")), "id", "left_anti").join(known.where(F.col("n") <= bar), "id")
+    found = hot.unionByName(rest).where("row != f_row or pos != f_pos")
+    return found.groupBy("row").agg(F.collect_list("pos").alias("gone"))
+
+
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False, runs: bool = False) -> DataFrame:
     """docs without repeated lines, documents that lost all words left out.
 
     counts: keep every document, and add n_lines and n_removed.
-    runs: compare lines that share a run of words, in words and characters, instead of by SimHash.
+    runs: lines that share a run of words are candidates as well.
     """
-    prepared = _prepared(docs)
-    lines = _run_lines(prepared, min_words) if runs else _lines(prepared, min_words)
-    roots = _run_groups(lines, prepared) if runs else groups(lines, prepared)
-    seen = lines.join(roots, lines["id"] == roots["node"], "left").select(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row", "_pos").alias("at"), F.coalesce("root", "id").alias("root"))
-    seen = written(seen, "lines-places")
-    firsts = seen.groupBy("root").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
-    gone = seen.join(firsts, "root").where(~F.col("at").eqNullSafe(F.col("first"))).groupBy(F.col("at._row").alias("_row")).agg(F.collect_list("at._pos").alias("_gone"))
-    rows = prepared.join(gone, "_row", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    rows = rows.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+    n = bucket_count(docs)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
+    prepared = written_by(rows.repartition(n, "row"), "lines", "row", n)
+    lines = _lines(prepared, min_words, runs)
+    ids = _ids(lines)
+    rows = prepared.join(_gone(lines, ids, groups(lines, ids, prepared)), "row", "left")
+    text = F.col("doc.text")
+    kept = _let(F.split(text, "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)))
+    rows = rows.withColumn("cut", F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n")))
     columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.col("_text").alias("text"))
-        elif c == "n_chars":
-            columns.append(F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-        else:
-            columns.append(F.col(f"`{c}`"))
+    for f in docs.schema.fields:
+        c = F.col("doc").getField(f.name)
+        if f.name == "text":
+            c = F.col("cut")
+        elif f.name == "n_chars":
+            c = F.when(F.col("gone").isNull(), c).otherwise(F.length("cut")).cast(f.dataType)
+        columns.append(c.alias(f.name))
     if counts:
-        lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-        return rows.select(*columns, lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
-    return rows.where(F.col("_gone").isNull() | (word_count("_text") > 0)).select(columns)
+        lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+        return rows.select(*columns, lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return rows.where(F.col("gone").isNull() | (word_count("cut") > 0)).select(columns)

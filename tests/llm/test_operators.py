@@ -217,10 +217,10 @@ def test_line_dedup(spark, docs, rows, empty):
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]", "0", x.lower())).strip(" ")
     all_rows = sorted(((r["doc_id"], r["text"]) for r in table.collect()), key=lambda r: r[0])
     ids, where = {}, []
-    for doc_id, text in all_rows:
-        for x in (text or "").split("\n"):
+    for at, (_, text) in enumerate(all_rows):
+        for k, x in enumerate((text or "").split("\n")):
             if len(norm(x).split(" ")) >= 5:
-                where.append((doc_id, ids.setdefault(norm(x), len(ids))))
+                where.append((at, k, ids.setdefault(norm(x), len(ids))))
     names = list(ids)
 
     def bits(x):
@@ -229,32 +229,64 @@ def test_line_dedup(spark, docs, rows, empty):
 
     def distance(a, b):
         row = np.arange(len(b) + 1)
-        codes = np.array(b)
+        codes = np.array(list(b))
         for i, c in enumerate(a):
             after = np.concatenate(([i + 1], np.minimum(row[1:] + 1, row[:-1] + (codes != c))))
             row = np.minimum.accumulate(after - np.arange(len(after))) + np.arange(len(after))
         return row[-1]
 
     def similar(a, b):
-        a, b = a.split(" "), b.split(" ")
-        return distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-6)
-
-    hashes = [bits(x) for x in names]
-
-    def compared(x):
-        return x.bit_count() <= 8 and sum((x >> at & ((1 << n) - 1)) == 0 for at, n in line_dedup.BLOCKS) >= 2
-
-    links = [(a, b) for a in range(len(names)) for b in range(a) if compared(hashes[a] ^ hashes[b]) and similar(names[a], names[b])]
+        return any(distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-6) for x, y in ((a.split(" "), b.split(" ")), (a, b)))
+
+    hashes, less = np.array([bits(x) for x in names], np.uint64), defaultdict(set)
+    pairs = {(int(a), int(b)) for a, h in enumerate(hashes) for b in np.flatnonzero(np.bitwise_count(hashes[:a] ^ h) <= 3)}
+    for a, x in enumerate(names):
+        w = x.split(" ")
+        for rest in [w, *(w[:k] + w[k + 1 :] for k in range(len(w)))] if len(w) <= 16 else ():
+            less[tuple(sorted(rest))].add(a)
+    pairs |= {(a, b) for same in less.values() for a in same for b in same if b < a}
+    links = [(a, b) for a, b in pairs if similar(names[a], names[b])]
     root = union(len(names), links)
-    seen, gone = set(), Counter()
-    for doc_id, k in where:
-        gone[doc_id] += root[k] in seen
-        seen.add(root[k])
-    assert links
-    assert {i: sum(r["n_removed"] for r in rs) for i, rs in got.items()} == {i: gone[i] for i, _ in all_rows}
+    seen, gone = set(), set()
+    for at, k, x in where:
+        if root[x] in seen:
+            gone.add((at, k))
+        seen.add(root[x])
+    cut = lambda at, text: text if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if (at, k) not in gone)
+    want = Counter((i, cut(at, text), sum(g == at for g, _ in gone)) for at, (i, text) in enumerate(all_rows))
+    assert links and len(links) > len({root[x] for x, _ in links})
+    assert Counter((i, r["text"], r["n_removed"]) for i, rs in got.items() for r in rs) == want
     kept = line_dedup.dedup(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 200").first()["text"] is None
     assert line_dedup.dedup(empty).count() == 0
+    assert line_dedup.dedup(empty, runs=True).count() == 0
+
+
+def test_line_simhash_of_any_length(spark):
+    rng = np.random.default_rng(4)
+    lists = [rng.integers(-(2**63), 2**63, n).tolist() for n in (1, 2, 5, 62, 63, 64, 126, 127, 500, 20_000)]
+    got = spark.createDataFrame([(x,) for x in lists], "h array<bigint>").select(line_dedup.simhash(F.col("h")).alias("sh")).collect()
+    for x, r in zip(lists, got, strict=True):
+        v = np.array(x).view(np.uint64)
+        assert r["sh"] & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * int((v >> np.uint64(b) & np.uint64(1)).sum()) > len(v))
+
+
+def test_line_blocks_find_every_pair_within_the_budget():
+    for _, agree in line_dedup.BLOCKS:
+        masks = line_dedup.block_masks(agree)
+        for d in ((), (0,), (0, 13, 26), (5, 6, 7), (12, 13, 63), (20, 40, 60)):
+            assert any(not any(m >> b & 1 for b in d) for m in masks)
+        assert all(m < 1 << 64 for m in masks)
+
+
+def test_line_dedup_of_a_hot_group(spark):
+    """Hundreds of lines whose SimHashes lie close together, beside names that the operator uses itself."""
+    rng, words_ = random.Random(2), [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100]}" for k in range(300)]
+    texts = [" ".join([*words_[:k], *words_[k + 1 :]]) for k in range(200)] + [" ".join(rng.sample(words_, 300)) for _ in range(3)]
+    table = spark.createDataFrame([(k, x, k, -k, "p", "c", "g", 5) for k, x in enumerate(texts)], "doc_id bigint, text string, row bigint, doc bigint, pos string, cut string, gone string, sh int")
+    kept = line_dedup.dedup(table)
+    assert kept.columns == table.columns
+    assert {(r["doc_id"], r["row"], r["doc"], r["pos"]) for r in kept.collect()} == {(k, k, -k, "p") for k in (0, 200, 201, 202)}
 
 
 # op5 ---------------------------------------------------------------------------
