@@ -69,15 +69,18 @@ MOST = 1000
 #: Keys up to which the list of shared keys is broadcast (24 bytes each).
 BROADCAST_KEYS = 1 << 20
 _SUMS = (1 << 62) - 1
-#: Low bits of lanes of 8 and 32 bits, and the bits of a sum that say over half.
-_ONES8, _OVER8, _ONES32, _OVER32 = 0x0101010101010101, 0x4040404040404040, 0x0000000100000001, 0x4000000040000000
-#: Words that counters of 8 bits take.
-_CHUNK = 63
+#: The low bits of four and of two counters in a long, and the hashes that 16 bits count.
+_ONES16, _ONES32, MOST_COUNTED = 0x0001000100010001, 0x0000000100000001, 16_383
+
+
+def folded(text: Column) -> Column:
+    """A text in lower case, with digits as 0."""
+    return F.lower(F.regexp_replace(text, "[1-9]", "0"))
 
 
 def line_words(line: Column) -> Column:
-    """Words of a line in lower case, with digits as 0."""
-    return F.array_remove(F.split(F.translate(F.lower(line), "123456789", "000000000"), r"[\x20\x09-\x0D]+"), "")
+    """Words of a folded line."""
+    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
 
 
 def word_codes(words: Column) -> Column:
@@ -98,34 +101,32 @@ def _or(parts: list[Column]) -> Column:
     return out
 
 
-def _lanes(hashes: Column) -> Column:
-    """Eight sums of eight 8-bit counters: counter j of sum k counts bit 8 j + k."""
-
-    def lane(k: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_ONES8)))
-
-    return F.array(*[lane(k) for k in range(8)])
-
+def _majority(sums: list[Column], ones: int, bit: int) -> Column:
+    """The bits that over half of n have; sum k holds counters of bits k, k + step, ... ; lifted, a counter has bit ``bit`` if it is over half."""
+    lift = F.lit(ones) * (F.lit((1 << bit) - 1) - F.floor(F.col("n") / 2))
+    return _or([F.shiftleft(F.shiftrightunsigned((s + lift).bitwiseAND(F.lit(ones << bit)), bit), k) for k, s in enumerate(sums)])
 
-def simhash(hashes: Column) -> Column:
-    """The bits that over half of the hashes have; counters of 8 bits for each 63 of them, of 32 bits over these."""
-    zero, half = F.lit(0).cast("long"), F.floor(F.size(hashes) / 2)
 
-    def few(lanes: Column) -> Column:
-        lift = F.lit(_ONES8) * (F.lit(_CHUNK) - half)
-        return _or([F.shiftleft(F.shiftrightunsigned((F.get(lanes, F.lit(k)) + lift).bitwiseAND(F.lit(_OVER8)), 6), k) for k in range(8)])
+def simhashes(lists: DataFrame, keys: list[str], label: str = "simhashes") -> DataFrame:
+    """keys and sh of rows (keys, hashes): the bits that over half of a list's hashes have, for lists of any length.
 
-    def many(chunks: Column) -> Column:
-        lift = F.lit(_ONES32) * (F.lit((1 << 30) - 1) - half)
-
-        def total(k: int, m: int) -> Column:
-            wide = lambda c: F.shiftrightunsigned(F.get(c, F.lit(k)), 8 * m).bitwiseAND(F.lit(0xFF * _ONES32))
-            return F.aggregate(chunks, zero, lambda a, c: a + wide(c))
-
-        return _or([F.shiftleft(F.shiftrightunsigned((total(k, m) + lift).bitwiseAND(F.lit(_OVER32)), 30), 8 * m + k) for k in range(8) for m in range(4)])
-
-    chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(hashes), F.lit(1)), F.lit(_CHUNK)), lambda i: _lanes(F.slice(hashes, i, _CHUNK)))
-    return F.when(F.size(hashes) <= _CHUNK, _let(_lanes(hashes), few)).otherwise(_let(chunks, many))
+    Counters of 16 bits, four in a sum, add up MOST_COUNTED hashes each; only lists longer than that go on
+    to counters of 32 bits. The sums are compiled code over rows of one hash; a loop over an array is not.
+    """
+    rows = lists.select(*keys, F.size("hashes").alias("n"), F.posexplode("hashes").alias("at", "h"))
+    rows = rows.select(*keys, "n", F.floor(F.col("at") / MOST_COUNTED).alias("part"), "h")
+    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_ONES16))).alias(f"s{k}") for k in range(16)]
+    names = [f"s{k}" for k in range(16)]
+    rows = rows.groupBy(*keys, "n", "part").agg(*sums)
+    few = F.col("n") <= MOST_COUNTED
+    sh = F.when(few, _majority([F.col(s) for s in names], _ONES16, 14))
+    found = written(rows.select(*keys, "n", sh.alias("sh"), F.when(~few, F.array(*names)).alias("sums")), label)
+    long = found.where("sums is not null")
+    if long.isEmpty():
+        return found.select(*keys, "sh")
+    wide = [F.sum(F.shiftrightunsigned(F.get("sums", F.lit(k)), 16 * m).bitwiseAND(F.lit(0xFFFF * _ONES32))).alias(f"w{16 * m + k}") for m in range(2) for k in range(16)]
+    long = long.groupBy(*keys, "n").agg(*wide).select(*keys, _majority([F.col(f"w{k}") for k in range(32)], _ONES32, 30).alias("sh"))
+    return found.where("sums is null").select(*keys, "sh").unionByName(long)
 
 
 def short_keys(hashes: Column) -> Column:
@@ -173,7 +174,7 @@ def _lines(prepared: DataFrame, min_words: int, runs: bool) -> DataFrame:
     def facts(words: Column, i: Column) -> Column:
         def found(hashes: Column) -> Column:
             more = F.concat(short_keys(hashes), run_keys(words)) if runs else short_keys(hashes)
-            return F.struct(i.alias("pos"), F.xxhash64(F.array_join(words, " ")).alias("id"), _let(F.array_distinct(hashes), simhash).alias("sh"), more.alias("more"))
+            return F.struct(i.alias("pos"), F.xxhash64(F.array_join(words, " ")).alias("id"), F.array_distinct(hashes).alias("hashes"), more.alias("more"))
 
         return F.when(F.size(words) >= min_words, _let(F.transform(words, lambda w: F.xxhash64(w)), found))
 
@@ -181,9 +182,9 @@ def _lines(prepared: DataFrame, min_words: int, runs: bool) -> DataFrame:
         return F.when(F.length(x) >= 2 * min_words - 1, _let(line_words(x), lambda words: facts(words, i)))
 
     # in one expression before the rows part, so that no filter is pushed down and computes it again
-    found = F.filter(F.transform(F.split("doc.text", "\n"), line), lambda x: x.isNotNull())
-    rows = prepared.select("row", F.col("doc.doc_id").alias("did"), F.explode(found).alias("x"))
-    return written(rows.select("row", "did", "x.pos", "x.id", "x.sh", "x.more"), "lines-hashes")
+    found = F.filter(F.transform(F.split(folded(F.col("doc.text")), "\n"), line), lambda x: x.isNotNull())
+    rows = prepared.select("row", F.col("doc.doc_id").alias("did"), F.explode(found).alias("x")).select("row", "did", "x.*")
+    return simhashes(rows, ["row", "did", "pos", "id", "more"], "lines-hashes")
 
 
 def _ids(lines: DataFrame) -> DataFrame:
@@ -238,7 +239,7 @@ def _linked(pairs: DataFrame, ids: DataFrame, prepared: DataFrame) -> DataFrame:
     read = prepared.select("row", F.col("doc.text").alias("text")).join(by_row, "row")
     # the lines that are wanted, cut out of the split text before any of them becomes a row
     cut = _let(F.split("text", "\n"), lambda x: F.transform(F.map_entries("want"), lambda e: F.struct(e["value"].alias("id"), F.get(x, e["key"]).alias("line"))))
-    read = read.select(F.explode(cut).alias("x")).select("x.id", line_words(F.col("x.line")).alias("words"))
+    read = read.select(F.explode(cut).alias("x")).select("x.id", line_words(folded(F.col("x.line"))).alias("words"))
     texts = written(read.select("id", word_codes(F.col("words")).alias("codes"), F.array_join("words", " ").alias("plain")), "lines-texts")
     sides = [texts.select(F.col("id").alias(k), F.col("codes").alias(f"{k}_codes"), F.col("plain").alias(f"{k}_plain")) for k in "uv"]
     both = pairs.join(sides[0], "u").join(sides[1], "v")
