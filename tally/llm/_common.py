@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,10 +62,23 @@ def _sweep() -> None:
             return
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession):
+    """Shuffle files of what is executed inside go at its end, not when the driver's memory is next cleaned."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: cuts its lineage, survives lost executors."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_go(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -87,7 +101,8 @@ def written_by(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     name = "tally_" + path.rsplit("-", 1)[1]
-    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+    with shuffles_go(spark):
+        df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
     _names.append((spark, name))
     return spark.table(name)
 
@@ -101,6 +116,32 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def least(rows: DataFrame, n: int, count: int, *by: str) -> DataFrame:
+    """The n rows of least hash of ``by`` among count rows; ties by these columns.
+
+    Rows far above the hash that some 8 n rows fall under are filtered first, so that
+    what is sorted and sent does not grow with the number of partitions.
+    """
+    h = F.xxhash64(*by)
+    if count > 8 * n:
+        bound = -(1 << 63) + int((1 << 64) * 8 * n / count)
+        few = rows.where(h < F.lit(min(bound, (1 << 63) - 1)))
+        # repeated rows share a hash: only a sample that is large enough is taken from below the bound
+        if few.limit(n).count() == n:
+            rows = few
+    return rows.orderBy(h, *by).limit(n)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """names, with underscores before those that a table already has in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ over ``HOT`` lines is cut further: the bits outside it fall into BUDGET + 1 part
 which one agrees. For the short lines a key is the sum of the hashes of all words
 but one, or of all.
 
-Keys are counted map-side first, and only keys of two different lines or more are
+Keys are counted, map-side first, and only keys of two different lines or more are
 joined back. A group of many similar lines is not expanded into pairs: each key first
 links its lines to the least of them, and only lines that are in different components
 after that are compared with each other. What the second join leaves out joins
@@ -66,8 +66,8 @@ BLOCKS = ((1 << 23, 2), (1 << 29, 3), (1 << 33, 4), (1 << 62, 5))
 HOT = 64
 #: Lines that are repeated over 1 / MOST of all lines each.
 MOST = 1000
-#: Keys up to which the list of shared keys is broadcast (24 bytes each).
-BROADCAST_KEYS = 1 << 20
+#: Keys up to which the list of shared keys is broadcast (16 bytes each).
+BROADCAST_KEYS = 1 << 22
 _SUMS = (1 << 62) - 1
 #: The low bits of four and of two counters in a long, and the hashes that 16 bits count.
 _ONES16, _ONES32, MOST_COUNTED = 0x0001000100010001, 0x0000000100000001, 16_383
@@ -188,27 +188,27 @@ def _lines(prepared: DataFrame, min_words: int, runs: bool) -> DataFrame:
 
 
 def _ids(lines: DataFrame) -> DataFrame:
-    """id, at (the first place of such a line) and n (how many there are)."""
+    """id, sh, more, at (the first place of such a line) and n (how many there are)."""
     at = F.struct(F.col("did").isNull().alias("no_id"), "did", "row", "pos")
-    return written(lines.groupBy("id").agg(F.min(at).alias("at"), F.count("*").alias("n")), "lines-ids")
+    return written(lines.groupBy("id").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.min("sh").alias("sh"), F.first("more").alias("more")), "lines-ids")
 
 
 def _shared(keyed: DataFrame, label: str) -> DataFrame:
-    """(key, block, id, sh, first, n) of the rows (key, block, id, sh) whose key has different lines; n counts rows."""
-    keys = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first != last")
-    keys = written(keys.select("key", "first", "n"), f"{label}-keys")
+    """(key, block, id, sh, n) of the rows (key, block, id, sh) whose key has n > 1 of them."""
+    keys = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-keys")
     small = keys.count() <= BROADCAST_KEYS
-    return written(keyed.join(F.broadcast(keys) if small else keys, "key").select("key", "block", "id", "sh", "first", "n").distinct(), label)
+    return written(keyed.join(F.broadcast(keys) if small else keys, "key").select("key", "block", "id", "sh", "n"), label)
 
 
-def _members(lines: DataFrame) -> DataFrame:
-    """Lines by the keys that they share with others: key, block (null for further keys), id, sh, first (the least id of the key)."""
-    n = lines.count()
+def _members(ids: DataFrame) -> DataFrame:
+    """Lines by the keys that they share with others: key, block (null for further keys), id, sh, n."""
+    n = ids.count()
     masks = block_masks(next(agree for most, agree in BLOCKS if n <= most))
     keys = [F.struct(F.xxhash64(F.lit(k), F.col("sh").bitwiseAND(_signed(m))).alias("key"), F.lit(k).alias("block")) for k, m in enumerate(masks)]
     more = F.transform("more", lambda x: F.struct(x.alias("key"), F.lit(None).cast("int").alias("block")))
-    keyed = lines.select(F.explode(F.concat(F.array(*keys), more)).alias("k"), "id", "sh").select("k.key", "k.block", "id", "sh")
-    found = _shared(keyed, "lines-shared")
+    blocks = ids.select(F.explode(F.array(*keys)).alias("k"), "id", "sh").select("k.key", "k.block", "id", "sh")
+    others = ids.where(F.size("more") > 0).select(F.explode(more).alias("k"), "id", "sh").select("k.key", "k.block", "id", "sh")
+    found = _shared(blocks.unionByName(others), "lines-shared")
     hot = found.where(f"n > {HOT} and block is not null")
     if hot.isEmpty():
         return found
@@ -246,11 +246,11 @@ def _linked(pairs: DataFrame, ids: DataFrame, prepared: DataFrame) -> DataFrame:
     return both.where(_edits("u_codes", "v_codes") | _edits("u_plain", "v_plain")).select("u", "v")
 
 
-def groups(lines: DataFrame, ids: DataFrame, prepared: DataFrame) -> DataFrame:
+def groups(ids: DataFrame, prepared: DataFrame) -> DataFrame:
     """(node, root): ids of lines that are linked to others, with the least id of their component."""
-    members = _members(lines)
-    firsts = members.where("id = first").select("key", F.col("sh").alias("first_sh"))
-    stars = members.where("id != first").join(firsts, "key").where(_close("sh", "first_sh")).select(F.col("first").alias("u"), F.col("id").alias("v"))
+    members = _members(ids)
+    firsts = members.groupBy("key").agg(F.min("id").alias("first"), F.min_by("sh", "id").alias("first_sh"))
+    stars = members.join(firsts, "key").where(F.col("id") != F.col("first")).where(_close("sh", "first_sh")).select(F.col("first").alias("u"), F.col("id").alias("v"))
     roots = written(components(written(_linked(stars, ids, prepared), "lines-links")), "lines-roots")
     known = members.join(roots, members["id"] == roots["node"], "left").select("key", "block", "id", "sh", F.coalesce("root", "id").alias("root"))
     # keys whose lines are all in one component have nothing more to compare
@@ -289,7 +289,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False, run
     prepared = written_by(rows.repartition(n, "row"), "lines", "row", n)
     lines = _lines(prepared, min_words, runs)
     ids = _ids(lines)
-    rows = prepared.join(_gone(lines, ids, groups(lines, ids, prepared)), "row", "left")
+    rows = prepared.join(_gone(lines, ids, groups(ids, prepared)), "row", "left")
     text = F.col("doc.text")
     kept = _let(F.split(text, "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)))
     rows = rows.withColumn("cut", F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n")))
