@@ -2,8 +2,9 @@
 
 Byte-level BPE cuts a text by a fixed pattern before it merges, and a blank
 before a word always starts a new cut unless white space follows the blank. So
-the ids of a text are those of its parts at single blanks. Parts that do not
-hold this (a blank before white space) send the whole text to the library.
+the ids of a text are those of its parts at single blanks. Texts that do not
+hold this (a blank before white space, or an added token such as the end mark)
+go to the library whole.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_path())
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings that the vocabulary adds beside its merges cut a text anywhere: such texts go to the library whole
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if sys.byteorder != "little":
             raise RuntimeError("ids are written in native order, which has to be little-endian")
         self.dtype = dtype
@@ -98,6 +100,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return self.whole(text)
         parts = text.split(" ")
         first = parts[0]
         try:

@@ -1,10 +1,12 @@
 """Token-id files: whole texts as ids, Re-Pair compressed, in doc_id order.
 
 A shard holds the ids of consecutive documents, about ``SHARD`` ids (a document
-is never cut). Re-Pair rounds replace frequent neighbouring pairs by new
-symbols: a round counts all pairs of the shard, takes the most frequent ones
-whose left and right symbols do not overlap (so that no two chosen occurrences
-do), and replaces all their occurrences at once. The payload of a shard is
+is never cut). Re-Pair replaces frequent neighbouring pairs by new symbols until no
+pair occurs ``MIN_COUNT`` times. It goes in rounds: a round counts all pairs of the
+shard, takes up to ``BATCH`` of the most frequent ones whose left and right symbols do
+not overlap (so that no two chosen occurrences do; a pair of one symbol with itself
+is counted and replaced left to right), and replaces all their occurrences at once.
+What a round leaves out is counted again in the next. The payload of a shard is
 
     magic "TRP1", then little-endian u32: base, width (bytes a symbol), rules,
     symbols, ids; then the rules (left, right), their expansion lengths (u32)
@@ -26,7 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bpe import Encoder
@@ -35,57 +37,68 @@ from ._common import new_path
 MAGIC = b"TRP1"
 END = 2
 SHARD = 1 << 20
-ROUNDS = 3
-MIN_COUNT = 12
+MIN_COUNT = 8
 #: Symbols replaced in one round, at most.
 BATCH = 3000
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> bytes:
-    """The payload of one shard; ids are below base."""
-    width = 2 if base + rounds * 64 < 1 << 16 else 4
-    room = (1 << 16) - base if width == 2 else 1 << 20
-    code_type, shift = (np.uint32, 16) if width == 2 else (np.uint64, 32)
-    seq, rules = ids.astype(code_type), []
-    for _ in range(rounds):
-        if len(seq) < 2 * min_count or room - len(rules) < 1:
-            break
-        codes = (seq[:-1] << code_type(shift)) | seq[1:]
-        ordered = np.sort(codes)
+def _overlapping(seq: np.ndarray) -> np.ndarray:
+    """Places of pairs of one symbol with itself that overlap an earlier one of their run, taken left to right."""
+    same = np.flatnonzero(seq[:-1] == seq[1:])
+    if not len(same):
+        return same
+    first = np.concatenate(([True], np.diff(same) > 1))
+    start = np.maximum.accumulate(np.where(first, same, 0))
+    return same[(same - start) % 2 == 1]
+
+
+def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> bytes:
+    """The payload of one shard; ids are below base. Goes on until no pair occurs min_count times."""
+    seq, rules, shift = ids.astype(np.uint32), [], 16 if base <= 1 << 16 else 32
+    while len(seq) > 1:
+        if shift == 16 and base + len(rules) + BATCH > 1 << 16:
+            shift = 32
+        kind = np.uint32 if shift == 16 else np.uint64
+        mask, seq = kind((1 << shift) - 1), seq.astype(kind)
+        codes = (seq[:-1] << kind(shift)) | seq[1:]
+        overlap = _overlapping(seq)
+        ordered = np.sort(np.delete(codes, overlap))
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(edges, len(ordered)))
         often = np.flatnonzero(counts >= min_count)
         if not len(often):
             break
         pairs, counts = ordered[edges[often]], counts[often]
-        best = np.lexsort((pairs, -counts))[: min(BATCH, room - len(rules)) * 2]
+        if len(pairs) > 4 * BATCH:
+            top = np.argpartition(-counts, 4 * BATCH)[: 4 * BATCH]
+            pairs, counts = pairs[top], counts[top]
         lefts, rights, chosen = set(), set(), []
-        for code in pairs[best].tolist():
-            a, b = code >> shift, code & ((1 << shift) - 1)
-            if a not in rights and b not in lefts and a != b:
+        for code in pairs[np.lexsort((pairs, -counts))].tolist():
+            a, b = code >> shift, code & int(mask)
+            if a not in rights and b not in lefts and (a != b or a not in lefts):
                 lefts.add(a)
                 rights.add(b)
                 chosen.append(code)
-                if len(chosen) >= min(BATCH, room - len(rules)):
+                if len(chosen) >= BATCH:
                     break
-        if not chosen:
-            break
-        chosen = np.sort(np.array(chosen, code_type))
-        is_left = np.zeros(base + len(rules), bool)
-        is_left[(chosen >> code_type(shift)).astype(np.int64)] = True
-        is_right = np.zeros(base + len(rules), bool)
-        is_right[(chosen & code_type((1 << shift) - 1)).astype(np.int64)] = True
-        maybe = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
+        chosen = np.sort(np.array(chosen, kind))
+        is_left, is_right = np.zeros(base + len(rules), bool), np.zeros(base + len(rules), bool)
+        is_left[(chosen >> kind(shift)).astype(np.int64)] = True
+        is_right[(chosen & mask).astype(np.int64)] = True
+        may = is_left[seq[:-1]] & is_right[seq[1:]]
+        may[overlap] = False
+        maybe = np.flatnonzero(may)
         at = np.searchsorted(chosen, codes[maybe])
         at[at == len(chosen)] = 0
         hit = chosen[at] == codes[maybe]
         where = maybe[hit]
-        seq[where] = (base + len(rules) + at[hit]).astype(code_type)
+        seq = seq.astype(np.uint32)
+        seq[where] = (base + len(rules) + at[hit]).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq = seq[keep]
-        mask = code_type((1 << shift) - 1)
-        rules.extend(zip((chosen >> code_type(shift)).tolist(), (chosen & mask).tolist(), strict=True))
+        rules.extend(zip((chosen >> kind(shift)).tolist(), (chosen & mask).tolist(), strict=True))
+    width = 2 if base + len(rules) <= 1 << 16 else 4
     kind = np.dtype(f"<u{width}")
     lengths = expansions(np.array(rules, np.int64).reshape(-1, 2), base)
     head = struct.pack("<5I", base, width, len(rules), len(seq), len(ids))
@@ -219,16 +232,15 @@ def _digest(batches):
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files.
 
-    The starts of the shards come from a list of one row a shard (its order and
-    its number of ids), the only thing that goes to the driver.
+    Shards of a part are added up in a window of that part, and parts (one a writing
+    task) in a window of one row a part: nothing goes to the driver.
     """
     shards = read_token_files(spark, path)
-    listed = shards.select("part", "shard", "n_ids").orderBy("part", "shard").collect()
-    firsts, at = [], 0
-    for r in listed:
-        firsts.append((r["part"], r["shard"], at))
-        at += r["n_ids"]
-    begins = spark.createDataFrame(firsts, "part int, shard int, first bigint")
+    listed = shards.select("part", "shard", "n_ids")
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = listed.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("begin"))
+    begins = listed.select("part", "shard", before(Window.partitionBy("part").orderBy("shard")).alias("inside")).join(parts, "part")
+    begins = begins.select("part", "shard", (F.col("begin") + F.col("inside")).alias("first"))
     rows = shards.mapInArrow(_digest, "part int, shard int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
     return rows.join(begins, ["part", "shard"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
