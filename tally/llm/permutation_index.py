@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by a permutation index.
 
-``PIVOTS`` vectors, those of least hash, are the pivots. Every vector is
+``PIVOTS`` vectors, drawn from 512 rows of least hash, are the pivots. Every vector is
 represented by its ``PREFIX`` nearest pivots in order, and posted under each of
 them. A query's vectors are ranked by the footrule distance between the two
 orders (the sum of place differences; a pivot missing in one order counts as the
@@ -17,25 +17,31 @@ The index holds every row, with no caps. ``SHARE`` of a block's entries (and no
 less than ``RERANK``) are reranked for each query; measured recall at 10 against
 brute force is in the README.
 
-Defined results: vectors null, zero, of another length than most pivots, or with
-null or non-finite components take no part; rows of the same vec_id are
-candidates of their own (a query leaves out every row of its own vec_id); with
-fewer than ten candidates all are returned; an empty table gives no rows.
+Nothing is pruned before the ranking: on vectors without clusters, such as those of
+the test tables, files of the nearest pivots alone miss too many neighbours. Work
+grows with queries times rows; an index block moves once for each ``QUERIES`` queries.
+
+Defined results: vectors null, zero, or with null or non-finite components take no
+part, nor do those of another length than most have (the longer one of two equally
+common lengths); rows of the same vec_id are candidates of their own, each found once
+(a query leaves out every row of its own vec_id), and query rows of one vec_id are one
+query, whose distance to a row is the least of theirs; with fewer than ten candidates
+all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import least, written
 
 PIVOTS = 128
 PREFIX = 64
 BLOCK = 8192
-QUERIES = 256
+QUERIES = 4096
 SHARE = 0.2
 RERANK = 200
 NEAREST = 10
@@ -51,9 +57,10 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.
 class Block:
     """Distinct vectors of a block with their inverted files by pivot."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX, keep: int = NEAREST + 1):
-        order = np.lexsort((ids, *vectors.T[::-1]))
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX, keep: int = NEAREST + 1):
+        order = np.lexsort((rows, ids, *vectors.T[::-1]))
         ids, vectors = ids[order], vectors[order]
+        self.rows = rows[order]
         new = np.concatenate(([True], (vectors[1:] != vectors[:-1]).any(1)))
         self.entry = np.cumsum(new) - 1
         self.starts = np.append(np.flatnonzero(new), len(ids))
@@ -68,8 +75,8 @@ class Block:
         self.cuts = np.searchsorted(order.reshape(-1)[by_pivot], np.arange(len(pivots) + 1))
         self.rerank = min(len(self.vectors), max(RERANK, int(SHARE * len(self.vectors))))
 
-    def nearest(self, query_id: int, query: np.ndarray, order: np.ndarray, n: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """The n nearest rows of the block by exact distance, among those ranked first."""
+    def nearest(self, query_id: int, query: np.ndarray, order: np.ndarray, n: int = NEAREST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, row numbers and distances of the n nearest rows of the block by exact distance, among those ranked first."""
         footrule = np.zeros(len(self.vectors), np.int32)
         for at, pivot in enumerate(order.tolist()):
             s, e = self.cuts[pivot], self.cuts[pivot + 1]
@@ -88,9 +95,9 @@ class Block:
         distance = np.repeat(distance, list(map(len, rows)))
         rows = np.concatenate(rows) if rows else np.empty(0, np.int64)
         other = self.ids[rows] != query_id
-        ids, distance = self.ids[rows][other], distance[other]
-        best = np.lexsort((ids, distance))[:n]
-        return ids[best], distance[best]
+        rows, distance = rows[other], distance[other]
+        best = np.lexsort((self.rows[rows], self.ids[rows], distance))[:n]
+        return self.ids[rows[best]], self.rows[rows[best]], distance[best]
 
     def _own(self, entry: int, query_id: int) -> int:
         """Rows of the query's own id among an entry, which do not count."""
@@ -105,15 +112,16 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).where(fine & F.col("vec_id").isNotNull())
 
 
-def _pack(size: int):
-    """Rows of one block as one row: ids and vectors as bytes."""
+PACKED = "block int, ids binary, rows binary, vectors binary"
+FOUND = "query_id bigint, vec_id bigint, row bigint, score double"
 
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        return pa.table({"block": table.column("block")[:1], "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([flat.tobytes()], pa.binary())})
 
-    return run
+def _pack(table: pa.Table) -> pa.Table:
+    """Rows of one block as one row: ids, row numbers and vectors as bytes."""
+    ids = table.column("vec_id").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    rows = table.column("row").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
+    return pa.table({"block": table.column("block")[:1], "ids": pa.array([ids.tobytes()], pa.binary()), "rows": pa.array([rows.tobytes()], pa.binary()), "vectors": pa.array([flat.tobytes()], pa.binary())})
 
 
 def _search(pivots: np.ndarray, nearest: int):
@@ -124,41 +132,41 @@ def _search(pivots: np.ndarray, nearest: int):
                 if row["block"] != last:
                     last = row["block"]
                     ids, vectors = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, pivots.shape[1])
-                    block = Block(ids, vectors, pivots, keep=nearest + 1)
+                    block = Block(ids, np.frombuffer(row["rows"], np.int64), vectors, pivots, keep=nearest + 1)
                 q_ids, queries = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"]).reshape(-1, pivots.shape[1])
                 q_orders = orders(queries, pivots)
                 found = [block.nearest(i, q, o, nearest) for i, q, o in zip(q_ids.tolist(), queries, q_orders, strict=True)]
                 sizes = [len(f[0]) for f in found]
                 if sum(sizes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["query_id", "vec_id", "score"])
+                    columns = [np.repeat(q_ids, sizes), *(np.concatenate([f[k] for f in found]) for k in range(3))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "row", "score"])
 
     return run
 
 
 def search(vectors: DataFrame, every: int = 100, nearest: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows of those whose vec_id is divisible by ``every``."""
-    rows = usable(vectors)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * PIVOTS).collect()  # a fixed number of pivots
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if not picked:
+    rows = usable(vectors)
+    sizes = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).limit(1).collect()
+    if not sizes:
         return rows.sparkSession.createDataFrame([], schema)
-    sizes = [len(r["v"]) for r in picked]
-    width = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    pivots = np.unique(np.array([r["v"] for r in picked if len(r["v"]) == width]), axis=0)
-    pivots = pivots[np.argsort(((pivots * 1e3) % 1).sum(1) % 1, kind="stable")][:PIVOTS]
-    rows = rows.where(F.size("v") == width)
-    n = rows.count()
+    width, n = sizes[0]["width"], sizes[0]["count"]
+    # a number a row: candidates are rows, whatever their ids and vectors
+    rows = written(rows.where(F.size("v") == width).withColumn("row", F.monotonically_increasing_id()), "ann-rows")
+    picked = least(rows.select("vec_id", "v"), 4 * PIVOTS, n, "vec_id", "v").collect()  # a fixed number of pivots
+    pivots = np.unique(np.array([r["v"] for r in picked]), axis=0)
+    pivots = pivots[np.random.default_rng(1).permutation(len(pivots))[:PIVOTS]]
     blocks, q_blocks = -(-n // BLOCK), -(-n // (every * QUERIES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, blocks))).cast("int"))
-    packed = written(dealt.groupBy("block").applyInArrow(_pack(BLOCK), "block int, ids binary, vectors binary"), "ann-blocks")
+    packed = written(dealt.groupBy("block").applyInArrow(_pack, PACKED), "ann-blocks")
     asked = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(max(1, q_blocks))).cast("int"))
-    asked = asked.groupBy("block").applyInArrow(_pack(QUERIES), "block int, ids binary, vectors binary").select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    asked = asked.groupBy("block").applyInArrow(_pack, PACKED).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     # each query block goes to each index block: rows of this table are blocks, not vectors
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1))))
     work = packed.join(asked, "block").repartition("block", "q_block").sortWithinPartitions("block")
-    found = written(work.select("block", "ids", "vectors", "q_ids", "q_vectors").mapInArrow(_search(pivots, nearest), "query_id bigint, vec_id bigint, score double"), "ann-found")
-    from pyspark.sql import Window
-
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    # repeated query rows find the same rows: one answer for each query_id and found row
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+    found = written(work.select("block", "ids", "rows", "vectors", "q_ids", "q_vectors").mapInArrow(_search(pivots, nearest), FOUND), "ann-found")
+    # repeated query rows find the same rows: one answer, the nearest, for each query_id and found row
+    once = found.groupBy("query_id", "row").agg(F.min("score").alias("score"), F.min("vec_id").alias("vec_id"))
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id", "row")
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
