@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import least, written
 from .quality_rules import SYMBOLS, repeated_words
 
 #: Rows on which the scorer is trained, at most.
@@ -183,7 +183,7 @@ def fit(measured: DataFrame) -> tuple[dict[int, float], tuple]:
     counts = measured.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # 3**9 rows at most
     patterns = np.array([r["pattern"] for r in counts], np.int64)
     posterior = dict(zip(patterns.tolist(), estimate(patterns, np.array([r["n"] for r in counts], float)).tolist(), strict=True)) if counts else {}
-    rows = measured.orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h").limit(FIT).collect()
+    rows = least(measured, FIT, sum(r["n"] for r in counts), "doc_id", "h").collect()
     return posterior, train(rows, posterior)
 
 
