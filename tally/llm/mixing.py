@@ -63,7 +63,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE) -> Data
 
 def chance(doc_id: Column | str, seed: str = SEED) -> Column:
     """A number in [0, 1) from the seed and the doc_id: 52 bits of an MD5."""
-    key = F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id, F.lit("null")))
+    key = F.concat(F.lit(seed + ":"), F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit("null")))
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
@@ -72,37 +72,37 @@ def copies(rate: Column, doc_id: Column | str, seed: str = SEED) -> Column:
 
 
 def _with_rates(rows: DataFrame, rates: DataFrame, max_rate: int) -> DataFrame:
-    """rows with source_size, target and rate of their source; both sides carry ``_mix_source``."""
+    """rows (doc, source, part) with source_size, target and rate of their source; ``part`` deals out the rows of a source."""
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(max_rate)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     # `is null` beside the name makes an equi-join of the null-safe comparison
-    rates = rates.select(F.coalesce("source", F.lit("")).alias("_mix_source"), F.col("source").isNull().alias("_mix_null"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), rate.alias("_mix_rate"))
-    rows = rows.withColumns({"_mix_null": F.col("source").isNull(), "_mix_source": F.coalesce("source", F.lit(""))})
-    keys = ["_mix_source", "_mix_null"]
+    keys = ["source", "no_source"]
+    rates = rates.select(F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"), "source_size", "target", rate.alias("rate"))
+    rows = rows.withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
     if rates.count() <= BROADCAST_SOURCES:
-        return rows.join(F.broadcast(rates), keys).drop(*keys)
-    salted = rates.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    return rows.withColumn("_mix_salt", part).join(salted, [*keys, "_mix_salt"]).drop(*keys, "_mix_salt")
+        return rows.join(F.broadcast(rates), keys)
+    salted = rates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, [*keys, "part"])
 
 
 def plan_mix(docs: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken of every row of docs."""
     sized = written(docs.select("doc_id", "source", word_count("text").alias("size")), "mix-sizes")
     rates = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_rate), "mix-rates")
-    n = copies(F.col("_mix_rate"), "doc_id", seed)
-    return _with_rates(sized, rates, max_rate).select(
-        "doc_id", "source", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"),
-        F.col("_mix_rate").alias("rate"), n.alias("copies"), (F.col("size") * n).alias("taken"),
+    rows = sized.select(F.struct("*").alias("doc"), "source", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("part"))
+    n = copies(F.col("rate"), F.col("doc.doc_id"), seed)
+    return _with_rates(rows, rates, max_rate).select(
+        "doc.doc_id", "doc.source", "doc.size", "source_size", "target", "rate", n.alias("copies"), (F.col("doc.size") * n).alias("taken"),
     )
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE, seed: str = SEED) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, with the columns of docs."""
+    """The mix itself: every row of docs as often as it is taken, with the columns of docs, whatever their names."""
     sizes = docs.groupBy("source").agg(F.sum(word_count("text")).alias("source_size"))
     rates = written(targets(sizes, weights, max_rate), "mix-rates")
-    n = copies(F.col("_mix_rate"), "doc_id", seed).cast("int")
-    taken = _with_rates(docs, rates, max_rate).withColumn("_mix_n", n).where("_mix_n > 0")
-    return taken.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("doc"), "source", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("part"))
+    n = copies(F.col("rate"), F.col("doc.doc_id"), seed).cast("int")
+    taken = _with_rates(rows, rates, max_rate).withColumn("n", n).where("n > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc.*")
 
 
 ORACLE = r"""

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import fresh, written
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -137,22 +137,50 @@ def judge(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LI
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_removed_words")
 
 
-def _strip(batches):
-    for batch in batches:
-        out = []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
-            if text is not None and gone:
-                drop = set(gone)
-                text = "\n".join(x for x in text.split("\n") if not x.strip() or line_hash(x.encode()) not in drop)
-            out.append(text)
-        names = [n for n in batch.schema.names if n != "_gone"]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+def _strip(column: str):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column(column).to_pylist(), strict=True):
+                if text is not None and gone:
+                    drop = set(gone)
+                    text = b"\n".join(x for x in text.encode().split(b"\n") if not x.split() or line_hash(x) not in drop).decode()
+                out.append(text)
+            names = [n for n in batch.schema.names if n != column]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+
+    return run
 
 
 def without_frequent_lines(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE) -> DataFrame:
-    """docs with the frequent lines of their hosts taken out of the texts."""
-    measured = measure(docs)
-    frequent = written(frequent_lines(measured, limit_docs, limit_share), "rules-lines")
-    gone = frequent.groupBy("h", "no_host").agg(F.collect_set("line").alias("_gone"))
-    rows = docs.withColumns({"h": F.coalesce("source", F.lit("")), "no_host": F.col("source").isNull()}).join(gone, ["h", "no_host"], "left").drop("h", "no_host")
-    return rows.mapInArrow(_strip, docs.schema)
+    """docs with the frequent lines of their hosts taken out of the texts; other columns pass through, whatever their names.
+
+    A row gets the list of its own lines that go, never that of its host.
+    """
+    row, lost = fresh(docs.columns, "row", "gone")
+    # rows are numbered in a table, so that both sides of the join see the same numbers
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "rules-docs")
+    host = [F.coalesce("source", F.lit("")).alias("h"), F.col("source").isNull().alias("no_host")]
+    lines = docs.select(F.col(row).alias("row"), *host, F.col("text").cast("binary").alias("text")).mapInArrow(_hashes, "row bigint, h string, no_host boolean, line bigint")
+    lines = written(lines, "rules-hashes")
+    sizes = docs.groupBy(*host).agg(F.count("*").alias("docs"))
+    often = lines.groupBy("h", "no_host", "line").agg(F.count("*").alias("n")).where(F.col("n") > limit_docs)
+    often = written(often.join(sizes, ["h", "no_host"]).where(F.col("n") > F.col("docs") * limit_share).select("h", "no_host", "line"), "rules-lines")
+    few = often.count() <= BROADCAST_LINES
+    hit = lines.join(F.broadcast(often) if few else often, ["h", "no_host", "line"])
+    gone = hit.groupBy("row").agg(F.collect_list("line").alias(lost)).withColumnRenamed("row", row)
+    columns = [f.name for f in docs.schema.fields if f.name != row]
+    rows = docs.join(gone, row, "left").select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{lost}`"))
+    return rows.mapInArrow(_strip(lost), docs.select(*[F.col(f"`{c}`") for c in columns]).schema)
+
+
+def _hashes(batches):
+    """A row for each distinct line of a text."""
+    for batch in batches:
+        texts, at, out = batch.column("text"), [], []
+        for i in range(batch.num_rows):
+            found = list(line_words(texts[i].as_py()))
+            at += [i] * len(found)
+            out += found
+        picked = [batch.column(n).take(pa.array(at, pa.int32())) for n in ("row", "h", "no_host")]
+        yield pa.RecordBatch.from_arrays([*picked, pa.array(out, pa.int64())], names=["row", "h", "no_host", "line"])

@@ -313,7 +313,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: fl
     similarity: also link texts of at least this Jaccard similarity of shingles.
     """
     found = classify(docs, shingle) if similarity is None else _classify_similar(docs, shingle, similarity)
-    keep = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("_keep_id"), F.col("k.h").alias("_keep_h"))
-    rows = docs.withColumn("_keep_hash", F.xxhash64("text"))
-    held = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_keep_hash") == F.col("_keep_h")), "left_semi")
-    return held.dropDuplicates(["doc_id", "_keep_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("keep_id"), F.col("k.h").alias("keep_h"))
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("h"))
+    held = rows.join(keep, F.col("doc.doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h")), "left_semi")
+    return held.select("doc", "h", F.col("doc.doc_id").alias("id")).dropDuplicates(["id", "h"]).select("doc.*")

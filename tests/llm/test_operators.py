@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tally.llm import interpolation, language_crf, line_dedup, mixing, packing, permutation_index, quality_rules, simhash, tokenfile, weak_quality
-from tally.llm._bpe import Encoder
+from tally.llm._bpe import public_path
 from tally.llm.graph import components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, fp bigint, root string, n bigint, h string"
@@ -42,6 +42,7 @@ def rows():
         [200, None, None, None], [201, "", "en", None], [202, " \t\n\x0b ", "en", "s1"], [203, "one", "en", "s1"], [204, "123 456 !!", None, ""],
         [205, prose(rng, "en", 30_000), "en", "s2"], [206, "\x1c\x85 a b É　x", "en", "s2"], [7, base, "en", "s0"], [None, "no id here at all today", "en", "s3"],
         [207, "spam### $$$ ***" * 60, "en", "s3"], [208, "x" * 5000, "en", "s3"], [209, "𝄞 日本語 \n\n 日本語", "ja", "s3"],
+        [210, "a <|endoftext|> b", "en", "s3"], [211, "x<|endoftext|><|endoftext|> y  z", "en", "s3"],
     ]
     return [(i, t, lang, s, None if t is None else len(t), 1, 2, "r", 3, "h") for i, t, lang, s in out]
 
@@ -56,6 +57,14 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def library():
+    """Ids of a text as the tokenizers library alone gives them, little-endian."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_path())
+    return lambda text: np.array(fresh.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
@@ -144,7 +153,22 @@ def test_quality_rules(docs, rows, empty):
         want[r[0], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(cover), failed, not failed and 2 * gone <= len(w)] += 1
     assert got == want
     assert quality_rules.judge(empty).count() == 0
-    assert quality_rules.without_frequent_lines(docs, 3, 0.05).columns == docs.columns
+    left = quality_rules.without_frequent_lines(docs, 3, 0.05)
+    assert left.columns == docs.columns and quality_rules.without_frequent_lines(empty).count() == 0
+    gone = lambda s, x: words(x) and held[s, line(x)] > max(3, 0.05 * size[s])
+    kept = Counter((r[0], r[1] and "\n".join(x for x in r[1].split("\n") if not gone(r[3], x)), r[9]) for r in rows)
+    assert Counter((r["doc_id"], r["text"], r["h"]) for r in left.collect()) == kept and sum(any(gone(r[3], x) for x in (r[1] or "").split("\n")) for r in rows) > 3
+
+
+def test_names_of_the_operators_own(spark):
+    """Columns that carry the names used inside pass through."""
+    names = ["doc", "part", "n", "rate", "target", "no_source", "source_size", "_mix_null", "_keep_id", "keep_id", "h", "keep_h", "row", "gone", "_gone", "id", "fp"]
+    text = "the line that is here in all of them\nand another one number "
+    table = spark.createDataFrame([(k, text + "abcdefgh"[k], "s", *[f"{k}-{c}" for c in names]) for k in range(8)] + [(3, text + "d", "s", *[f"3-{c}" for c in names])], f"doc_id bigint, text string, source string, {', '.join(c + ' string' for c in names)}")
+    for got in (mixing.mix(table), simhash.drop_near_duplicates(table, 5, 0.8), simhash.drop_near_duplicates(table), quality_rules.without_frequent_lines(table, 3, 0.05), line_dedup.dedup(table), weak_quality.keep_good(table)):
+        assert got.columns == table.columns
+        assert all(r[c] == f"{r['doc_id']}-{c}" for r in got.collect() for c in names)
+    assert mixing.mix(table).count() >= 9
 
 
 # op3 ---------------------------------------------------------------------------
@@ -152,7 +176,7 @@ def test_quality_rules(docs, rows, empty):
 
 def test_packing(docs, rows, empty):
     out = packing.pack(docs, keep_ids=True).collect()
-    encode = Encoder().whole
+    encode = library()
     want = Counter((r[0], (encode(r[1]) if r[1] else b"") + np.array([1], "<u4").tobytes()) for r in rows)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in out:
@@ -415,12 +439,27 @@ def test_permutation_index(spark):
     assert [(r["rank"], r["query_id"]) for r in few] == [(1, 100), (2, 100)]
 
 
+def test_permutation_index_of_repeated_rows(spark):
+    """Rows of a query that are repeated, as they are or with another vector, are one query; ties and copies count."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 8)).astype(np.float32).astype(float)
+    rows = [(k, x[k]) for k in range(300)] + [(100, x[100]), (200, x[5]), (0, x[0]), (7, x[7]), (7, x[7]), (301, x[7])]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id bigint, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in permutation_index.search(table).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    for q in (0, 100, 200):
+        mine = [v for i, v in rows if i == q]
+        near = sorted((round(min(float(np.sqrt(((v - m) ** 2).sum())) for m in mine), 9), i) for i, v in rows if i != q)[:10]
+        assert got[q] == [(k + 1, i, d) for k, (d, i) in enumerate(near)]
+
+
 # op9 ---------------------------------------------------------------------------
 
 
 def test_token_files(docs, rows, empty, monkeypatch):
     out = tokenfile.encode_table(docs).collect()
-    encode = Encoder().whole
+    encode = library()
     want = [(r[0], (encode(r[1]) if r[1] else b"") + np.array([2], "<u4").tobytes()) for r in rows]
     at, got = 0, sorted(out, key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == sorted((i for i, _ in want), key=lambda i: (i is not None, i))
@@ -442,7 +481,21 @@ def test_grammar_round_trip(base):
         for a in range(0, n, max(1, n // 9)):
             for k in (0, 1, 17, n):
                 assert (shard.ids(a, a + k) == ids[a : a + k]).all()
-    assert len(tokenfile.compress(np.tile([1, 2, 3, 4], 2000), base)) < 9000
+    assert len(tokenfile.compress(np.tile([1, 2, 3, 4], 2000), base)) < 300
+    assert len(tokenfile.compress(np.full(8000, 9), base)) < 300
+
+
+def test_grammar_leaves_no_frequent_pair():
+    ids = np.random.default_rng(3).zipf(1.3, 20_000) % 60
+    for least in (2, 8, 50):
+        seq = tokenfile.Shard(tokenfile.compress(ids, 300, least)).seq.tolist()
+        found, last = Counter(), None
+        for k, pair in enumerate(zip(seq, seq[1:], strict=False)):
+            if pair[0] == pair[1] and last == (pair, k - 1):  # overlaps the one before
+                last = None
+                continue
+            found[pair], last = found[pair] + 1, (pair, k)
+        assert max(found.values()) < least
 
 
 # op10 --------------------------------------------------------------------------
