@@ -2,7 +2,7 @@ r"""Fuzzy line dedup over the whole corpus, on DataFrame functions alone.
 
 Lines are normalised (lower case, digits as 0, white space runs as one blank);
 lines of fewer than ``MIN_WORDS`` words stay as they are. Equal normalised lines
-are one id (their XXH64). Two different lines are candidates if
+are one id (the XXH64 of their words' XXH64). Two different lines are candidates if
 
 * their SimHashes, over their distinct words, differ in at most ``BUDGET`` bits, or
 * both have at most ``SHORT`` words and they are equal but for one word, which is
@@ -60,14 +60,14 @@ MIN_WORDS = 5
 SIMILARITY = 0.8
 BUDGET = 3
 SHORT = 16
-#: (lines up to which, blocks that agree): 10 keys of 25 bits, 20 of 32, 35 of 36, 56 of 40.
-BLOCKS = ((1 << 23, 2), (1 << 29, 3), (1 << 33, 4), (1 << 62, 5))
+#: (lines up to which, blocks that agree): 10 keys of 25 bits, 20 of 32, 35 of 36, 56 of 40. Lines by chance in a key stay under one in a hundred.
+BLOCKS = ((1 << 18, 2), (1 << 25, 3), (1 << 29, 4), (1 << 62, 5))
 #: Lines in a key from which it is cut by the bits outside it.
 HOT = 64
 #: Lines that are repeated over 1 / MOST of all lines each.
 MOST = 1000
 #: Keys up to which the list of shared keys is broadcast (16 bytes each).
-BROADCAST_KEYS = 1 << 22
+BROADCAST_KEYS = 1 << 20
 _SUMS = (1 << 62) - 1
 #: The low bits of four and of two counters in a long, and the hashes that 16 bits count.
 _ONES16, _ONES32, MOST_COUNTED = 0x0001000100010001, 0x0000000100000001, 16_383
@@ -174,7 +174,7 @@ def _lines(prepared: DataFrame, min_words: int, runs: bool) -> DataFrame:
     def facts(words: Column, i: Column) -> Column:
         def found(hashes: Column) -> Column:
             more = F.concat(short_keys(hashes), run_keys(words)) if runs else short_keys(hashes)
-            return F.struct(i.alias("pos"), F.xxhash64(F.array_join(words, " ")).alias("id"), F.array_distinct(hashes).alias("hashes"), more.alias("more"))
+            return F.struct(i.alias("pos"), F.xxhash64(hashes).alias("id"), F.array_distinct(hashes).alias("hashes"), more.alias("more"))
 
         return F.when(F.size(words) >= min_words, _let(F.transform(words, lambda w: F.xxhash64(w)), found))
 
