@@ -5,7 +5,7 @@ with one weight b for each bucket of context frequency, floor(log2 c(h)). Some
 training documents are held out of the counts at first; expectation-maximisation
 on the tokens of these learns a and every b. The scores use the counts of all
 training documents. Counts are exact, over all documents, but for words and word
-pairs that agree in 56-bit hashes.
+pairs that agree in 64-bit hashes.
 
 Texts become chunks of about ``CHUNK`` tokens, a row each: local word numbers,
 and the hashes of the chunk's words. A chunk asks for its distinct words and
@@ -32,14 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written, written_by
+from ._common import bucket_count, written, written_by
 
 CHUNK = 1 << 18
 #: Entries that a bucket should get, and the least number of buckets.
 BUCKET = 1 << 20
 LEAST_BUCKETS = 128
-#: Bits of a word's or pair's hash that are sent.
-BITS = 56
 MODULUS, HELD_OUT, DEVELOPMENT = 7, 2, 3
 #: Histogram of log2 ratios: from -32 to 32 by sixteenths; bin 0 holds ratio zero.
 BINS = 1025
@@ -127,7 +125,7 @@ class Chunk:
     def __init__(self, row: dict):
         self.doc_ids, self.parts = row["doc_ids"], np.array(row["parts"], np.int8)
         self.sizes = np.array(row["sizes"], np.int64)
-        hashes, self.tokens = np.frombuffer(row["words"], np.uint64) >> np.uint64(64 - BITS), np.frombuffer(row["tokens"], np.uint32)
+        hashes, self.tokens = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], np.uint32)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.part = self.parts[self.doc]
         # words in order of hash: place[token] is a token's entry
@@ -144,7 +142,7 @@ class Chunk:
         first, second = np.divmod(pairs, len(hashes))
         mixed = (self.words[first] ^ (self.words[first] >> _FOLD)) * _MIX + self.words[second]
         mixed = (mixed ^ (mixed >> _FOLD)) * _MIX
-        mixed = (mixed ^ (mixed >> np.uint64(32))) >> np.uint64(64 - BITS)
+        mixed ^= mixed >> np.uint64(32)
         order = np.argsort(mixed)
         place = np.empty(len(pairs), np.int64)
         place[order] = np.arange(len(pairs))
@@ -157,29 +155,31 @@ class Chunk:
             yield order, keys, *(np.bincount(at[m], minlength=len(keys)).astype(np.uint32) for m in (counted, held))
 
 
-ASKS = "bucket int, chunk bigint, keys binary, counted binary, held binary"
+ASKS = "order int, bucket bigint, chunk bigint, keys binary, counted binary, held binary"
 
 
 def _asks(bits: int):
     def run(batches):
         for batch in batches:
             for row in _rows(batch):
-                out = {"bucket": [], "chunk": [], "keys": [], "counted": [], "held": []}
+                out = {"order": [], "bucket": [], "chunk": [], "keys": [], "counted": [], "held": []}
                 for order, keys, counted, held in Chunk(row).asks():
-                    cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(BITS - bits))
-                    for b, (s, e) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
-                        if e > s:
-                            out["bucket"].append((order << 24) + b)
-                            out["chunk"].append(row["chunk"])
-                            out["keys"].append(_planes(np.diff(keys[s:e], prepend=np.uint64(0))))
-                            out["counted"].append(_packed(counted[s:e]))
-                            out["held"].append(_packed(held[s:e]))
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=list(out))
+                    # a piece for each bucket that has an entry: the keys are in order
+                    top = keys >> np.uint64(64 - bits)
+                    cuts = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1], [True])))
+                    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                        out["order"].append(order)
+                        out["bucket"].append(int(top[s]))
+                        out["chunk"].append(row["chunk"])
+                        out["keys"].append(_planes(np.diff(keys[s:e], prepend=np.uint64(0))))
+                        out["counted"].append(_packed(counted[s:e]))
+                        out["held"].append(_packed(held[s:e]))
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=list(out))
 
     return run
 
 
-ANSWERS = "bucket int, chunk bigint, counted binary, trained binary, distinct_counted bigint, distinct_trained bigint, n_counted bigint, n_trained bigint, seen array<bigint>, unseen bigint"
+ANSWERS = "order int, bucket bigint, chunk bigint, counted binary, trained binary, distinct_counted bigint, distinct_trained bigint, n_counted bigint, n_trained bigint, seen array<bigint>, unseen bigint"
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -200,12 +200,12 @@ def _answer(table: pa.Table) -> pa.Table:
         mine = at[sizes[k] - len(keys[k]) : sizes[k]]
         head = k == 0
         for name, value in (
-            ("bucket", r["bucket"]), ("chunk", r["chunk"]), ("counted", _packed(counted[mine])), ("trained", _packed(trained[mine])),
+            ("order", r["order"]), ("bucket", r["bucket"]), ("chunk", r["chunk"]), ("counted", _packed(counted[mine])), ("trained", _packed(trained[mine])),
             ("distinct_counted", int(known.sum()) * head), ("distinct_trained", int((trained > 0).sum()) * head), ("n_counted", int(counted.sum()) * head), ("n_trained", int(trained.sum()) * head),
-            ("seen", levels.tolist() if head and r["bucket"] >> 24 == 1 else None), ("unseen", int(held[~known].sum()) * head),
+            ("seen", levels.tolist() if head and r["order"] == 1 else None), ("unseen", int(held[~known].sum()) * head),
         ):
             out[name].append(value)
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
     return pa.table([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
@@ -227,7 +227,7 @@ class Counts:
 
     def __init__(self, chunk: Chunk, answers: list[dict], kind: str):
         answers = sorted(answers, key=lambda a: a["bucket"])
-        one, two = (np.concatenate([_unpacked(a[kind]) for a in answers if a["bucket"] >> 24 == order]).astype(float) for order in (1, 2))
+        one, two = (np.concatenate([_unpacked(a[kind]) for a in answers if a["order"] == order]).astype(float) for order in (1, 2))
         self.word, self.context, self.pair = one[chunk.word], one[chunk.context], two[chunk.pair]
 
     def parts(self, n: float, v: float, a: float):
@@ -285,22 +285,24 @@ def _scores(n: int, v: int, a: float, b: np.ndarray):
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    chunks = written_by(rows.mapInArrow(_chunks, CHUNKS), "lm-chunks", "chunk")
+    n = bucket_count(rows)
+    # a file for each chunk at most: chunks are the rows, and each is some MB
+    chunks = written_by(rows.mapInArrow(_chunks, CHUNKS), "lm-chunks", "chunk", n)
     tokens = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
     bits = max(LEAST_BUCKETS, tokens // BUCKET).bit_length() - 1
     asks = chunks.mapInArrow(_asks(bits), ASKS)
-    answers = written(asks.groupBy("bucket").applyInArrow(_answer, ANSWERS), "lm-answers")
-    words = answers.where(F.col("bucket") < 1 << 25)
+    answers = written(asks.groupBy("order", "bucket").applyInArrow(_answer, ANSWERS), "lm-answers")
+    words = answers.where(F.col("order") == 1)
     totals = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct_counted", "distinct_trained", "n_counted", "n_trained", "unseen")]).first()
     levels = np.zeros(BINS)
     for r in words.where("seen is not null").select(F.posexplode("seen").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect():  # BINS rows at most
         levels[r["level"]] = r["n"]
-    v, n = totals["distinct_counted"], totals["n_counted"]
-    ratios = np.append(2.0 ** (np.arange(BINS) / 16) * (v + 1) / max(n, 1), 0.0)
+    v, tokens = totals["distinct_counted"], totals["n_counted"]
+    ratios = np.append(2.0 ** (np.arange(BINS) / 16) * (v + 1) / max(tokens, 1), 0.0)
     a = mixture_weight(ratios, np.append(levels, totals["unseen"]))
-    mine = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counted", "trained")).alias("answers"))
-    joined = chunks.join(written_by(mine, "lm-mine", "chunk"), "chunk")  # both in buckets of the chunk: no shuffle
-    cells = joined.mapInArrow(_development(n, v, a), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 64 * BINS rows at most
+    mine = answers.groupBy("chunk").agg(F.collect_list(F.struct("order", "bucket", "counted", "trained")).alias("answers"))
+    joined = chunks.join(written_by(mine, "lm-mine", "chunk", n), "chunk")  # both in buckets of the chunk: no shuffle
+    cells = joined.mapInArrow(_development(tokens, v, a), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 64 * BINS rows at most
     held = np.zeros(64 * BINS)
     for r in cells:
         held[r["cell"]] = r["n"]
