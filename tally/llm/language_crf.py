@@ -319,7 +319,13 @@ def fit(docs: DataFrame) -> Model | None:
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(key) % MODULUS != HELD_OUT)).select("doc_id", "text", "lang")
     counts = rows.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(_word_counts, "lang string, word string, n bigint")
-    counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = written(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "crf-words")
+    # words below the power of two that LEXICON words of a language reach can't be among them: few rows a language are ranked
+    level = F.floor(F.log2("n")).cast("int")
+    reach = Window.partitionBy("lang").orderBy(F.desc("level"))
+    levels = counts.groupBy("lang", level.alias("level")).agg(F.count("*").alias("k")).withColumn("above", F.sum("k").over(reach) - F.col("k"))
+    bounds = levels.where(F.col("above") < LEXICON).groupBy("lang").agg(F.min("level").alias("least"))
+    counts = counts.join(bounds, "lang").where(level >= F.col("least")).drop("least")
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     frequent = counts.withColumn("k", F.row_number().over(top)).where(F.col("k") <= LEXICON).collect()  # LEXICON words a language
     langs = sorted({r["lang"] for r in frequent})
@@ -328,7 +334,13 @@ def fit(docs: DataFrame) -> Model | None:
     lexicon: dict[str, int] = {}
     for r in frequent:
         lexicon[r["word"]] = lexicon.get(r["word"], 0) | 1 << langs.index(r["lang"])
-    keys = rows.select("lang", "doc_id", F.xxhash64("text").alias("h")).distinct()
+    keys = written(rows.select("lang", "doc_id", F.xxhash64("text").alias("h")).distinct(), "crf-keys")
+    # rows far above the hash that the FIT least of a language lie under are not ranked, if enough lie under it
+    sizes = keys.groupBy("lang").agg(F.count("*").alias("all"))
+    under = (F.xxhash64("doc_id").cast("double") + 2.0**63) * F.col("all") < 2.0**64 * 8 * FIT
+    few = keys.join(sizes, "lang").where(under)
+    short = sizes.join(few.groupBy("lang").agg(F.count("*").alias("got")), "lang", "left").where(F.coalesce("got", F.lit(0)) < F.least(F.col("all"), F.lit(FIT)))
+    keys = keys if not short.isEmpty() else few.drop("all")
     least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
     chosen = written(keys.withColumn("k", F.row_number().over(least)).where(F.col("k") <= FIT).select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "crf-fit")
     rows = rows.withColumn("h", F.xxhash64("text"))
