@@ -34,7 +34,7 @@ def two_forms(content, rule: str) -> Column:
     c = F.col(content) if isinstance(content, str) else content
     n = header_length(rule)
     whole = F.struct(F.lit(0).alias("form"), c.alias("bytes"))
-    rest = F.struct(F.lit(1).alias("form"), F.substring(c, n + 1, 1 << 30).alias("bytes"))
+    rest = F.struct(F.lit(1).alias("form"), F.substring(c, F.lit(n + 1), F.octet_length(c)).alias("bytes"))
     return F.when(header_found(c, rule), F.array(whole, rest)).otherwise(F.array(whole)) if n else F.array(whole)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# fixed values: Roman numerals and marker words that the formats define
+# fixed values: Roman numerals, version words and marker words that the formats define
 SEQUEL_NUMERALS = ("ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii", "xviii", "xix", "xx")
-FORMAT_MARKERS = ("headered", "headerless", "db export", "parent-clone", "bigendian", "byteswapped")
+VERSION_WORDS = ("rev", "ver", "version")
+FORMAT_MARKERS = ("db export", "headered", "headerless", "parent clone", "retool", "bigendian", "byteswapped", "littleendian")
 
 
 def _col(c) -> Column:
@@ -23,7 +26,7 @@ def ascii_lower(c) -> Column:
 
 def ascii_contains(c, needle: str) -> Column:
     """Substring test that ignores the case of A-Z; the needle has no wildcards."""
-    return ascii_lower(c).contains(needle.translate(str.maketrans(_UPPER, _LOWER)))
+    return _col(c).rlike("(?i)" + re.escape(needle))
 
 
 def leaf(c) -> Column:
@@ -72,28 +75,53 @@ def not_older(new, current) -> Column:
     return F.coalesce(version_order(new) >= version_order(current), F.lit(True))
 
 
+#: The inside of a version group: digits with marks, perhaps after a v.
+_VERSION_GROUP = r"\s*[vV]?[.\-_: ]*[0-9][0-9.\-_: ]*"
+
+
 def split_version(c) -> Column:
-    """(name, version): a trailing version group of digits, dots and dashes cut off a name."""
-    pattern = r"^(.*?)\s*\(([0-9][0-9.\-]*)\)$"
-    has = _col(c).rlike(pattern)
-    return F.struct(F.when(has, F.regexp_extract(_col(c), pattern, 1)).otherwise(_col(c)).alias("name"), F.when(has, F.regexp_extract(_col(c), pattern, 2)).alias("version"))
+    """(name, version): a trailing version group cut off a name; version is null without one."""
+    pattern = rf"^(.*?)\s*(?:\(({_VERSION_GROUP})\)|\[({_VERSION_GROUP})\])$"
+    bare = F.btrim(_col(c))
+    version = F.btrim(F.concat(F.regexp_extract(bare, pattern, 2), F.regexp_extract(bare, pattern, 3)))
+    has = bare.rlike(pattern)
+    return F.struct(F.when(has, F.regexp_extract(bare, pattern, 1)).otherwise(bare).alias("name"), F.when(has, version).alias("version"))
 
 
 def family_key(c) -> Column:
-    """A catalogue name without format markers and trailing versions, in lower case."""
-    markers = "|".join(m.replace("-", "[- ]") for m in FORMAT_MARKERS)
-    bare = F.regexp_replace(F.lower(_col(c)), rf"[(\[](?:{markers})[)\]]", " ")
-    cut = F.regexp_replace(collapse(bare), r"(?:\s*[(\[][0-9][0-9.\-]*[)\]])+$", "")
-    return collapse(cut)
+    """A catalogue name without format markers (a date may follow one) and trailing versions, in lower case.
+
+    A name that is nothing else keeps its text. Groups are read from the left; from
+    one that does not close on, nothing is taken for a group.
+    """
+    markers = "|".join(m.replace(" ", "[ _-]+") for m in FORMAT_MARKERS)
+    marker = rf"(?i:[ _-]*(?:{markers})(?:[ _-]+[0-9.: _-]*)?)"
+    other = rf"[^(\[]|\((?!{marker}\))[^)]*\)|\[(?!{marker}\])[^\]]*\]"
+    bare = F.regexp_replace(collapse(c), rf"\G((?:{other})*+)(?:\({marker}\)|\[{marker}\])", "$1")
+    cut = F.regexp_replace(collapse(bare), rf"(?:\s*(?:\({_VERSION_GROUP}\)|\[{_VERSION_GROUP}\]))+$", "")
+    return F.lower(F.coalesce(F.nullif(collapse(cut), F.lit("")), collapse(c)))
+
+
+def is_version_tag(word: Column) -> Column:
+    """v2, v1.0.6, 1.0.6, and the words that announce a version."""
+    return word.rlike(r"^(?:v[0-9]+(?:\.[0-9]+)*|[0-9]+(?:\.[0-9]+)+)$") | word.isin(*VERSION_WORDS)
 
 
 def words(c) -> Column:
-    """Lower-case words of a name up to its first bracket, version tags left out."""
-    low = F.lower(F.regexp_replace(_col(c), r"[(\[].*$", ""))
-    parts = F.split(low, r"[^\p{L}\p{N}.]+")
-    named = F.filter(parts, lambda w: ~w.rlike(r"^(?:v|rev)?[0-9]+(?:\.[0-9]+)+$"))
-    cut = F.transform(named, lambda w: F.regexp_replace(w, r"(?<=\p{L})[0-9]+(?:\.[0-9]+)+$", ""))
-    return F.filter(F.flatten(F.transform(cut, lambda w: F.split(w, r"\."))), lambda w: w != "")
+    """Lower-case words of a name up to its first bracket, without versions.
+
+    A version tag, a version glued to a word, and a letter or number after "rev" are left out.
+    """
+    low = F.regexp_replace(F.lower(_col(c)), r"(?s)[(\[].*$", "")
+    chunks = F.transform(F.split(low, r"[\s\p{Z}_+-]"), lambda x: F.btrim(x, F.lit(".")))
+    cut = F.transform(chunks, lambda x: F.when(is_version_tag(x), x).otherwise(F.regexp_replace(x, r"^(.+?)\.*(?:\.v[0-9]+(?:\.[0-9]+)*|(?<!\.)[0-9]+(?:\.[0-9]+)+|(?<=\.)[0-9]+(?:\.[0-9]+)+)$", "$1")))
+
+    def kept(all_: Column) -> Column:
+        after_rev = lambda i: F.coalesce(F.get(all_, i - 1) == "rev", F.lit(False))
+        return F.filter(all_, lambda x, i: (x != "") & ~is_version_tag(x) & ~(after_rev(i) & ((F.octet_length(x) == 1) | x.rlike("^[0-9]+$"))))
+
+    named = F.element_at(F.transform(F.array(cut), kept), 1)
+    return F.filter(F.flatten(F.transform(named, lambda w: F.split(w, r"[^\p{IsAlphabetic}\p{N}]+"))), lambda w: w != "")
 
 
 def is_sequel(word: Column) -> Column:
@@ -155,3 +183,29 @@ def hex_digest(c, size: int) -> Column:
     """Bytes of a hexadecimal digest of the given size, else null."""
     low = ascii_lower(F.btrim(_col(c)))
     return F.when(low.rlike(f"^[0-9a-f]{{{2 * size}}}$"), F.unhex(low))
+
+
+def export_name(c) -> Column:
+    """(name, version) of a file "<system> (DB Export) (<version>)"; null for other names, the version empty if it is missing."""
+    bare = F.regexp_replace(leaf(c), r"(?i)\.(?:xml|dat|zip)$", "")
+    pattern = r"(?is)^\s*(.*?)\s*\(db export\)\s*(?:\(\s*([^)]*?)\s*\))?"
+    system = F.regexp_extract(bare, pattern, 1)
+    found = F.struct(F.concat(system, F.lit(" (DB Export)")).alias("name"), F.regexp_extract(bare, pattern, 2).alias("version"))
+    return F.when(bare.rlike(pattern) & (system != ""), found)
+
+
+def percent_decode(c) -> Column:
+    """The bytes of a text with its %XX escapes decoded; a malformed escape stays as it is."""
+    parts = F.regexp_extract_all(_col(c), F.lit("(?s)(%[0-9A-Fa-f]{2}|%|[^%]+)"), F.lit(1))
+    return F.unhex(F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^%[0-9A-Fa-f]{2}$"), F.substring(p, 2, 2)).otherwise(F.hex(F.encode(p, "UTF-8")))), ""))
+
+
+def name_fits(path, item, own_extensions: tuple[str, ...] = ()) -> Column:
+    """Whether a file may be called as it is for an item: the same leaf, or the same stem with one of a domain's extensions."""
+    same = leaf(path) == leaf(item)
+    return same | ((stem(path) == stem(item)) & extension(path).isin(*own_extensions)) if own_extensions else same
+
+
+def member_range(c, container: str, nocase: bool = False) -> Column:
+    """Paths of the members of a container, "<container>/...", as a range of the column; without regard to the case of A-Z if asked."""
+    return prefix_range(ascii_lower(c), container.translate(str.maketrans(_UPPER, _LOWER)) + "/") if nocase else prefix_range(c, container + "/")

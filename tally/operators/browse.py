@@ -26,23 +26,31 @@ class Filter:
     fields: dict = field(default_factory=dict)
 
 
+def _passes(flags: Column, regions: Column, chosen: Filter) -> Column:
+    out = flags.bitwiseAND(F.lit(chosen.hidden)) == 0
+    if chosen.region is not None:
+        out = out & (regions.bitwiseAND(F.lit(chosen.region)) != 0)
+    for bit in chosen.required:
+        out = out & (flags.bitwiseAND(F.lit(bit)) != 0)
+    return out
+
+
 def visible(groups: DataFrame, variants: DataFrame, keys: Sequence[str], chosen: Filter, flags: str = "bit", regions: str = "region_bit") -> DataFrame:
     """Groups with a variant that has no hidden bit, the region, and every required flag.
 
-    The masks of the group are necessary conditions and go first, on the scan of
-    the summary; one variant has to pass all tests at once, which a semi join checks.
+    A summary that holds its variants' masks (groups.mask_sets) decides alone, in one
+    scan. Without them, the masks of the group are necessary conditions and go first;
+    one variant has to pass all tests at once, which a semi join checks.
     """
+    if "masks" in groups.columns:
+        return groups.where(F.exists("masks", lambda m: _passes(m["bit"], m["region"], chosen)))
     first = (F.col("lean_flags").bitwiseAND(F.lit(chosen.hidden)) == 0) | F.lit(chosen.hidden == 0) | (F.col("variants") > 1)
     if chosen.region is not None:
         first = first & (F.col("region_union").bitwiseAND(F.lit(chosen.region)) != 0)
     for bit in chosen.required:
         first = first & (F.col("flag_union").bitwiseAND(F.lit(bit)) != 0)
-    passes = F.col(flags).bitwiseAND(F.lit(chosen.hidden)) == 0
-    if chosen.region is not None:
-        passes = passes & (F.col(regions).bitwiseAND(F.lit(chosen.region)) != 0)
-    for bit in chosen.required:
-        passes = passes & (F.col(flags).bitwiseAND(F.lit(bit)) != 0)
-    return groups.where(first).join(variants.where(passes).select(*keys), list(keys), "left_semi")
+    passing = variants.where(_passes(F.col(flags), F.col(regions), chosen))
+    return groups.where(first).join(passing.select(*keys), list(keys), "left_semi")
 
 
 def conditions(chosen: Filter, name: str = "name") -> Column:

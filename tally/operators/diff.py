@@ -41,14 +41,29 @@ def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], id_column: st
     return kept.unionByName(fresh.select(base.columns))
 
 
+#: Rows up to which one task ranks them all.
+ONE_TASK = 1 << 17
+
+
 def numbered(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Dense numbers from 1 in key order, without one task for all rows."""
-    parts = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(*keys)
-    ranked = parts.withColumn("_rank", F.row_number().over(w))
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_c"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    firsts = counts.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"))
+    """Dense numbers from 1 in key order, without one task for all rows beyond ONE_TASK.
+
+    Rows fall into ranges between fixed bounds, which are taken from rows of low hash;
+    a number is the rank in a range plus the counts of earlier ones. The bounds are
+    values in the plan, so both readings of df see the same ranges.
+    """
+    n = df.count()
+    if n <= ONE_TASK:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("long"))
+    parts = -(-n // ONE_TASK)
+    low = F.pmod(F.xxhash64(*keys), F.lit(max(1, n // (16 * parts)))) == 0
+    at = F.struct(*keys)
+    picked = df.where(low).select(at.alias("k")).distinct().orderBy("k")  # some 16 rows a range
+    bounds = F.broadcast(picked.agg(F.array_sort(F.collect_list("k")).alias("_bounds")))  # one row
+    ranged = df.crossJoin(bounds).withColumn("_part", F.size(F.filter("_bounds", lambda b: b <= at))).drop("_bounds")
+    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    firsts = ranged.groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"))
     return ranked.join(firsts, "_part").withColumn(name, F.col("_first") + F.col("_rank")).drop("_part", "_rank", "_first")
 
 

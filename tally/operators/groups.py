@@ -38,6 +38,11 @@ def group_summary(variants: DataFrame, keys: Sequence[str], bit: str = "bit", re
     )
 
 
+def mask_sets(variants: DataFrame, keys: Sequence[str], bit: str = "bit", region: str = "region_bit") -> DataFrame:
+    """One row a group: the distinct pairs of masks among its variants, of which there are few whatever the group's size."""
+    return variants.select(*keys, bit, region).distinct().groupBy(*keys).agg(F.collect_list(F.struct(F.col(bit).alias("bit"), F.col(region).alias("region"))).alias("masks"))
+
+
 def refresh(stored: DataFrame, dirty: DataFrame, keys: Sequence[str], recompute) -> DataFrame:
     """A summary brought up to date: rows of dirty keys are dropped and computed anew.
 
@@ -77,10 +82,13 @@ def root_of(*candidates: str) -> Column:
 
 
 def signature(items: DataFrame, entry: Sequence[str], key: Column) -> DataFrame:
-    """A digest of an entry's keys that ignores their order; none where a key is missing."""
-    keyed = items.withColumn("_k", key)
-    out = keyed.groupBy(*entry).agg(F.array_join(F.sort_array(F.collect_list("_k")), "\x1f").alias("_all"), F.count("*").alias("n"), F.count("_k").alias("_keys"))
-    return out.where(F.col("n") == F.col("_keys")).select(*entry, F.md5("_all").alias("signature"), "n")
+    """A digest of an entry's keys that ignores their order; none where a key is missing.
+
+    Number, sum and xor of the keys' hashes: added up map-side, no list of keys is held.
+    """
+    h = F.xxhash64("_k")
+    sums = items.withColumn("_k", key).groupBy(*entry).agg(F.count("*").alias("n"), F.count("_k").alias("_keys"), F.bit_xor(h).alias("_x"), F.sum(F.pmod(h, F.lit((1 << 31) - 1))).alias("_s"))
+    return sums.where(F.col("n") == F.col("_keys")).select(*entry, F.concat_ws("-", "n", F.hex("_s"), F.hex("_x")).alias("signature"), "n")
 
 
 def link_shared(entries: DataFrame, signed: DataFrame, entry: str, version: str) -> DataFrame:
@@ -93,9 +101,9 @@ def link_shared(entries: DataFrame, signed: DataFrame, entry: str, version: str)
     return rows.join(anchors, "signature").where(F.col(entry) != F.col("anchor")).select(entry, version, "anchor")
 
 
-def stamp(rows: DataFrame, by: Sequence[str], *columns: str) -> DataFrame:
+def stamp(rows: DataFrame, by: Sequence[str], *columns: str, hashed=F.xxhash64) -> DataFrame:
     """A digest of a set of rows for equality checks: count, and order-free sums of a hash."""
-    h = F.xxhash64(*columns)
+    h = hashed(*columns)
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"))
 
 

@@ -35,10 +35,17 @@ def missing_from(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
 
 
 def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """NOT IN with its null rules: a null on the right keeps nothing, a null on the left is dropped unless the right is empty."""
-    left.createOrReplaceTempView("_not_in_left")
-    right.select(F.col(right_key).alias("_k")).createOrReplaceTempView("_not_in_right")
-    return left.sparkSession.sql(f"SELECT * FROM _not_in_left WHERE `{left_key}` NOT IN (SELECT _k FROM _not_in_right)")
+    """NOT IN with its null rules: a null on the right keeps nothing, a null on the left is dropped unless the right is empty.
+
+    The right side is looked at once for nulls and rows; the rest is a plain anti join.
+    """
+    facts = right.agg(F.count("*").alias("n"), F.count_if(F.col(right_key).isNull()).alias("nulls")).first()
+    if facts["nulls"]:
+        return left.limit(0)
+    if not facts["n"]:
+        return left
+    keys = right.select(F.col(right_key).alias(left_key)).distinct()
+    return left.where(F.col(left_key).isNotNull()).join(keys, left_key, "left_anti").select(left.columns)
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int = 100, offset: int = 0, cap: int = 1000) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.groups import entry_completeness, group_summary
+from ..operators.groups import entry_completeness, group_summary, mask_sets
 from ..operators.pick import pick
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +26,31 @@ def status_bit():
     return F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(4).cast("long")
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that is kept while the session lasts and its source files stay the same.
+
+    A service would hold these as tables that groups.refresh keeps up to date; pages read them alone.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stamp = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept or _kept[key][0] != stamp:
+        if key in _kept:
+            _kept[key][1].unpersist()
+        _kept[key] = (stamp, build().persist())
+    return _kept[key][1]
+
+
 def entries(spark: SparkSession, sf_dir: str, live: bool = True) -> DataFrame:
     """orders as entries: entry, root, domain, bits, completeness."""
+    return stored(spark, sf_dir, f"entries-{live}", lambda: _entries(spark, sf_dir, live))
+
+
+def _entries(spark: SparkSession, sf_dir: str, live: bool) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     if live:
         orders = orders.where("o_orderstatus <> 'P'")
@@ -44,12 +69,24 @@ def pick_order():
 
 def groups(spark: SparkSession, sf_dir: str, variants: DataFrame | None = None) -> DataFrame:
     """One row a group with its pick."""
-    v = entries(spark, sf_dir) if variants is None else variants
+    if variants is None:
+        return stored(spark, sf_dir, "groups", lambda: groups(spark, sf_dir, entries(spark, sf_dir)))
+    v = variants
     summary = group_summary(v, ["root", "domain"], flagless=0b11000)
     picks = pick(v, ["root", "domain"], pick_order()).select("root", "domain", F.col("entry").alias("pick_id"))
     return summary.join(picks, ["root", "domain"])
 
 
+def browsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table that pages read: groups with their names and their variants' masks."""
+
+    def build() -> DataFrame:
+        names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("root"), F.col("c_name").alias("name"))
+        return groups(spark, sf_dir).join(names, "root").join(mask_sets(entries(spark, sf_dir), ["root", "domain"]), ["root", "domain"])
+
+    return stored(spark, sf_dir, "browsed", build)
+
+
 ENTRIES_SQL = """
 counts AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_linestatus = 'F' OR l_returnflag = 'R') AS ok FROM lineitem GROUP BY 1),
 entries AS (

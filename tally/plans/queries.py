@@ -84,11 +84,6 @@ def failing_counts(spark, d):
 BROWSE = browse.Filter(search="CUSTOMER#0000001", hidden=24, region=1, required=(1,))
 
 
-def _named_groups(spark, d):
-    names = table(spark, d, "customer").select(F.col("c_custkey").alias("root"), F.col("c_name").alias("name"))
-    return cat.groups(spark, d).join(names, "root")
-
-
 _BROWSE_SQL = f"""WITH {ENTRIES_SQL}, shown AS (
   SELECT root, domain, c_name AS name, have, newest_id FROM full_groups g JOIN customer ON c_custkey = root
   WHERE EXISTS (SELECT 1 FROM entries e WHERE e.root = g.root AND e.domain = g.domain AND {{test}}) {{more}}
@@ -97,25 +92,25 @@ _BROWSE_SQL = f"""WITH {ENTRIES_SQL}, shown AS (
 
 @query(_BROWSE_SQL.format(test="e.bit & 24 = 0 AND e.region_bit & 1 <> 0 AND e.bit & 1 <> 0", more="AND contains(lower(c_name), 'customer#0000001')", order="lower(name), root", offset=0))
 def browse_page(spark, d):
-    page, _ = browse.browse(_named_groups(spark, d), cat.entries(spark, d), ["root", "domain"], BROWSE, "name", "root", 50)
+    page, _ = browse.browse(cat.browsed(spark, d), cat.entries(spark, d), ["root", "domain"], BROWSE, "name", "root", 50)
     return page.select("root", "domain", "name", "have", "newest_id")
 
 
 @query(_BROWSE_SQL.format(test="e.bit & 16 = 0", more="", order="have > 0 DESC, lower(name), root", offset=25))
 def browse_have_first(spark, d):
-    page, _ = browse.browse(_named_groups(spark, d), cat.entries(spark, d), ["root", "domain"], browse.Filter(hidden=16, sort="have"), "name", "root", 50, 25)
+    page, _ = browse.browse(cat.browsed(spark, d), cat.entries(spark, d), ["root", "domain"], browse.Filter(hidden=16, sort="have"), "name", "root", 50, 25)
     return page.select("root", "domain", "name", "have", "newest_id")
 
 
 @query(_BROWSE_SQL.format(test="true", more="AND have > 0", order="newest_id DESC, root", offset=0))
 def browse_newest(spark, d):
-    page, _ = browse.browse(_named_groups(spark, d), cat.entries(spark, d), ["root", "domain"], browse.Filter(have=True, sort="newest"), "name", "root", 50)
+    page, _ = browse.browse(cat.browsed(spark, d), cat.entries(spark, d), ["root", "domain"], browse.Filter(have=True, sort="newest"), "name", "root", 50)
     return page.select("root", "domain", "name", "have", "newest_id")
 
 
 @query(f"WITH {ENTRIES_SQL} SELECT count(*) AS total FROM full_groups g WHERE wanted > 0 AND EXISTS (SELECT 1 FROM entries e WHERE e.root = g.root AND e.domain = g.domain AND e.bit & 24 = 0)")
 def browse_total(spark, d):
-    return browse.browse(_named_groups(spark, d), cat.entries(spark, d), ["root", "domain"], browse.Filter(hidden=24, wanted=True), "name", "root")[1]
+    return browse.browse(cat.browsed(spark, d), cat.entries(spark, d), ["root", "domain"], browse.Filter(hidden=24, wanted=True), "name", "root")[1]
 
 
 @query("SELECT doc_id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'apache license')")
@@ -139,12 +134,6 @@ def keyset_page(spark, d):
     return relational.keyset(table(spark, d, "events"), "event_id", 500, 200).select("event_id", "user_id")
 
 
-@query("SELECT doc_id, substr(text, 1, 40) AS head FROM documents ORDER BY translate(substr(text, 1, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), doc_id LIMIT 100")
-def ascii_nocase_sort(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("head"))
-    return relational.page(rows, [text.ascii_lower("head"), F.col("doc_id")], 100)
-
-
 @query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000 ORDER BY o_orderkey IS NULL, o_orderkey, c_custkey LIMIT 150")
 def nulls_last_page(spark, d):
     big = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
@@ -163,7 +152,7 @@ def group_detail(spark, d):
 # joins -----------------------------------------------------------------------
 
 
-_DIGESTS = "SELECT doc_id, sha1(text) AS sha1, md5(text) AS md5, length(text)::BIGINT AS size, substr(text, 1, 32) AS head FROM documents"
+_DIGESTS = "SELECT doc_id, sha1(text) AS sha1, md5(text) AS md5, length(text)::BIGINT AS size, left(md5(text), 8) AS head FROM documents"
 _TIERS_SQL = f"""WITH hashed AS ({_DIGESTS}), catalogue AS (
   SELECT doc_id AS item_id, CASE WHEN doc_id % 6 = 0 THEN sha1 END AS sha1, CASE WHEN doc_id % 6 IN (0, 2) THEN md5 END AS md5, head AS crc32, size FROM hashed WHERE doc_id % 2 = 0
 ), files AS (SELECT doc_id AS file_id, sha1, md5, size, head AS crc32 FROM hashed WHERE doc_id % 2 = 1), hits AS (
@@ -173,7 +162,7 @@ _TIERS_SQL = f"""WITH hashed AS ({_DIGESTS}), catalogue AS (
 
 
 def _tier_hits(spark, d):
-    hashed = table(spark, d, "documents").select("doc_id", F.sha1("text").alias("sha1"), F.md5("text").alias("md5"), long(F.length("text")).alias("size"), F.substring("text", 1, 32).alias("crc32"))
+    hashed = table(spark, d, "documents").select("doc_id", F.sha1("text").alias("sha1"), F.md5("text").alias("md5"), long(F.length("text")).alias("size"), F.substring(F.md5("text"), 1, 8).alias("crc32"))
     side = hashed.where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 6 == 0, F.col("sha1")).alias("sha1"), F.when((F.col("doc_id") % 6).isin(0, 2), F.col("md5")).alias("md5"), "crc32", "size")
     files = hashed.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "file_id")
     return match.tier_matches(files, side)
@@ -195,7 +184,7 @@ def match_candidates_all_ties(spark, d):
 SELECT file_id, item_id, form::INT AS form, live FROM forms JOIN catalogue USING (sha1) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY live DESC, form, item_id) = 1""")
 def two_form_match(spark, d):
     docs = table(spark, d, "documents")
-    rest = F.substring("text", 5, 1 << 30)
+    rest = F.substring(F.col("text"), F.lit(5), F.length("text"))
     odd = docs.where("doc_id % 2 = 1")
     forms = odd.select(F.col("doc_id").alias("file_id"), F.explode(F.array(F.struct(F.lit(0).alias("form"), F.sha1("text").alias("sha1")), F.struct(F.lit(1).alias("form"), F.sha1(rest).alias("sha1")))).alias("x")).select("file_id", "x.form", "x.sha1")
     side = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 4 == 0, F.sha1(rest)).otherwise(F.sha1("text")).alias("sha1"), (F.col("doc_id") % 3 == 0).alias("live"))
@@ -362,11 +351,11 @@ def majority_directories(spark, d):
 
 
 @query("""WITH s AS (SELECT l_orderkey, md5(string_agg(k, chr(31) ORDER BY k)) AS signature, count(*) AS n FROM (SELECT l_orderkey, l_returnflag || l_linestatus || (l_quantity::INT // 10)::VARCHAR AS k FROM lineitem) GROUP BY 1)
-SELECT signature, min(n) AS n, count(*) AS entries, min(l_orderkey) AS first FROM s GROUP BY signature HAVING count(*) > 1""")
+SELECT min(n) AS n, count(*) AS entries, min(l_orderkey) AS first FROM s GROUP BY signature HAVING count(*) > 1""")
 def entry_signature_groups(spark, d):
     key = F.concat("l_returnflag", "l_linestatus", F.floor(F.col("l_quantity").cast("int") / 10).cast("string"))
     signed = groups.signature(table(spark, d, "lineitem"), ["l_orderkey"], key)
-    return signed.groupBy("signature").agg(F.min("n").alias("n"), F.count("*").alias("entries"), F.min("l_orderkey").alias("first")).where("entries > 1")
+    return signed.groupBy("signature").agg(F.min("n").alias("n"), F.count("*").alias("entries"), F.min("l_orderkey").alias("first")).where("entries > 1").drop("signature")
 
 
 @query("""WITH s AS (SELECT l_orderkey, md5(string_agg(k, chr(31) ORDER BY k)) AS signature FROM (SELECT l_orderkey, l_returnflag || l_linestatus AS k FROM lineitem) GROUP BY 1),
@@ -423,11 +412,12 @@ def rollup_counts(spark, d):
     return rows.rollup("n_name", "o_orderstatus").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
-@query("SELECT n_regionkey AS domain, count(*) AS n, bit_xor(o_orderkey) AS x FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+@query("SELECT n_regionkey AS domain, count(*) AS n, bit_xor(o_orderkey) AS x, sum(o_orderkey)::BIGINT AS s FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
 def content_stamp(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
     rows = table(spark, d, "orders").join(c, "o_custkey").join(table(spark, d, "nation"), "n_nationkey")
-    return rows.groupBy(F.col("n_regionkey").alias("domain")).agg(F.count("*").alias("n"), F.bit_xor("o_orderkey").alias("x"))
+    # the digest of sums, with the key itself in the place of its hash
+    return groups.stamp(rows.withColumnRenamed("n_regionkey", "domain"), ["domain"], "o_orderkey", hashed=lambda *c: F.col(c[0]))
 
 
 @query("SELECT p_size, count(*) OVER (PARTITION BY p_size, p_brand) = 1 AS only, p_partkey FROM part")
@@ -641,20 +631,13 @@ def longest_pattern(spark, d):
     return bind.longest_pattern(names, "name", patterns, "domain", "pattern")
 
 
-@query("SELECT doc_id, trim(regexp_replace(translate(lower(nfc_normalize(substr(text, 1, 200))), '&*/:`<>?\\|\"', '___________'), '\\s+', ' ', 'g')) AS name FROM documents")
-def normalize_name(spark, d):
-    return table(spark, d, "documents").select("doc_id", naming.normalize_for_match(F.substring("text", 1, 200)).alias("name"))
-
-
 @query("SELECT doc_id, trim(regexp_replace(translate(lower(nfc_normalize(text)), '&*/:`<>?\\|\"', '___________'), '\\s+', ' ', 'g')) AS name FROM documents")
 def normalize_text(spark, d):
-    """normalize_name over whole texts."""
     return table(spark, d, "documents").select("doc_id", naming.normalize_for_match("text").alias("name"))
 
 
 @query("SELECT doc_id, text FROM documents ORDER BY translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), doc_id LIMIT 100")
 def ascii_nocase_text_sort(spark, d):
-    """ascii_nocase_sort by whole texts."""
     return relational.page(table(spark, d, "documents").select("doc_id", "text"), [text.ascii_lower("text"), F.col("doc_id")], 100)
 
 

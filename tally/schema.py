@@ -26,6 +26,7 @@ LOADABLE = ("verified", "misnamed", "bad")
 FIRM = ("hash", "name", "base")
 OPEN = ("wanted", "queued", "transferring", "checking", "importing")
 SELECTED = ("queued", "transferring", "checking", "importing")
+STARTED = ("transferring", "checking")
 CANCELLABLE = ("wanted", "queued", "transferring", "checking")
 UNSTARTED = ("wanted", "queued")
 ACTIVE_JOBS = ("queued", "running", "paused")

@@ -34,6 +34,21 @@ def test_family_key(spark):
     assert [r[0] for r in values(spark, rows, "n string", text.family_key("n"))] == ["set a", "set a", "x", "x", "set a"]
 
 
+def test_family_key_of_any_form(spark):
+    same = ["Maker - Box (Headered)", "Maker - Box (DB Export)", "Maker - Box (Parent-Clone) (20240101-000000)", "maker -  Box (Headerless) (v1.2)", "Maker - Box [Retool 2024-01-01]", "Maker - Box (LittleEndian)"]
+    other = {"Maker - Box (Private)": "maker - box (private)", "Maker - Box (Headered Extra)": "maker - box (headered extra)", "Box (Open": "box (open", "Box (Open [Retool]": "box (open [retool]", "Box [v1.2]": "box", "Box (20240101) (Headered) [Retool]": "box", "(Headered)": "(headered)", "(DB Export) (20240101)": "(db export) (20240101)", "": ""}
+    got = values(spark, [(x,) for x in [*same, *other]], "n string", text.family_key("n"))
+    assert [r[0] for r in got] == ["maker - box"] * len(same) + list(other.values())
+    got = values(spark, [("Box (20240101-000000)",), ("Box [v2]",), ("Box (Europe)",)], "n string", text.split_version("n"))
+    assert [tuple(r[0]) for r in got] == [("Box", "20240101-000000"), ("Box", "v2"), ("Box (Europe)", None)]
+
+
+def test_words_without_versions(spark):
+    want = {"some_quest_v2": ["some", "quest"], "Rev 1 quest": ["quest"], "rev b2 quest": ["b2", "quest"], "1.0.6 v2": [], "name.v1.2": ["name"], "abc1": ["abc1"], "A-a b_B 3": ["a", "a", "b", "b", "3"], "Quest 2 (USA)": ["quest", "2"], "tale1.0.6": ["tale"], "tale..1.0": ["tale"], "version rev a": [], "a.b c": ["a", "b", "c"]}
+    got = values(spark, [(x,) for x in want], "n string", text.words("n"))
+    assert [r[0] for r in got] == list(want.values())
+
+
 def test_words_and_sequels(spark):
     rows = [("Nova1.0.6 the Squirrel (USA)",), ("Quest v1.2 II",), ("",)]
     assert [r[0] for r in values(spark, rows, "n string", text.words("n"))] == [["nova", "the", "squirrel"], ["quest", "ii"], []]

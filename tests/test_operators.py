@@ -63,6 +63,15 @@ def test_numbered_is_dense(spark):
     assert [r["n"] for r in got] == list(range(1, 1001))
 
 
+def test_numbered_in_ranges(spark, monkeypatch):
+    """Beyond one task's rows: ranges by bounds, with repeated keys and several columns."""
+    monkeypatch.setattr(diff, "ONE_TASK", 100)
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000 % 10).alias("a"), F.concat(F.lit("k"), F.col("id")).alias("b"))
+    got = diff.numbered(rows, ["a", "b"], "n").collect()
+    assert sorted(r["n"] for r in got) == list(range(1, 1001))
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["n"])] == sorted((r["a"], r["b"]) for r in got)
+
+
 def test_compare_and_set(spark):
     rows = df(spark, [(1, "queued"), (2, "done"), (3, "queued")], "id int, state string")
     delta = df(spark, [(1, "queued", "running"), (2, "queued", "running"), (3, "queued", "done")], "id int, `from` string, `to` string")

@@ -2,6 +2,7 @@
 
 import pytest
 
+from tally.plans import further, reconcile  # noqa: F401  add their queries
 from tally.plans.queries import ORACLES, QUERIES
 
 from .oracle import check, connect

@@ -1,4 +1,4 @@
-"""Queries that must see all of a text, beyond the heads that normalize_name and ascii_nocase_sort take."""
+"""Queries that must see all of a text."""
 
 from pyspark.sql import functions as F
 
