@@ -21,6 +21,12 @@ def read_games(spark: SparkSession, path: str) -> DataFrame:
     return reader.schema(GAME + ", _corrupt string").load(path)
 
 
+def games_of(texts: DataFrame, text: str = "value") -> DataFrame:
+    """The games of lists that are texts of a column, one row each."""
+    cut = texts.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?s)(<game\b.*?</game>)"), F.lit(1))).alias("xml"))
+    return cut.select(F.from_xml("xml", GAME, {"rowTag": "game"}).alias("g")).select("g.*")
+
+
 def items(games: DataFrame) -> DataFrame:
     """One row an expected file, typed and checked; ``fault`` names what is wrong."""
     rows = games.select(F.col("_name").alias("entry"), F.explode("rom").alias("r"))
@@ -48,8 +54,12 @@ def kind(paths: DataFrame) -> DataFrame:
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """Games of an export: the file has two root elements, so games are cut out of its text and parsed each."""
-    whole = spark.read.text(path, wholetext=True)
-    cut = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<game\b.*?</game>)"), F.lit(1))).alias("xml"))
+    return exported_games(spark.read.text(path, wholetext=True))
+
+
+def exported_games(texts: DataFrame, text: str = "value") -> DataFrame:
+    """The games of exports that are texts of a column."""
+    cut = texts.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?s)(<game\b.*?</game>)"), F.lit(1))).alias("xml"))
     return cut.select(F.from_xml("xml", EXPORT, {"rowTag": "game"}).alias("g")).select("g.*")
 
 
@@ -85,6 +95,11 @@ def export_tags(games: DataFrame) -> DataFrame:
 
 def read_pack(spark: SparkSession, path: str) -> DataFrame:
     """(path, member, xml): the lists in zip packs, unzipped on the executors."""
+    return packed_lists(spark.read.format("binaryFile").load(path))
+
+
+def packed_lists(files: DataFrame) -> DataFrame:
+    """The lists in zip packs (path, content)."""
 
     def unzip(batches):
         import pandas as pd
@@ -96,8 +111,7 @@ def read_pack(spark: SparkSession, path: str) -> DataFrame:
                     out += [(file, n, z.read(n).decode("utf-8", "replace")) for n in sorted(z.namelist()) if n.lower().endswith((".dat", ".xml"))]
             yield pd.DataFrame(out, columns=["path", "member", "xml"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(unzip, "path string, member string, xml string")
+    return files.select("path", "content").mapInPandas(unzip, "path string, member string, xml string")
 
 
 def write_games(entries: DataFrame, path: str) -> None:

@@ -134,7 +134,7 @@ def parse_mra(text: str) -> dict:
             out[tag] = content.strip() or None
         elif tag == "rom":
             rom = at.get("index")
-            out["zips"] += [z for z in at.get("zip", "").split("|") if z and z not in out["zips"]]
+            out["zips"] = list(dict.fromkeys([*out["zips"], *filter(None, at.get("zip", "").split("|"))]))
         elif tag == "part" and rom is not None:
             out["parts"].append({"rom": rom, "name": at.get("name"), "crc": at.get("crc"), "repeat": at.get("repeat"), "data": content.strip() or None})
     return out
@@ -144,8 +144,13 @@ MRA = "name string, setname string, rbf string, zips array<string>, parts array<
 
 
 def read_mra(spark: SparkSession, path: str) -> DataFrame:
-    parse = F.udf(lambda t: parse_mra(t), MRA)
     whole = spark.read.option("wholetext", "true").text(path).withColumn("path", F.input_file_name())
+    return mra_of(whole)
+
+
+def mra_of(whole: DataFrame) -> DataFrame:
+    """The same for descriptions (path, value) of a table."""
+    parse = F.udf(lambda t: parse_mra(t), MRA)
     return whole.select("path", parse("value").alias("m")).select("path", "m.*")
 
 

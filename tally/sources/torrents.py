@@ -14,7 +14,7 @@ DEPTH, LENGTH = 64, 64 << 20
 
 
 def decode(data: bytes, at: int = 0, depth: int = 0):
-    """(value, end) of the bencoded value at a place; keys of a dict have to be in order, numbers plain."""
+    """(value, end) of the bencoded value at a place; keys of a dict may stand in any order, the last of repeated ones counts; numbers are plain."""
     if depth > DEPTH:
         raise ValueError("nested too deeply")
     head = data[at : at + 1]
@@ -92,6 +92,11 @@ FILES = "path string, infohash string, name string, file_index int, file string,
 
 def read_torrents(spark: SparkSession, path: str) -> DataFrame:
     """One row a file of each torrent; a torrent that cannot be read is one row with its fault."""
+    return torrent_files(spark.read.format("binaryFile").load(path))
+
+
+def torrent_files(files: DataFrame) -> DataFrame:
+    """The same for torrents (path, content) of a table."""
 
     def run(batches):
         import pandas as pd
@@ -107,7 +112,7 @@ def read_torrents(spark: SparkSession, path: str) -> DataFrame:
             rows = pd.DataFrame(out, columns=[c.split()[0] for c in FILES.split(", ")])
             yield rows.astype({"file_index": "Int32", "size": "Int64"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, FILES)
+    return files.select("path", "content").mapInPandas(run, FILES)
 
 
 @udf("string")
