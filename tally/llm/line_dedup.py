@@ -66,6 +66,8 @@ BLOCKS = ((1 << 18, 2), (1 << 25, 3), (1 << 29, 4), (1 << 62, 5))
 HOT = 64
 #: Lines that are repeated over 1 / MOST of all lines each.
 MOST = 1000
+#: Keys that a task counts before they are shuffled.
+KEYS = 1 << 19
 #: Keys up to which the list of shared keys is broadcast (16 bytes each).
 BROADCAST_KEYS = 1 << 20
 _SUMS = (1 << 62) - 1
@@ -206,7 +208,9 @@ def _members(ids: DataFrame) -> DataFrame:
     masks = block_masks(next(agree for most, agree in BLOCKS if n <= most))
     keys = [F.struct(F.xxhash64(F.lit(k), F.col("sh").bitwiseAND(_signed(m))).alias("key"), F.lit(k).alias("block")) for k, m in enumerate(masks)]
     more = F.transform("more", lambda x: F.struct(x.alias("key"), F.lit(None).cast("int").alias("block")))
-    blocks = ids.select(F.explode(F.array(*keys)).alias("k"), "id", "sh").select("k.key", "k.block", "id", "sh")
+    # dealt out so that a task counts some KEYS keys in memory
+    rows = ids.select("id", "sh").repartition(max(1, n * len(keys) // KEYS))
+    blocks = rows.select(F.explode(F.array(*keys)).alias("k"), "id", "sh").select("k.key", "k.block", "id", "sh")
     others = ids.where(F.size("more") > 0).select(F.explode(more).alias("k"), "id", "sh").select("k.key", "k.block", "id", "sh")
     found = _shared(blocks.unionByName(others), "lines-shared")
     hot = found.where(f"n > {HOT} and block is not null")
