@@ -17,12 +17,13 @@ of the class in earlier chunks.
 
 Defined results: null and empty texts hold the end id alone; rows of the same
 doc_id are packed as documents of their own; an empty table gives no pieces.
-Sequence ids are unique but not dense: sequences of rests count from 0, full
-ones from 2**62 by chunk.
+Sequence ids are dense: sequences of rests count from 0, full ones follow in order
+of chunk.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 
 import numpy as np
@@ -38,7 +39,6 @@ STEP = 8
 END = 1
 #: Documents in a chunk, the unit of ranking.
 CHUNK = 20_000
-FULL = 1 << 62
 
 
 def knapsack(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -77,8 +77,12 @@ def _inverse(matrix: np.ndarray) -> np.ndarray:
     return work[:, n:].copy()
 
 
-def column_generation(demand: np.ndarray, most: int = 3000) -> list[tuple[np.ndarray, float]]:
-    """(pattern, uses) pairs of an optimal basis of the covering program; demand[class - 1] rests of each class."""
+def column_generation(demand: np.ndarray, most: int = 5000) -> list[tuple[np.ndarray, float]]:
+    """(pattern, uses) pairs of an optimal basis of the covering program; demand[class - 1] rests of each class.
+
+    Ends when no pattern prices out. A basis that is not optimal after ``most`` turns still covers the
+    demand and is used with a warning: it costs padding, no documents.
+    """
     capacity, rows = len(demand), np.flatnonzero(demand)
     if not len(rows):
         return []
@@ -116,6 +120,8 @@ def column_generation(demand: np.ndarray, most: int = 3000) -> list[tuple[np.nda
         else:
             inverse = _inverse(basis)
             x = np.maximum(np.einsum("ij,j->i", inverse, d), 0)
+    else:
+        warnings.warn(f"no optimal basis after {most} turns", stacklevel=2)
     found = []
     for k in np.flatnonzero((cost > 0) & (x > 1e-9)):
         pattern = np.zeros(capacity, np.int64)
@@ -170,7 +176,7 @@ def _measure(path: str | None, end: int, size: int, step: int, chunk: int, keep_
         from pyspark import TaskContext
 
         encoder, tail = Encoder(path), np.array([end], "<u4").tobytes()
-        part, seen = TaskContext.get().partitionId() << 12, 0
+        part, seen = TaskContext.get().partitionId() << 32, 0
         places, fulls = np.zeros(size // step + 2, np.int64), 0
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
@@ -226,7 +232,12 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE, end:
     demand = np.zeros(-(-size // step), np.int64)
     for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():  # a row a class: 256 at most
         demand[r["class"] - 1] = r["n"]
-    slots = _slots(plan_patterns(demand), len(demand))
+    plan = plan_patterns(demand)
+    slots, rest_sequences = _slots(plan, len(demand)), sum(n for _, n in plan)
+    # a row a chunk: how many full sequences the earlier ones hold
+    fulls = measured.groupBy("chunk").agg(F.sum(F.floor(F.col("doc_tokens") / size)).alias("n"))
+    before_chunk = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    fulls = fulls.select("chunk", F.coalesce(F.sum("n").over(before_chunk), F.lit(0)).alias("earlier"))
     earlier = Window.partitionBy("class").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("chunk", "class", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     part = lambda start: [F.substring("ids", (4 * start + 1).cast("int"), F.lit(4 * size)).alias("ids")] if keep_ids else []
@@ -240,8 +251,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE, end:
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if keep_ids else [])]
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select(names)
-    whole = measured.where(F.col("doc_tokens") >= size).select("*", F.posexplode(F.slice("crcs", 1, (F.col("doc_tokens") / size).cast("int"))).alias("k", "crc")).select(
+    whole = measured.where(F.col("doc_tokens") >= size).join(fulls, "chunk").select("*", F.posexplode(F.slice("crcs", 1, (F.col("doc_tokens") / size).cast("int"))).alias("k", "crc")).select(
         "doc_id", (F.col("k") * F.lit(size).cast("long")).alias("start"), F.lit(size).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens",
-        (F.lit(FULL) + F.shiftleft("chunk", 32) + F.col("full") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *part(F.col("k") * size),
+        (F.lit(rest_sequences) + F.col("earlier") + F.col("full") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *part(F.col("k") * size),
     )
     return placed.unionByName(whole.select(names))
