@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,6 +143,21 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def signed(mask: int) -> Column:
+    """64 bits as the long that Spark holds them in."""
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+
+
+def parts(bits: list[int], n: int) -> list[int]:
+    """Masks of n parts of a list of bit numbers, as even as can be."""
+    return [sum(1 << b for b in bits[len(bits) * k // n : len(bits) * (k + 1) // n]) for k in range(n)]
+
+
+def block_masks(budget: int, agree: int) -> list[int]:
+    """Masks of which one at least holds no differing bit of any pair within the budget: all choices of so many of budget + agree blocks."""
+    return [sum(chosen) for chosen in combinations(parts(list(range(64)), budget + agree), agree)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -48,12 +48,10 @@ beside a struct of the caller's.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_count, word_count, written, written_by
+from ._common import block_masks, bucket_count, parts, signed, word_count, written, written_by
 from .graph import components
 
 MIN_WORDS = 5
@@ -155,21 +153,6 @@ def run_keys(words: Column) -> Column:
     return F.array_distinct(F.when(n < 6, F.concat(two, three)).when(n < 16, three).when(n < 20, F.concat(three, four)).otherwise(blocks))
 
 
-def _signed(mask: int) -> Column:
-    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
-
-
-def _parts(bits: list[int], n: int) -> list[int]:
-    """Masks of n parts of a list of bit numbers, as even as can be."""
-    return [sum(1 << b for b in bits[len(bits) * k // n : len(bits) * (k + 1) // n]) for k in range(n)]
-
-
-def block_masks(agree: int) -> list[int]:
-    """Masks of the bits that any pair within the budget has in common in one of them at least."""
-    blocks = _parts(list(range(64)), BUDGET + agree)
-    return [sum(chosen) for chosen in combinations(blocks, agree)]
-
-
 def _lines(prepared: DataFrame, min_words: int, runs: bool) -> DataFrame:
     """row, did (the doc_id), pos, id, sh and more (further keys) of every line that is long enough."""
 
@@ -205,8 +188,8 @@ def _shared(keyed: DataFrame, label: str) -> DataFrame:
 def _members(ids: DataFrame) -> DataFrame:
     """Lines by the keys that they share with others: key, block (null for further keys), id, sh, n."""
     n = ids.count()
-    masks = block_masks(next(agree for most, agree in BLOCKS if n <= most))
-    keys = [F.struct(F.xxhash64(F.lit(k), F.col("sh").bitwiseAND(_signed(m))).alias("key"), F.lit(k).alias("block")) for k, m in enumerate(masks)]
+    masks = block_masks(BUDGET, next(agree for most, agree in BLOCKS if n <= most))
+    keys = [F.struct(F.xxhash64(F.lit(k), F.col("sh").bitwiseAND(signed(m))).alias("key"), F.lit(k).alias("block")) for k, m in enumerate(masks)]
     more = F.transform("more", lambda x: F.struct(x.alias("key"), F.lit(None).cast("int").alias("block")))
     # dealt out so that a task counts some KEYS keys in memory
     rows = ids.select("id", "sh").repartition(max(1, n * len(keys) // KEYS))
@@ -216,9 +199,9 @@ def _members(ids: DataFrame) -> DataFrame:
     hot = found.where(f"n > {HOT} and block is not null")
     if hot.isEmpty():
         return found
-    rest = [[_signed(p) for p in _parts([b for b in range(64) if not m >> b & 1], BUDGET + 1)] for m in masks]
-    parts = F.get(F.array(*[F.array(*r) for r in rest]), F.col("block"))
-    cut = hot.select(F.explode(F.transform(parts, lambda p: F.xxhash64("key", p, F.col("sh").bitwiseAND(p)))).alias("key"), "block", "id", "sh")
+    rest = [[signed(p) for p in parts([b for b in range(64) if not m >> b & 1], BUDGET + 1)] for m in masks]
+    outside = F.get(F.array(*[F.array(*r) for r in rest]), F.col("block"))
+    cut = hot.select(F.explode(F.transform(outside, lambda p: F.xxhash64("key", p, F.col("sh").bitwiseAND(p)))).alias("key"), "block", "id", "sh")
     return found.where(f"n <= {HOT} or block is null").unionByName(_shared(cut, "lines-cut"))
 
 

@@ -4,10 +4,12 @@ A document's fingerprint has a bit where over half of its shingles' XXH64 have
 it. Fingerprints of at most ``BUDGET`` differing bits are linked; documents of
 equal or linked fingerprints, directly or over others, are one component.
 
-The self-join works on distinct fingerprints. Six blocks of bits of which at
-most four can differ leave two that agree, so every link falls into one of 15
-groups of fingerprints that share two blocks. In a group, the fingerprints in
-order are the leaves of a binary trie. Pairs of nodes go down together, level by
+The self-join works on distinct fingerprints. Five blocks of bits of which at most
+four can differ leave one that agrees, so every link falls into a group of
+fingerprints that share a block; from more fingerprints on, groups share two of six
+blocks, or three of seven (``BLOCKS``), which keeps a group some hundreds large and
+finds the same links. In a group, the fingerprints in order are the leaves of a binary
+trie. Pairs of nodes go down together, level by
 level, with the bits in which they differ so far, and end where these exceed the
 budget. Pairs of nodes that lie in one component already end as well, so a group
 of near copies costs about its size and not its square, and gives a spanning
@@ -28,23 +30,22 @@ same doc_id are documents of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import block_masks, signed, written
 from .graph import components
 
 SHINGLE = 4
 SEED = 42
 BUDGET = 4
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: (fingerprints up to which, blocks that agree): 5 keys of 13 bits, 15 of 21, 35 of 27.
+BLOCKS = ((1 << 22, 1), (1 << 31, 2), (1 << 62, 3))
 #: Pairs of leaves below which two trie nodes are compared directly.
-LEAF = 64
+LEAF = 16
 #: Node pairs taken from the stack at a time.
 SLICE = 1 << 18
 #: Rows that a task gathers before it joins the groups among them.
@@ -211,16 +212,12 @@ def _join_groups(batches):
         yield edges(np.concatenate(keys), np.concatenate(fps))
 
 
-def _keys(fp: Column) -> Column:
-    """The 15 group keys of a fingerprint: which two blocks, and their bits."""
-    bits = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in BLOCKS]
-    pairs = combinations(range(len(BLOCKS)), 2)
-    return F.array(*[F.lit(k << 22).cast("long").bitwiseOR(F.shiftleft(bits[i], 11)).bitwiseOR(bits[j]) for k, (i, j) in enumerate(pairs)])
-
-
 def links(fps: DataFrame) -> DataFrame:
     """(u, v): a spanning forest, in each group, of the links between distinct fingerprints (column fp)."""
-    keyed = fps.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
+    n = fps.count()
+    masks = block_masks(BUDGET, next(agree for most, agree in BLOCKS if n <= most))
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(signed(m))) for k, m in enumerate(masks)])
+    keyed = fps.select(F.explode(keys).alias("key"), "fp")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_join_groups, "u bigint, v bigint")
 
 

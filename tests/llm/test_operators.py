@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tally.llm import interpolation, language_crf, line_dedup, mixing, packing, permutation_index, quality_rules, simhash, tokenfile, weak_quality
 from tally.llm._bpe import public_path
+from tally.llm._common import block_masks
 from tally.llm.graph import components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, fp bigint, root string, n bigint, h string"
@@ -100,7 +101,7 @@ def union(n, links):
 
 def test_simhash(docs, rows, empty):
     fps = [fingerprint(r[1]) for r in rows]
-    comp = union(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4])
+    comp = union(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 4])
     least = defaultdict(lambda: None)
     for k, r in enumerate(rows):
         if r[0] is not None:
@@ -199,6 +200,7 @@ def test_packing(docs, rows, empty):
         total += at
         padding += 0 if at & (at - 1) == 0 else packing.SIZE - at
     assert padding <= 0.1 * total
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
     assert packing.pack(empty).count() == 0
 
 
@@ -297,11 +299,30 @@ def test_line_simhash_of_any_length(spark):
 
 
 def test_line_blocks_find_every_pair_within_the_budget():
-    for _, agree in line_dedup.BLOCKS:
-        masks = line_dedup.block_masks(agree)
-        for d in ((), (0,), (0, 13, 26), (5, 6, 7), (12, 13, 63), (20, 40, 60)):
-            assert any(not any(m >> b & 1 for b in d) for m in masks)
-        assert all(m < 1 << 64 for m in masks)
+    for budget, blocks in ((line_dedup.BUDGET, line_dedup.BLOCKS), (simhash.BUDGET, simhash.BLOCKS)):
+        for _, agree in blocks:
+            masks = block_masks(budget, agree)
+            for d in ((), (0,), (0, 13, 26), (5, 6, 7), (12, 13, 63), (20, 40, 60), (0, 20, 40, 60), (1, 2, 3, 4))[: 6 if budget == 3 else 8]:
+                assert any(not any(m >> b & 1 for b in d) for m in masks)
+            assert all(m < 1 << 64 for m in masks)
+
+
+def test_simhash_links_of_any_blocks(spark, monkeypatch):
+    """The same components whichever blocks agree."""
+    rng = np.random.default_rng(6)
+    near = [int(b) ^ sum(1 << int(x) for x in set(rng.integers(0, 64, rng.integers(0, 7)))) for b in rng.integers(0, 2**63, 60) for _ in range(12)]
+    fps = np.unique(np.array(near, np.uint64)).view(np.int64).tolist()
+    table, found = spark.createDataFrame([(x,) for x in fps], "fp bigint"), []
+    for agree in (1, 2, 3):
+        monkeypatch.setattr(simhash, "BLOCKS", ((1 << 62, agree),))
+        found.append({r["node"]: r["root"] for r in components(simhash.links(table)).collect()})
+    pairs = [(a, b) for a in range(len(fps)) for b in range(a) if ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 4]
+    root = union(len(fps), pairs)
+    least = {}
+    for k, x in enumerate(fps):
+        least[root[k]] = min(least.get(root[k], x), x)
+    want = {x: least[root[k]] for k, x in enumerate(fps) if root.count(root[k]) > 1}
+    assert found == [want] * 3
 
 
 def test_line_dedup_of_a_hot_group(spark):
@@ -335,6 +356,47 @@ def test_interpolation(docs, rows, empty, monkeypatch):
     assert interpolation.score(empty).count() == 0
 
 
+def test_interpolation_scores_against_a_plain_model(docs, rows, monkeypatch):
+    """Weights by EM on exact ratios and scores in plain Python: the operator's histogram keeps within a percent."""
+    monkeypatch.setattr(interpolation, "CHUNK", 700)
+    part = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7
+    texts = [(r[0], [*words(low(r[1])), None]) for r in rows]
+
+    def counts(parts):
+        one, two = Counter(), Counter()
+        for i, t in texts:
+            if part(i) in parts:
+                one.update(t)
+                two.update(zip([None, *t], t, strict=False))
+        return one, two
+
+    def em(pairs):
+        weight = 0.5
+        for _ in range(300):
+            weight = sum(weight * x / (weight * x + (1 - weight) * y) for x, y in pairs) / len(pairs) if pairs else 0.0
+        return min(max(weight, 1e-6), 1 - 1e-6) if pairs else 0.0
+
+    counted, trained = counts({0, 1, 4, 5, 6}), counts({0, 1, 3, 4, 5, 6})
+    dev = [(h, w) for i, t in texts if part(i) == 3 for h, w in zip([None, *t], t, strict=False)]
+    (one, two), n = counted, counted[0].total()
+    a = em([(one[w] / n, 1 / (len(one) + 1)) for _, w in dev])
+    p1 = lambda one, w: a * one[w] / one.total() + (1 - a) / (len(one) + 1)
+    level = lambda one, h: int(math.log2(one[h])) + 1 if one[h] else 0
+    by_level = defaultdict(list)
+    for h, w in dev:
+        by_level[level(one, h)].append((two[h, w] / one[h] if one[h] else 0, p1(one, w)))
+    b = {k: em(v) if k else 0.0 for k, v in by_level.items()}
+    (one, two), want = trained, defaultdict(list)
+    for i, t in texts:
+        logs = 0.0
+        for h, w in zip([None, *t], t, strict=False):
+            mix = b.get(level(one, h), 0.0)
+            logs += math.log10((mix * two[h, w] / one[h] if one[h] else 0) + (1 - mix) * p1(one, w))
+        want[i].append(logs)
+    for r in interpolation.score(docs).collect():
+        assert any(math.isclose(r["score"], x, rel_tol=0.01) for x in want[r["doc_id"]]), r
+
+
 def test_probabilities_sum_to_one():
     """Over the known words and one unknown word, P(. | h) is a distribution."""
     words_, pairs = {"a": 3, "b": 1}, {("a", "b"): 1, ("a", "a"): 2}
