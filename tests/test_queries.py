@@ -2,7 +2,7 @@
 
 import pytest
 
-from tally.plans import formats, further, reconcile, store_queries  # noqa: F401  add their queries
+from tally.plans import formats, further, pages, reconcile, store_queries  # noqa: F401  add their queries
 from tally.plans.queries import ORACLES, QUERIES
 
 from .oracle import check, connect
