@@ -57,7 +57,7 @@ from .graph import components
 MIN_WORDS = 5
 SIMILARITY = 0.8
 BUDGET = 3
-SHORT = 16
+SHORT = 32
 #: (lines up to which, blocks that agree): 10 keys of 25 bits, 20 of 32, 35 of 36, 56 of 40. Lines by chance in a key stay under one in a hundred.
 BLOCKS = ((1 << 18, 2), (1 << 25, 3), (1 << 29, 4), (1 << 62, 5))
 #: Lines in a key from which it is cut by the bits outside it.

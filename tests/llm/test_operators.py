@@ -268,7 +268,7 @@ def test_line_dedup(spark, docs, rows, empty):
     pairs = {(int(a), int(b)) for a, h in enumerate(hashes) for b in np.flatnonzero(np.bitwise_count(hashes[:a] ^ h) <= 3)}
     for a, x in enumerate(names):
         w = x.split(" ")
-        for rest in [w, *(w[:k] + w[k + 1 :] for k in range(len(w)))] if len(w) <= 16 else ():
+        for rest in [w, *(w[:k] + w[k + 1 :] for k in range(len(w)))] if len(w) <= 32 else ():
             less[tuple(sorted(rest))].add(a)
     pairs |= {(a, b) for same in less.values() for a in same for b in same if b < a}
     links = [(a, b) for a, b in pairs if similar(names[a], names[b])]

@@ -94,6 +94,20 @@ def test_line_dedup_finds_near_copies_of_any_length(spark):
     assert got == {k: int(k < 2 * len(pairs) and k % 2) for k in range(len(rows))}
 
 
+def test_line_dedup_of_one_word(spark):
+    """Without runs: lines of up to 32 words that differ in one word, replaced, added or lost, are found whatever the word."""
+    rng, texts = random.Random(12), []
+    for n in (5, 6, 9, 15, 16, 17, 24, 31):
+        for _ in range(3):
+            words, k = invented(rng, n), rng.randrange(n)
+            texts += [" ".join(words), " ".join([*words[:k], "extraordinarily" * 2, *words[k + 1 :]])]
+            words, k = invented(rng, n), rng.randrange(n)
+            texts += [" ".join(words), " ".join([*words[:k], "added", *words[k:]])]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS), counts=True).collect()}
+    assert got == {k: k % 2 for k in range(len(rows))}
+
+
 # op6 ---------------------------------------------------------------------------
 
 
