@@ -75,11 +75,18 @@ def shuffles_go(spark: SparkSession):
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
 
 
+def goes_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a written path when the driver's JVM ends, also where the session was stopped before."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: cuts its lineage, survives lost executors."""
     path = new_path(df.sparkSession, label)
     with shuffles_go(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
+    goes_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -105,6 +112,7 @@ def written_by(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
     with shuffles_go(spark):
         df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
     _names.append((spark, name))
+    goes_at_exit(spark, path)
     return spark.table(name)
 
 

@@ -187,6 +187,14 @@ class Model:
             found = list(map(self.cache.__getitem__, words))
         return self.table[np.array(found, np.int64)]
 
+    def label(self, text: bytes | None) -> list[str]:
+        """The language of each word of a text: the one of the highest posterior."""
+        words = text.split() if text else []
+        if not words:
+            return []
+        posterior = forward_backward(self.look(words)[:, :-1], np.array([len(words)]), self.start, self.moves)
+        return [self.langs[k] for k in posterior.argmax(1).tolist()]
+
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         """(language, share of its letters) of each text."""
         words = [text.split() if text else [] for text in texts]
@@ -367,6 +375,24 @@ def _predict(model: Model | None):
     return run
 
 
+def _label(model: Model | None):
+    def run(batches):
+        if model is not None:
+            model.open()
+        for batch in batches:
+            texts = batch.column("text")
+            found = [model.label(texts[i].as_py()) if model is not None else ["und"] * len((texts[i].as_py() or b"").split()) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "langs"])
+
+    return run
+
+
+def label_words(docs: DataFrame, fitted: DataFrame | None = None) -> DataFrame:
+    """doc_id and langs, the language of each word in order, of every row of docs; the field is learned from ``fitted``, or docs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(_label(fit(docs if fitted is None else fitted)), "doc_id bigint, langs array<string>")
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs."""
     model = fit(docs)

@@ -51,7 +51,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import block_masks, bucket_count, parts, signed, word_count, written, written_by
+from ._common import block_masks, bucket_count, drop_table, parts, signed, word_count, written, written_by
 from .graph import components
 
 MIN_WORDS = 5
@@ -182,7 +182,9 @@ def _shared(keyed: DataFrame, label: str) -> DataFrame:
     """(key, block, id, sh, n) of the rows (key, block, id, sh) whose key has n > 1 of them."""
     keys = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-keys")
     small = keys.count() <= BROADCAST_KEYS
-    return written(keyed.join(F.broadcast(keys) if small else keys, "key").select("key", "block", "id", "sh", "n"), label)
+    found = written(keyed.join(F.broadcast(keys) if small else keys, "key").select("key", "block", "id", "sh", "n"), label)
+    drop_table(keys)
+    return found
 
 
 def _members(ids: DataFrame) -> DataFrame:
@@ -230,7 +232,10 @@ def _linked(pairs: DataFrame, ids: DataFrame, prepared: DataFrame) -> DataFrame:
     texts = written(read.select("id", word_codes(F.col("words")).alias("codes"), F.array_join("words", " ").alias("plain")), "lines-texts")
     sides = [texts.select(F.col("id").alias(k), F.col("codes").alias(f"{k}_codes"), F.col("plain").alias(f"{k}_plain")) for k in "uv"]
     both = pairs.join(sides[0], "u").join(sides[1], "v")
-    return both.where(_edits("u_codes", "v_codes") | _edits("u_plain", "v_plain")).select("u", "v")
+    found = written(both.where(_edits("u_codes", "v_codes") | _edits("u_plain", "v_plain")).select("u", "v"), "lines-links")
+    drop_table(pairs)
+    drop_table(texts)
+    return found
 
 
 def groups(ids: DataFrame, prepared: DataFrame) -> DataFrame:
@@ -238,14 +243,16 @@ def groups(ids: DataFrame, prepared: DataFrame) -> DataFrame:
     members = _members(ids)
     firsts = members.groupBy("key").agg(F.min("id").alias("first"), F.min_by("sh", "id").alias("first_sh"))
     stars = members.join(firsts, "key").where(F.col("id") != F.col("first")).where(_close("sh", "first_sh")).select(F.col("first").alias("u"), F.col("id").alias("v"))
-    roots = written(components(written(_linked(stars, ids, prepared), "lines-links")), "lines-roots")
+    roots = written(components(_linked(stars, ids, prepared)), "lines-roots")
     known = members.join(roots, members["id"] == roots["node"], "left").select("key", "block", "id", "sh", F.coalesce("root", "id").alias("root"))
     # keys whose lines are all in one component have nothing more to compare
     open_keys = known.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("key")
     known = written(known.join(open_keys, "key", "left_semi"), "lines-open")
     a, b = (known.select("key", *([F.col("block")] if side == "a" else []), *[F.col(c).alias(f"{side}_{c}") for c in ("id", "sh", "root")]) for side in "ab")
     rest = a.join(b, (a["key"] == b["key"]) & (F.col("a_root") < F.col("b_root"))).where(_close("a_sh", "b_sh"))
-    more = written(_linked(rest.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")), ids, prepared), "lines-links")
+    more = _linked(rest.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")), ids, prepared)
+    drop_table(known)
+    drop_table(members)
     if more.isEmpty():
         return roots
     return written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "lines-roots")

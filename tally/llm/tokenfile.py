@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bpe import Encoder
-from ._common import new_path
+from ._common import goes_at_exit, new_path, shuffles_go
 
 MAGIC = b"TRP1"
 END = 2
@@ -204,7 +204,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     """Encode docs (doc_id, text) in ascending doc_id order into shards at path."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
-    ordered.select("doc_id", "text").mapInArrow(_write_shards(vocabulary, end, shard_ids), SHARDS).write.option("compression", "zstd").parquet(path)
+    with shuffles_go(docs.sparkSession):
+        ordered.select("doc_id", "text").mapInArrow(_write_shards(vocabulary, end, shard_ids), SHARDS).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -249,4 +250,5 @@ def encode_table(docs: DataFrame, vocabulary: str | None = None, end: int = END)
     """Write docs as token files in the shared folder and return their digest."""
     path = new_path(docs.sparkSession, "tokens")
     write_token_files(docs, path, vocabulary, end)
+    goes_at_exit(docs.sparkSession, path)
     return digest(docs.sparkSession, path)

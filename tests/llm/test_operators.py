@@ -428,6 +428,37 @@ def test_language(docs, rows, empty):
     assert language_crf.identify(empty).count() == 0
 
 
+def test_words_of_switched_text(spark, docs):
+    """A text that changes its language twice: its words are labelled, and its language is the one of most letters."""
+    rng = random.Random(31)
+    parts = [[w.strip(".\n") for w in prose(rng, lang, 40).split()] for lang in ("en", "de", "en")]
+    truth = [lang for lang, p in zip(("en", "de", "en"), parts, strict=True) for _ in p]
+    text = " ".join(w for p in parts for w in p)
+    mixed = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["langs"] for r in language_crf.label_words(mixed, docs).collect()}
+    assert got[2] == got[3] == [] and len(got[1]) == len(truth)
+    assert sum(a == b for a, b in zip(got[1], truth, strict=True)) >= 0.9 * len(truth)
+
+
+def test_language_against_all_paths(docs, rows):
+    """A text's shares are those of a sum over all labellings of its words."""
+    import itertools
+
+    model = language_crf.fit(docs).open()
+    n = len(model.langs)
+    for text in ("the river der", "straße", "house of 12 steine über", "über the"):
+        words_ = text.encode().split()
+        emit, size = model.look(words_)[:, :-1], model.look(words_)[:, -1]
+        share, total = np.zeros(n), 0.0
+        for path in itertools.product(range(n), repeat=len(words_)):
+            p = model.start[path[0]] * math.exp(sum(emit[k, c] for k, c in enumerate(path))) * math.prod(model.moves[a, b] for a, b in zip(path, path[1:], strict=False))
+            total += p
+            for k, c in enumerate(path):
+                share[c] += p * size[k]
+        lang, score = model.predict([text.encode()])[0]
+        assert lang == model.langs[int(share.argmax())] and math.isclose(score, share.max() / total / size.sum(), rel_tol=1e-6)
+
+
 def test_forward_backward_against_all_paths():
     import itertools
 
@@ -459,6 +490,47 @@ def test_weak_quality(docs, empty):
     assert kept.columns == docs.columns and kept.count() == weak_quality.classify(docs).where("kept").count()
 
 
+def test_weak_quality_against_a_plain_version(docs, rows):
+    """Measures, votes, posteriors and scores of every text, each written anew."""
+
+    def measures(text):
+        w = (text or "").encode().split()
+        if not w:
+            return [0] * 7 + [1.0, 0]
+        n, lines = len(w), [x for x in text.encode().split(b"\n") if x.strip()]
+        grams = Counter(tuple(w[i : i + 3]) for i in range(n - 2))
+        cover = {i + k for i in range(n - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        bare = lambda x: not any(65 <= b <= 122 or b > 127 or 48 <= b <= 57 for b in x)
+        return [
+            len(re.findall(r"[#*$%&|<>]", text)) / n, sum(x.isupper() and len(x) > 1 for x in w) / n, (len(lines) - len(set(lines))) / max(1, len(lines)), len(cover) / n,
+            sum(bool(re.search(rb"[^\w\s\x80-\xff]{2,}$", x)) for x in w) / n, sum(map(bare, w)) / n, sum(len(x) < 2 or len(x) > 25 for x in w) / n, 2 / (n + 1), sum(a == b for a, b in zip(w, w[1:], strict=False)) / n,
+        ]
+
+    votes = [tuple(1 if x > bad else 2 if x <= good else 0 for x, (_, bad, good) in zip(measures(r[1]), weak_quality.LABELLERS, strict=True)) for r in rows]
+    good = [min(max((v.count(2) + 1) / (len(v) - v.count(0) + 2), 0.05), 0.95) for v in votes]
+    good = [min(g, 0.4) if 1 in v else g for g, v in zip(good, votes, strict=True)]
+    for _ in range(100):
+        prior, odds = (sum(good) + 1) / (len(good) + 2), [0.0] * len(votes)
+        for k in range(len(votes[0])):
+            cast = [(v[k], g) for v, g in zip(votes, good, strict=True) if v[k]]
+            for x in (1, 2):
+                yes = (sum(g for v, g in cast if v == x) + 1) / (sum(g for _, g in cast) + 2)
+                no = (sum(1 - g for v, g in cast if v == x) + 1) / (sum(1 - g for _, g in cast) + 2)
+                odds = [o + math.log(yes / no) * (v[k] == x) for o, v in zip(odds, votes, strict=True)]
+        after = [1 / (1 + math.exp(-min(30, max(-30, o + math.log(prior / (1 - prior)))))) for o in odds]
+        done, good = max(abs(a - b) for a, b in zip(after, good, strict=True)) < 1e-6, after
+        if done:
+            break
+    want = defaultdict(list)
+    for r, g in zip(rows, good, strict=True):
+        want[r[0]].append(g)
+    got = weak_quality.classify(docs).collect()
+    assert len(got) == len(rows) and all(any(math.isclose(r["weak_label"], g, abs_tol=1e-4) for g in want[r["doc_id"]]) for r in got)
+    # the scorer agrees with the labels that it was trained on, where these are clear
+    clear = [r for r in got if abs(r["weak_label"] - 0.5) > 0.4]
+    assert sum(r["kept"] == (r["weak_label"] > 0.5) for r in clear) >= 0.95 * len(clear)
+
+
 def test_estimates_find_the_better_labellers():
     """Votes of labellers with known accuracies: EM orders them, and beats a majority."""
     rng = np.random.default_rng(2)
