@@ -46,7 +46,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the classifier nor the packing; tests hold each stage against brute force.
+#: SQL can express neither the classifier nor the packing; tests hold the operators against brute force, and the whole against its parts.
 ORACLE_SQL = None
 
 
