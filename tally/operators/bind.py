@@ -63,9 +63,11 @@ def unanimous(hints: DataFrame, source: str, domain: str, weight: str) -> DataFr
 def longest_pattern(names: DataFrame, name: str, patterns: DataFrame, domain: str, pattern: str) -> DataFrame:
     """The domain of the longest pattern that a name holds as whole words; ties in table order.
 
-    The pattern table is a fixed list of some hundred rows, which Spark broadcasts
-    by its own size check; names meet it in a nested loop, never each other.
+    Names are cut into runs of as many words as patterns have, so that both meet in an equi-join.
     """
-    n = F.concat(F.lit(" "), F.col(name), F.lit(" "))
-    hits = names.join(patterns, n.contains(F.concat(F.lit(" "), F.col(pattern), F.lit(" "))))
+    most = patterns.agg(F.max(F.size(F.split(pattern, " ")))).first()[0] or 0
+    words = F.split(F.col(name), " ")
+    runs = lambda k: F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>"))
+    cut = names.select(name, F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[runs(k) for k in range(1, most + 1)]))).alias("_run"))
+    hits = cut.join(patterns, F.col("_run") == F.col(pattern))
     return first_per_key(hits, [name], [F.length(pattern).desc(), F.col("place")]).select(name, domain)

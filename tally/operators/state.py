@@ -19,22 +19,39 @@ def fold_runs(df: DataFrame, by: Sequence[str], order: Sequence[str], same: Sequ
     return runs.groupBy(*by, "run", *same).agg(F.count("*").alias("n"), first.alias("first"), last.alias("last"))
 
 
+#: Events that are folded at a time.
+FOLD = 1024
+
+
 def fold_events(df: DataFrame, key: Sequence[str], order: Sequence[str], event: str, start: str, transitions: dict[tuple[str, str], str]) -> DataFrame:
     """The final state of each key after its events in order, and how many of them were allowed.
 
-    A fold needs a key's events together; they are small structs, and keys are
-    many. Transitions are a literal map inside the plan.
+    Transitions compose: FOLD events in a row become, for every state they may meet, the
+    state they end in and the moves on the way; a key's pieces are folded from the start
+    state. So no list is longer than FOLD or the number of a key's pieces.
     """
+    states = sorted({start, *[x for (a, _), b in transitions.items() for x in (a, b)]})
     table = F.create_map(*[x for (a, e), b in transitions.items() for x in (F.lit(f"{a}\x1f{e}"), F.lit(b))])
-    events = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("_event")))), lambda x: x["_event"])
 
     def step(acc: Column, e: Column) -> Column:
         to = F.try_element_at(table, F.concat(acc["state"], F.lit("\x1f"), e))
         return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["moves"] + to.isNotNull().cast("long")).alias("moves"))
 
-    folded = F.aggregate(F.col("_events"), F.struct(F.lit(start).alias("state"), F.lit(0).cast("long").alias("moves")), step)
-    out = df.groupBy(*key).agg(events.alias("_events"))
-    return out.withColumn("_end", folded).select(*key, F.col("_end.state").alias("state"), F.col("_end.moves").alias("moves"), F.size("_events").cast("long").alias("events"))
+    def through(first: str) -> Column:
+        return F.aggregate("_events", F.struct(F.lit(first).alias("state"), F.lit(0).cast("long").alias("moves")), step)
+
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    pieces = df.withColumn("_piece", F.floor((place - 1) / FOLD))
+    events = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("_event")))), lambda x: x["_event"])
+    folded = pieces.groupBy(*key, "_piece").agg(events.alias("_events")).select(*key, "_piece", F.size("_events").alias("_n"), F.map_from_arrays(F.array(*map(F.lit, states)), F.array(*map(through, states))).alias("_through"))
+    whole = folded.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_piece", F.map_entries("_through").alias("ends")))).alias("_all"), F.sum("_n").alias("events"))
+
+    def follow(acc: Column, piece: Column) -> Column:
+        end = F.element_at(F.filter(piece["ends"], lambda x: x["key"] == acc["state"]), 1)["value"]
+        return F.struct(end["state"].alias("state"), (acc["moves"] + end["moves"]).alias("moves"))
+
+    end = F.aggregate("_all", F.struct(F.lit(start).alias("state"), F.lit(0).cast("long").alias("moves")), follow)
+    return whole.withColumn("_end", end).select(*key, F.col("_end.state").alias("state"), F.col("_end.moves").alias("moves"), F.col("events").cast("long").alias("events"))
 
 
 def compare_and_set(rows: DataFrame, delta: DataFrame, key: str, state: str, allowed: dict[str, Sequence[str]]) -> DataFrame:
@@ -46,15 +63,22 @@ def compare_and_set(rows: DataFrame, delta: DataFrame, key: str, state: str, all
 
 
 def throttle(df: DataFrame, key: Sequence[str], order: Sequence[str], phase: str, seconds: str, interval: float) -> DataFrame:
-    """Events that pass: the first, a change of phase, or an interval since the last that passed."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(seconds).cast("double").alias("_s"), F.col(phase).alias("_phase"))))
+    """Events that pass: the first, a change of phase, or an interval since the last that passed.
 
-    def step(acc: Column, e: Column) -> Column:
-        due = acc["phase"].isNull() | (acc["phase"] != e["_phase"]) | (e["_s"] - acc["at"] >= interval)
-        return F.struct(F.when(due, e["_phase"]).otherwise(acc["phase"]).alias("phase"), F.when(due, e["_s"]).otherwise(acc["at"]).alias("at"), (acc["kept"] + due.cast("long")).alias("kept"))
-
-    start = F.struct(F.lit(None).cast("string").alias("phase"), F.lit(None).cast("double").alias("at"), F.lit(0).cast("long").alias("kept"))
-    return df.groupBy(*key).agg(rows.alias("_rows")).select(*key, F.aggregate("_rows", start, step)["kept"].alias("kept"), F.size("_rows").cast("long").alias("events"))
+    The first event of a run of one phase always passes, so runs are folded each alone.
+    """
+    w = Window.partitionBy(*key).orderBy(*order)
+    fresh = ~F.col(phase).eqNullSafe(F.lag(phase).over(w)) | (F.row_number().over(w) == 1)
+    runs = df.withColumn("_fresh", fresh.cast("int")).withColumn("_run", F.sum("_fresh").over(w))
+    times = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(seconds).cast("double").alias("_s")))), lambda x: x["_s"])
+
+    def step(acc: Column, s: Column) -> Column:
+        due = acc["at"].isNull() | (s - acc["at"] >= interval)
+        return F.struct(F.when(due, s).otherwise(acc["at"]).alias("at"), (acc["kept"] + due.cast("long")).alias("kept"))
+
+    start = F.struct(F.lit(None).cast("double").alias("at"), F.lit(0).cast("long").alias("kept"))
+    each = runs.groupBy(*key, "_run").agg(times.alias("_times")).select(*key, F.aggregate("_times", start, step)["kept"].alias("kept"), F.size("_times").alias("n"))
+    return each.groupBy(*key).agg(F.sum("kept").alias("kept"), F.sum("n").cast("long").alias("events"))
 
 
 def stable_files(polls: DataFrame, path: str, poll: str, size: str, age: str, least_age: float = 2.0) -> DataFrame:

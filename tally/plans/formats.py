@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes as byte
 from ..functions import hashing
-from ..sources import catalogues, files, torrents
+from ..sources import arcade, catalogues, files, torrents
 from .catalogue import table
 from .queries import query
 
@@ -144,6 +144,22 @@ def zip_locations(spark, d):
     return table(spark, d, "part").select("p_partkey", files.zip_location(zips).alias("place"))
 
 
+@query("SELECT n_regionkey::BIGINT AS image, sum(length(piece))::BIGINT AS size, md5(CASE WHEN n_regionkey % 2 = 0 THEN 'zz' || substr(string_agg(piece, '' ORDER BY n_nationkey), 3) ELSE string_agg(piece, '' ORDER BY n_nationkey) END) AS md5, md5(string_agg(piece, '' ORDER BY n_nationkey)) AS fed_md5 FROM (SELECT *, repeat(CASE WHEN n_nationkey % 3 = 0 THEN substr(n_name, 2, 4) ELSE substr(n_name, 2) END, (n_nationkey % 2 + 1)::INT) AS piece FROM nation) GROUP BY n_regionkey")
+def part_assembly(spark, d):
+    """Images from parts with offsets, lengths and repeats; those of even regions are patched at the start."""
+    n = table(spark, d, "nation")
+    parts = n.select(F.col("n_regionkey").cast("long").alias("image"), F.col("n_nationkey").alias("at"), F.encode("n_name", "UTF-8").alias("data"), F.lit(1).alias("offset"), F.when(F.col("n_nationkey") % 3 == 0, 4).otherwise(0).alias("length"), (F.col("n_nationkey") % 2 + 1).alias("repeat"))
+    patches = n.where("n_regionkey % 2 = 0").select(F.col("n_regionkey").cast("long").alias("image"), F.lit(0).alias("offset"), F.encode(F.lit("zz"), "UTF-8").alias("data"), F.lit(False).alias("xor")).distinct()
+    return arcade.images(parts, patches).select("image", "size", "md5", "fed_md5")
+
+
+@query("SELECT list(DISTINCT n_name ORDER BY n_name) AS sets, ['bios.rom'] AS bios FROM nation GROUP BY n_regionkey")
+def romset_lists(spark, d):
+    name = F.concat(F.lit('<romset name=" '), F.col("n_name"), F.lit('"/>'))
+    texts = table(spark, d, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("<!-- needs\n bios.rom\n not this.rom\n-->"), F.array_join(F.collect_list(name), "")).alias("value"))
+    return arcade.romsets_of(texts).select(F.array_sort("sets").alias("sets"), "bios")
+
+
 # images and bytes ----------------------------------------------------------------------
 
 

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 def read_romsets(spark: SparkSession, path: str) -> DataFrame:
     """sets and bios of set lists: names of the elements, and file names that stand alone on a line of a comment."""
-    whole = spark.read.text(path, wholetext=True)
+    return romsets_of(spark.read.text(path, wholetext=True))
+
+
+def romsets_of(whole: DataFrame) -> DataFrame:
+    """The same for set lists that are texts (value) of a table; other columns are dropped."""
     names = F.regexp_extract_all("value", F.lit(r"(?i)<romset\b[^>]*?\bname\s*=\s*[\"']\s*([^\"']*?)\s*[\"']"), F.lit(1))
     comments = F.array_join(F.regexp_extract_all("value", F.lit(r"(?s)<!--(.*?)-->"), F.lit(1)), "\n")
     lines = F.transform(F.split(comments, r"\r?\n"), lambda x: F.btrim(x))
@@ -63,3 +67,33 @@ def assemble(items: list[dict], patches: list[tuple[int, bytes, bool]] = (), mos
             raise ValueError("patch beyond the end")
         image[at : at + len(data)] = bytes(a ^ b for a, b in zip(old, data, strict=True)) if xor else data
     return bytes(image), fed.hexdigest()
+
+
+IMAGES = "image bigint, size bigint, md5 string, fed_md5 string, fault string"
+
+
+def images(parts: DataFrame, patches: DataFrame | None = None) -> DataFrame:
+    """image, size, MD5 of the whole and of the part bytes, for parts (image, at, data, offset, length, repeat) in order of ``at``.
+
+    An image is put together in one task: it is a file of its own, some MB, and its parts follow each other.
+    patches: image, offset, data, xor.
+    """
+    import pandas as pd
+
+    def build(rows: pd.DataFrame, changes: list) -> pd.DataFrame:
+        items = [{"data": bytes(r.data), "offset": int(r.offset), "length": int(r.length), "repeat": int(r.repeat)} for r in rows.sort_values("at").itertuples()]
+        key = int(rows["image"].iloc[0])
+        try:
+            image, fed = assemble(items, changes)
+        except ValueError as e:
+            return pd.DataFrame([(key, None, None, None, str(e))], columns=["image", "size", "md5", "fed_md5", "fault"])
+        return pd.DataFrame([(key, len(image), hashlib.md5(image).hexdigest(), fed, None)], columns=["image", "size", "md5", "fed_md5", "fault"])
+
+    def both(rows: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame([], columns=["image", "size", "md5", "fed_md5", "fault"])
+        return build(rows, [(int(c.offset), bytes(c.data), bool(c.xor)) for c in changes.itertuples()])
+
+    if patches is None:
+        return parts.groupBy("image").applyInPandas(lambda rows: build(rows, []), IMAGES)
+    return parts.groupBy("image").cogroup(patches.groupBy("image")).applyInPandas(both, IMAGES)

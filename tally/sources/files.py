@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digests
-from ..functions.lazy import udf
 from ..functions.text import directory, extension
 
 
@@ -91,13 +90,19 @@ def disc_header(head: bytes) -> dict:
 DISC = "reason string, logical_bytes bigint, hunk_bytes bigint, unit_bytes bigint, codecs array<string>, raw_sha1 binary, sha1 binary, parent_sha1 binary"
 
 
-@udf(DISC)
-def disc_header_udf(head):
-    return disc_header(bytes(head)) if head is not None else None
+def disc_headers(files: DataFrame) -> DataFrame:
+    """The header fields of images (path, content), of which the first 124 bytes go to Python."""
+
+    def run(batches):
+        import pandas as pd
 
+        for batch in batches:
+            rows = [disc_header(bytes(head)) if head is not None else {} for head in batch["head"]]
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in DISC.split(", ")], index=batch.index)
+            out.insert(0, "path", batch["path"])
+            yield out.astype({c: "Int64" for c in ("logical_bytes", "hunk_bytes", "unit_bytes")})
 
-def disc_headers(files: DataFrame) -> DataFrame:
-    return files.select("path", disc_header_udf(F.substring("content", 1, DISC_HEADER)).alias("h")).select("path", "h.*")
+    return files.select("path", F.substring("content", 1, DISC_HEADER).alias("head")).mapInPandas(run, "path string, " + DISC)
 
 
 def track_fields(meta) -> Column:
@@ -150,8 +155,16 @@ def read_mra(spark: SparkSession, path: str) -> DataFrame:
 
 def mra_of(whole: DataFrame) -> DataFrame:
     """The same for descriptions (path, value) of a table."""
-    parse = F.udf(lambda t: parse_mra(t), MRA)
-    return whole.select("path", parse("value").alias("m")).select("path", "m.*")
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = pd.DataFrame([parse_mra(t or "") for t in batch["value"]], columns=["name", "setname", "rbf", "zips", "parts"], index=batch.index)
+            out.insert(0, "path", batch["path"])
+            yield out
+
+    return whole.select("path", "value").mapInPandas(run, "path string, " + MRA)
 
 
 def placement(entries: DataFrame, domain: str, kind: str, name: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,14 +117,18 @@ def torrent_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, FILES)
 
 
-@udf("string")
-def base32_hex(text: str) -> str | None:
+def _base32(text: str | None) -> str | None:
     try:
-        return base64.b32decode(text.upper()).hex()
+        return base64.b32decode(text.upper()).hex() if text else None
     except ValueError:
         return None
 
 
+@udf("string", vectorised=True)
+def base32_hex(texts: pd.Series) -> pd.Series:
+    return pd.Series([_base32(t) for t in texts], dtype=object)
+
+
 def magnets(df: DataFrame, link: str) -> DataFrame:
     """infohash and display name of magnet links; hex hashes stay native, base32 ones take a UDF."""
     found = F.regexp_extract(link, r"(?i)[?&]xt=urn:btih:([0-9a-z]+)", 1)

@@ -72,6 +72,22 @@ def test_numbered_in_ranges(spark, monkeypatch):
     assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["n"])] == sorted((r["a"], r["b"]) for r in got)
 
 
+def test_fold_in_pieces(spark, monkeypatch):
+    """A key's events are folded in pieces that compose."""
+    import random
+
+    monkeypatch.setattr(state, "FOLD", 3)
+    moves, rng = {("a", "x"): "b", ("b", "y"): "c", ("c", "x"): "a", ("b", "z"): "a"}, random.Random(1)
+    rows = [(k, n, rng.choice("xyz")) for k in range(4) for n in range(k * 9 + 1)]
+    got = state.fold_events(df(spark, rows, "k int, n int, e string"), ["k"], ["n"], "e", "a", moves).collect()
+    for r in got:
+        now, moved = "a", 0
+        for _, _, e in sorted(x for x in rows if x[0] == r["k"]):
+            to = moves.get((now, e))
+            now, moved = to or now, moved + bool(to)
+        assert (r["state"], r["moves"], r["events"]) == (now, moved, r["k"] * 9 + 1)
+
+
 def test_compare_and_set(spark):
     rows = df(spark, [(1, "queued"), (2, "done"), (3, "queued")], "id int, state string")
     delta = df(spark, [(1, "queued", "running"), (2, "queued", "running"), (3, "queued", "done")], "id int, `from` string, `to` string")
