@@ -6,14 +6,50 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import hashing, text
-from ..operators import bind, groups, match, pick
+from ..operators import bind, browse, groups, match, pick
+from ..sources import synthetic
 from ..streaming import streams
 from . import api
-from .catalogue import ENTRIES_SQL, entries, pick_order, table
+from .catalogue import ENTRIES_SQL, entries, pick_order, stored, table
 from .queries import query
 from .reconcile import base, given
 from .store_queries import head, store
 
+#: Titles of the catalogue that the published browse figures are for.
+PUBLISHED = 41_000
+
+
+def _synthetic(spark, d):
+    """The summary that pages read, kept while the session lasts: a row a group, with its variants' masks."""
+
+    def build():
+        t = synthetic.titles(spark, PUBLISHED)
+        g = t.groupBy("root", "domain").agg(F.min("name").alias("name"), F.count_if("have").alias("have"), F.count_if("wanted").alias("wanted"), F.max("id").alias("newest_id"), F.count("*").alias("variants"), F.min("bit").alias("lean_flags"))
+        masks = groups.mask_sets(t.withColumn("region_bit", F.lit(1).cast("long")), ["root", "domain"])
+        return g.join(masks, ["root", "domain"])
+
+    return stored(spark, d, "synthetic", build)
+
+
+_SHOWN = f"WITH t AS ({synthetic.titles_sql(PUBLISHED)}), g AS (SELECT root, domain, min(name) AS name, count(*) FILTER (WHERE have) AS have FROM t GROUP BY ALL HAVING bool_or(bit & 4 = 0)) "
+
+
+@query(_SHOWN + "SELECT root, domain, name, have FROM g WHERE contains(name, 'ka') ORDER BY lower(name), root LIMIT 100")
+def browse_published_size(spark, d):
+    shown = browse.browse(_synthetic(spark, d), None, ["root", "domain"], browse.Filter(search="KA", hidden=4), "name", "root", 100)
+    return shown[0].select("root", "domain", "name", "have")
+
+
+@query(_SHOWN + "SELECT count(*) AS total FROM g WHERE contains(name, 'ka')")
+def browse_published_total(spark, d):
+    return browse.browse(_synthetic(spark, d), None, ["root", "domain"], browse.Filter(search="KA", hidden=4), "name", "root", 100)[1]
+
+
+@query(synthetic.titles_sql(5000, 7))
+def synthetic_titles(spark, d):
+    return synthetic.titles(spark, 5000, 7)
+
+
 # pages ---------------------------------------------------------------------------------
 
 
