@@ -184,3 +184,36 @@ def _hashes(batches):
             out += found
         picked = [batch.column(n).take(pa.array(at, pa.int32())) for n in ("row", "h", "no_host")]
         yield pa.RecordBatch.from_arrays([*picked, pa.array(out, pa.int64())], names=["row", "h", "no_host", "line"])
+
+
+#: The same rows in DuckDB's SQL: windows of three words by position, lines by their normalised text.
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), grams AS (
+  SELECT r, i, [word, lead(word) OVER q, lead(word, 2) OVER q] AS gram, lead(word, 2) OVER q IS NOT NULL AS whole FROM words WINDOW q AS (PARTITION BY r ORDER BY i)
+), twice AS (
+  SELECT r, i FROM grams WHERE whole QUALIFY count(*) OVER (PARTITION BY r, gram) > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY r
+), lines AS (
+  SELECT r, source, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS line FROM d)
+), kept_lines AS (
+  SELECT r, source, line, len(w) AS n, translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS plain FROM lines WHERE len(w) > 0
+), dups AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM kept_lines GROUP BY r
+), hosts AS (
+  SELECT source, count(*) AS docs FROM d GROUP BY source
+), often AS (
+  SELECT l.source, plain FROM kept_lines l JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source GROUP BY l.source, plain, docs HAVING count(DISTINCT r) > greatest(@LIMIT_DOCS, @LIMIT_SHARE * docs)
+), removed AS (
+  SELECT r, sum(n) AS n_removed FROM kept_lines l JOIN often o ON o.source IS NOT DISTINCT FROM l.source AND o.plain = l.plain GROUP BY r
+), counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_removed, 0)::BIGINT AS n_removed_words
+  FROM d LEFT JOIN dups USING (r) LEFT JOIN covered USING (r) LEFT JOIN removed USING (r)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * n_removed_words <= n_words AS kept FROM counted
+""".replace("@LIMIT_DOCS", str(LIMIT_DOCS)).replace("@LIMIT_SHARE", str(LIMIT_SHARE))

@@ -63,5 +63,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_quality_rules": quality_rules.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
