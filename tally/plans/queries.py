@@ -641,7 +641,7 @@ def ascii_nocase_text_sort(spark, d):
     return relational.page(table(spark, d, "documents").select("doc_id", "text"), [text.ascii_lower("text"), F.col("doc_id")], 100)
 
 
-@query()
+@query("SELECT \"group\", p_partkey, CASE p_partkey % 3 WHEN 0 THEN ['USA'] WHEN 1 THEN ['Japan', 'Europe'] ELSE ['Korea'] END AS regions, [1, p_size % 9, 0, 0]::INT[] AS version FROM (SELECT *, lower(p_name) AS \"group\" FROM part) QUALIFY row_number() OVER (PARTITION BY \"group\" ORDER BY CASE p_partkey % 3 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END, p_size % 9 DESC, p_partkey) = 1")
 def release_names(spark, d):
     """Names of parts as release names with made-up tags, parsed and picked by region."""
     name = F.concat("p_name", F.lit(" ("), F.element_at(F.array(F.lit("USA"), F.lit("Japan, Europe"), F.lit("Korea")), (F.col("p_partkey") % 3 + 1).cast("int")), F.lit(") (Rev "), (F.col("p_size") % 9).cast("string"), F.lit(")"))
