@@ -109,3 +109,14 @@ class Encoder:
         except TypeError:
             return self.whole(text)
         return (self.whole(first) if first else b"") + rest
+
+
+_open: dict[tuple[str | None, str], Encoder] = {}
+
+
+def encoder(path: str | None = None, dtype: str = "<u4") -> Encoder:
+    """The Encoder of this Python worker: its words and the vocabulary serve all tasks that the worker runs."""
+    if (path, dtype) not in _open:
+        _open.clear()  # one at a time, so that a worker holds one cache
+        _open[path, dtype] = Encoder(path, dtype)
+    return _open[path, dtype]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bpe import Encoder
+from ._bpe import encoder
 from ._common import written
 
 SIZE = 2048
@@ -175,7 +175,7 @@ def _measure(path: str | None, end: int, size: int, step: int, chunk: int, keep_
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, tail = Encoder(path), np.array([end], "<u4").tobytes()
+        encode, tail = encoder(path).encode, np.array([end], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId() << 32, 0
         places, fulls = np.zeros(size // step + 2, np.int64), 0
         for batch in batches:
@@ -185,7 +185,7 @@ def _measure(path: str | None, end: int, size: int, step: int, chunk: int, keep_
                 if seen == chunk:
                     part, seen, fulls = part + 1, 0, 0
                     places[:] = 0
-                raw = encoder.encode(texts[i].as_py()) + tail
+                raw = encode(texts[i].as_py()) + tail
                 n = len(raw) // 4
                 rest = n % size
                 kind = -(-rest // step)

@@ -3,9 +3,10 @@
 A shard holds the ids of consecutive documents, about ``SHARD`` ids (a document
 is never cut). Re-Pair replaces frequent neighbouring pairs by new symbols until no
 pair occurs ``MIN_COUNT`` times. It goes in rounds: a round counts all pairs of the
-shard, takes up to ``BATCH`` of the most frequent ones whose left and right symbols do
-not overlap (so that no two chosen occurrences do; a pair of one symbol with itself
-is counted and replaced left to right), and replaces all their occurrences at once.
+shard, takes up to ``BATCH`` of the most frequent ones in which every symbol is a left
+or a right one alone (so that no two chosen occurrences overlap; a pair of one symbol
+with itself is counted and replaced left to right), and replaces all their occurrences
+at once.
 What a round leaves out is counted again in the next. The payload of a shard is
 
     magic "TRP1", then little-endian u32: base, width (bytes a symbol), rules,
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._bpe import Encoder
+from ._bpe import encoder
 from ._common import goes_at_exit, new_path, shuffles_go
 
 MAGIC = b"TRP1"
@@ -62,7 +63,8 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> bytes:
         mask, seq = kind((1 << shift) - 1), seq.astype(kind)
         codes = (seq[:-1] << kind(shift)) | seq[1:]
         overlap = _overlapping(seq)
-        ordered = np.sort(np.delete(codes, overlap))
+        ordered = np.delete(codes, overlap) if len(overlap) else codes.copy()
+        ordered.sort()
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(edges, len(ordered)))
         often = np.flatnonzero(counts >= min_count)
@@ -72,16 +74,15 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> bytes:
         if len(pairs) > 4 * BATCH:
             top = np.argpartition(-counts, 4 * BATCH)[: 4 * BATCH]
             pairs, counts = pairs[top], counts[top]
-        lefts, rights, chosen = set(), set(), []
-        for code in pairs[np.lexsort((pairs, -counts))].tolist():
-            a, b = code >> shift, code & int(mask)
-            if a not in rights and b not in lefts and (a != b or a not in lefts):
-                lefts.add(a)
-                rights.add(b)
-                chosen.append(code)
-                if len(chosen) >= BATCH:
-                    break
-        chosen = np.sort(np.array(chosen, kind))
+        pairs = pairs[np.lexsort((pairs, -counts))]
+        a, b = (pairs >> kind(shift)).astype(np.int64), (pairs & mask).astype(np.int64)
+        # a symbol is a left or a right one, as in the most frequent pair that it is in, or both in a pair with itself
+        rank = np.arange(len(pairs))
+        as_left, as_right = np.full(base + len(rules), len(pairs)), np.full(base + len(rules), len(pairs))
+        as_left[a[::-1]], as_right[b[::-1]] = rank[::-1], rank[::-1]
+        own = (a == b) & (as_left[a] == rank) & (as_right[a] == rank)
+        apart = (a != b) & (as_left[a] < as_right[a]) & (as_right[b] < as_left[b])
+        chosen = np.sort(pairs[own | apart][:BATCH])
         is_left, is_right = np.zeros(base + len(rules), bool), np.zeros(base + len(rules), bool)
         is_left[(chosen >> kind(shift)).astype(np.int64)] = True
         is_right[(chosen & mask).astype(np.int64)] = True
@@ -164,16 +165,16 @@ def _write_shards(path: str | None, end: int, shard_ids: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part, shard = Encoder(path, "<u2"), TaskContext.get().partitionId(), 0
-        kind = "<u2" if encoder.size < 1 << 16 else "<u4"
+        words, part, shard = encoder(path, "<u2"), TaskContext.get().partitionId(), 0
+        kind = "<u2" if words.size < 1 << 16 else "<u4"
         if kind != "<u2":
-            encoder = Encoder(path, kind)
+            words = encoder(path, kind)
         tail = np.array([end], kind).tobytes()
         doc_ids, starts, parts, n = [], [], [], 0
 
         def flush():
             ids = np.frombuffer(b"".join(parts), kind)
-            row = {"part": [part], "shard": [shard], "doc_ids": [doc_ids], "starts": [starts], "n_ids": [n], "payload": [compress(ids, max(encoder.size, end + 1))]}
+            row = {"part": [part], "shard": [shard], "doc_ids": [doc_ids], "starts": [starts], "n_ids": [n], "payload": [compress(ids, max(words.size, end + 1))]}
             return pa.RecordBatch.from_arrays(
                 [pa.array(row["part"], pa.int32()), pa.array(row["shard"], pa.int32()), pa.array(row["doc_ids"], pa.list_(pa.int64())), pa.array(row["starts"], pa.list_(pa.int64())), pa.array(row["n_ids"], pa.int64()), pa.array(row["payload"], pa.binary())],
                 names=list(row),
@@ -182,7 +183,7 @@ def _write_shards(path: str | None, end: int, shard_ids: int):
         for batch in batches:
             texts = batch.column(1)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                ids = encoder.encode(texts[i].as_py()) + tail
+                ids = words.encode(texts[i].as_py()) + tail
                 doc_ids.append(doc_id)
                 starts.append(n)
                 parts.append(ids)
