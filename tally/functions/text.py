@@ -209,3 +209,27 @@ def name_fits(path, item, own_extensions: tuple[str, ...] = ()) -> Column:
 def member_range(c, container: str, nocase: bool = False) -> Column:
     """Paths of the members of a container, "<container>/...", as a range of the column; without regard to the case of A-Z if asked."""
     return prefix_range(ascii_lower(c), container.translate(str.maketrans(_UPPER, _LOWER)) + "/") if nocase else prefix_range(c, container + "/")
+
+
+def track_number(c) -> Column:
+    """The number at the end of a member's stem; null without one."""
+    return F.nullif(F.regexp_extract(_col(c), r"([0-9]{1,9})\D*(?:\.[^.]*)?$", 1), F.lit("")).cast("int")
+
+
+def known_words(c, known: tuple[str, ...]) -> Column:
+    """The words of a status text that are known flags, in their order, once each, whatever their case."""
+    found = F.filter(F.split(ascii_lower(c), r"[^a-z0-9]+"), lambda w: w.isin(*known))
+    return F.array_distinct(found)
+
+
+def spaced_hex(c) -> Column:
+    """Bytes of hexadecimal digits with blanks between them; null for other text."""
+    bare = F.regexp_replace(_col(c), r"\s+", "")
+    return F.when(bare.rlike("^(?:[0-9A-Fa-f]{2})+$"), F.unhex(bare))
+
+
+def seed_policy(c) -> Column:
+    """(policy, ratio) of "none", "client" or "ratio <number above zero>"; null for other text."""
+    bare = F.btrim(ascii_lower(c))
+    ratio = F.nullif(F.regexp_extract(bare, r"^ratio ([0-9]{1,9}(?:\.[0-9]{1,9})?)$", 1), F.lit("")).cast("double")
+    return F.when(bare.isin("none", "client"), F.struct(bare.alias("policy"), F.lit(None).cast("double").alias("ratio"))).when(ratio > 0, F.struct(F.lit("ratio").alias("policy"), ratio.alias("ratio")))

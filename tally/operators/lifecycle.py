@@ -211,3 +211,32 @@ def disc_states(discs: DataFrame, tracks: DataFrame, items: DataFrame) -> DataFr
     first = first_per_key(full, ["disc"], [F.col("entry_id")]).select("disc", "entry_id", "spoilt")
     state = F.when(F.col("entry_id").isNull(), "unidentified").when(F.col("spoilt"), "bad").otherwise("verified")
     return discs.join(first, "disc", "left").select("disc", "entry_id", state.alias("state"))
+
+
+# jobs over many rows -----------------------------------------------------------------
+
+
+def settle_names(files: DataFrame, items: DataFrame, fits: Column) -> DataFrame:
+    """files whose misnamed ones are verified where the name now fits (fits may use item_name)."""
+    names = items.select(F.col("id").alias("item_id"), F.col("name").alias("item_name"))
+    settled = _in("state", ("misnamed",), S.FILE_STATE) & F.col("item_name").isNotNull() & fits
+    rows = files.join(names, "item_id", "left")
+    return rows.withColumn("state", F.when(settled, _state("verified", S.FILE_STATE)).otherwise(F.col("state"))).select(files.columns)
+
+
+def rebind(sources: DataFrame, scores: DataFrame, least: float) -> DataFrame:
+    """(id, domain, score) of the unbound sources that no user chose for and whose best domain scores enough; a suggested domain wins ties."""
+    waiting = sources.where(_in("state", ("unbound",), S.SOURCE_STATE) & ~F.coalesce("user_binding", F.lit(False))).select("id", "suggested_domain")
+    rows = scores.where(F.col("score") >= least).join(waiting, "id")
+    order = [F.desc("score"), F.coalesce(F.col("domain") == F.col("suggested_domain"), F.lit(False)).desc(), F.col("domain")]
+    return first_per_key(rows, ["id"], order).select("id", "domain", "score")
+
+
+def remap(offers: DataFrame, stale: DataFrame, matches: DataFrame) -> DataFrame:
+    """offers of stale sources with new matches (source_id, file_index, item_id, confidence) or none; proofs stay."""
+    keys = ["source_id", "file_index"]
+    marks = stale.select(F.col("id").alias("source_id")).distinct().withColumn("stale", F.lit(True))
+    new = matches.select(*keys, F.col("item_id").alias("to_item"), F.col("confidence").alias("to_confidence"))
+    moves = F.col("stale").isNotNull() & ~F.coalesce(F.col("confidence") == _state("hash", S.CONFIDENCE), F.lit(False))
+    rows = offers.join(marks, "source_id", "left").join(new, keys, "left").withColumn("moves", moves)
+    return rows.withColumns({c: F.when(F.col("moves"), F.col(f"to_{n}")).otherwise(F.col(c)) for c, n in (("item_id", "item"), ("confidence", "confidence"))}).select(offers.columns)

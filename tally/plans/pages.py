@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import hashing, text
-from ..operators import bind, browse, groups, match, pick
+from ..operators import bind, browse, groups, lifecycle, match, pick
 from ..sources import synthetic
 from ..streaming import streams
 from . import api
@@ -228,3 +228,37 @@ def name_tags(spark, d):
 def live_overlay(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
     return streams.latest_overlay(rows, table(spark, d, "events"), "user_id", "event_id", ["value"])
+
+
+# jobs over many rows, small texts --------------------------------------------------------------
+
+
+@query(f"{given('files', 'items')} SELECT f.id, CASE WHEN f.state = 2 AND i.id IS NOT NULL AND f.id % 3 = 0 THEN 1 ELSE f.state END AS state FROM files f LEFT JOIN items i ON i.id = f.item_id")
+def settled_names(spark, d):
+    return lifecycle.settle_names(base(spark, d, "files"), base(spark, d, "items"), F.col("id") % 3 == 0).select("id", F.col("state").cast("int").alias("state"))
+
+
+@query(head() + ", sc AS (SELECT o_custkey % 100 AS id, o_orderkey % 7 AS domain, (o_orderkey % 5) / 5.0::DOUBLE AS score FROM orders), r AS (SELECT sc.*, sc.domain = s.id % 7 AS mine FROM sc JOIN sources s ON s.id = sc.id WHERE s.state = 1 AND NOT s.user_binding AND score >= 0.6) SELECT DISTINCT id, domain, score FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, mine DESC, domain) = 1")
+def rebound_sources(spark, d):
+    s = store(spark, d)
+    scores = table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("id"), (F.col("o_orderkey") % 7).alias("domain"), ((F.col("o_orderkey") % 5) / 5.0).alias("score"))
+    return lifecycle.rebind(s["sources"].withColumn("suggested_domain", F.col("id") % 7), scores, 0.6)
+
+
+@query(f"{given('offers')} SELECT source_id, file_index, CASE WHEN source_id % 3 <> 0 OR coalesce(confidence = 0, false) THEN item_id WHEN file_index % 2 = 0 THEN file_index END AS item_id FROM offers")
+def remapped_offers(spark, d):
+    offers = base(spark, d, "offers")
+    stale = offers.where("source_id % 3 = 0").select(F.col("source_id").alias("id"))
+    matches = offers.where("file_index % 2 = 0").select("source_id", "file_index", F.col("file_index").alias("item_id"), F.lit(2).alias("confidence"))
+    return lifecycle.remap(offers, stale, matches).select("source_id", "file_index", "item_id")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_size END AS track, [CASE WHEN p_partkey % 2 = 0 THEN 'proto' ELSE 'beta' END, 'bios'] AS flags, CASE WHEN p_partkey % 2 = 0 THEN 'ABCD' END AS bytes, CASE p_partkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'ratio' END AS policy, CASE WHEN p_partkey % 4 = 1 THEN p_size + 0.5 END::DOUBLE AS ratio FROM part")
+def small_texts(spark, d):
+    """Track numbers, status words, spaced digits and policies."""
+    rows = table(spark, d, "part").selectExpr(
+        "p_partkey", "CASE p_partkey % 3 WHEN 0 THEN concat('d/track ', p_size, '.bin') WHEN 1 THEN concat('d/t', p_size) ELSE 'd/image.chx' END AS path",
+        "concat(CASE WHEN p_partkey % 2 = 0 THEN 'Proto' ELSE 'BETA' END, ', BIOS bios good') AS status", "CASE WHEN p_partkey % 2 = 0 THEN 'ab CD' ELSE 'abc' END AS digits",
+        "CASE p_partkey % 4 WHEN 0 THEN ' None' WHEN 1 THEN concat('ratio ', p_size, '.5') WHEN 2 THEN 'ratio 0' ELSE 'x' END AS policy",
+    )
+    return rows.select("p_partkey", text.track_number("path").alias("track"), text.known_words("status", ("beta", "proto", "bios")).alias("flags"), F.hex(text.spaced_hex("digits")).alias("bytes"), text.seed_policy("policy")["policy"].alias("policy"), text.seed_policy("policy")["ratio"].alias("ratio"))
