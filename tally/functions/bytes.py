@@ -57,3 +57,21 @@ def swapped(content: bytes, order: str) -> bytes:
 @udf("binary", vectorised=True)
 def big_endian(content: pd.Series, order: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else swapped(bytes(c), o) for c, o in zip(content, order, strict=True)])
+
+
+# fixed value: the first code point of escaped bytes
+ESCAPED = 0x10FF00
+_ESCAPES = {0xDC00 + b: ESCAPED + b for b in range(0x80, 0x100)}
+
+
+@udf("string", vectorised=True)
+def escape_invalid(content: pd.Series) -> pd.Series:
+    """Bytes as text: what is no UTF-8 becomes a private code point a byte, so that a reader never fails on it."""
+    return pd.Series([None if c is None else bytes(c).decode("utf-8", "surrogateescape").translate(_ESCAPES) for c in content], dtype=object)
+
+
+def has_escapes(text):
+    """Whether a text holds bytes that were no UTF-8."""
+    from pyspark.sql import functions as F
+
+    return (F.col(text) if isinstance(text, str) else text).rlike("[\U0010ff80-\U0010ffff]")

@@ -206,6 +206,14 @@ def crc_without_header(spark, d):
     return rows.select("p_name", byte.content_crc(F.crc32(whole), F.col("head"), F.octet_length(whole)).alias("crc"))
 
 
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || 'é' WHEN 1 THEN p_name || chr(1114089) || '!' ELSE chr(1114050) || p_name END AS text, p_partkey % 3 > 0 AS escaped FROM part")
+def invalid_bytes_escaped(spark, d):
+    """Latin-1 bytes and a stray continuation byte among names in UTF-8."""
+    content = F.expr("CASE p_partkey % 3 WHEN 0 THEN encode(concat(p_name, 'é'), 'UTF-8') WHEN 1 THEN concat(encode(p_name, 'UTF-8'), unhex('E921')) ELSE concat(unhex('C2'), encode(p_name, 'UTF-8')) END")
+    rows = table(spark, d, "part").select("p_partkey", byte.escape_invalid(content).alias("text"))
+    return rows.withColumn("escaped", byte.has_escapes("text"))
+
+
 # directories ---------------------------------------------------------------------------
 
 
@@ -218,6 +226,12 @@ def unit_directories(spark, d):
     return _listed(spark, d).select("page_id", files.unit("path", "/media/games").alias("unit"))
 
 
+@query("SELECT page_id, page_id % 6 < 4 AND page_id % 5 <> 0 AS walked FROM pages")
+def walked_tree(spark, d):
+    path = F.expr("concat('/media/_Arcade/', CASE WHEN page_id % 5 = 0 THEN '_organized/' ELSE '' END, repeat('a/', CAST(page_id % 6 AS INT)), page_id, '.mra')")
+    return table(spark, d, "pages").select("page_id", files.walked(path, "/media/_Arcade").alias("walked"))
+
+
 @query("SELECT page_id FROM pages WHERE page_id % 5 = 0 OR page_id % 4 = 1 OR page_id % 7 = 0")
 def changed_files(spark, d):
     listed = _listed(spark, d)

@@ -27,6 +27,13 @@ def unit(path, root: str, depth: int = 1) -> Column:
     return F.substring_index(rest, "/", depth)
 
 
+def walked(path, root: str, depth: int = 4, skipped: tuple[str, ...] = ("_organized",)) -> Column:
+    """Whether a walk of so many levels below the root meets a file, without the folders it skips."""
+    parts = F.split(F.regexp_replace(path, "^" + re.escape(root.rstrip("/") + "/"), ""), "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    return (F.size(parts) <= depth) & ~F.exists(folders, lambda p: p.isin(*skipped))
+
+
 def changed(listed: DataFrame, stored: DataFrame, path: str = "path") -> DataFrame:
     """Listed files whose size or time differs from the stored row, or that have none: what has to be hashed."""
     known = stored.select(path, F.col("length").alias("_length"), F.col("modificationTime").alias("_time"))
