@@ -285,7 +285,7 @@ pairs AS (SELECT f.p_partkey AS file_id, i.p_partkey AS item, i.p_brand AS i_gro
   FROM f JOIN i ON f.p_size = i.p_size AND substr(f.w[1], 1, 1) = substr(i.w[1], 1, 1))
 SELECT file_id, item, signal::INT AS signal FROM (SELECT *, len(list_distinct(list(i_group) OVER (PARTITION BY file_id))) AS g FROM pairs WHERE signal IS NOT NULL) WHERE g <= 4""")
 def fuzzy_size_bucket(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("size"), F.split("p_name", " ").alias("words"), F.col("p_brand").alias("group_id"))
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("size"), text.words(F.concat("p_name", F.lit(" v1.2 (x)"))).alias("words"), F.col("p_brand").alias("group_id"))
     files, items = rows.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("file_id"), "size", "words"), rows.where("p_partkey % 2 = 1")
     return fuzzy.fuzzy_join(files, items).select("file_id", F.col("i_p_partkey").alias("item"), "signal")
 
