@@ -53,6 +53,32 @@ def _overlapping(seq: np.ndarray) -> np.ndarray:
     return same[(same - start) % 2 == 1]
 
 
+def _apart(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Places, in order, of pairs (a, b), most frequent first, in which every symbol is a left or a right one alone, or both in a pair with itself.
+
+    A symbol takes the side that it has in its first pair; pairs that agree with that are
+    chosen, and the sides of their symbols stay while the others are gone through again.
+    """
+    left, right = np.zeros(size, bool), np.zeros(size, bool)
+    chosen, rest = np.zeros(len(a), bool), np.arange(len(a))
+    as_left, as_right = np.empty(size, np.int64), np.empty(size, np.int64)
+    for _ in range(4):
+        x, y = a[rest], b[rest]
+        may = ~right[x] & ~left[y] & ((x != y) | ~left[x] & ~right[x])
+        rest, x, y = rest[may], x[may], y[may]
+        if not len(rest):
+            break
+        as_left[x] = as_right[x] = as_left[y] = as_right[y] = len(a)
+        as_left[x[::-1]], as_right[y[::-1]] = rest[::-1], rest[::-1]
+        as_left[left] = as_right[right] = -1  # sides that are taken come first
+        own = (x == y) & (as_left[x] == rest) & (as_right[x] == rest)
+        fits = own | (x != y) & (as_left[x] < as_right[x]) & (as_right[y] < as_left[y])
+        chosen[rest[fits]] = True
+        left[x[fits]] = right[y[fits]] = True
+        rest = rest[~fits]
+    return np.flatnonzero(chosen)
+
+
 def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> bytes:
     """The payload of one shard; ids are below base. Goes on until no pair occurs min_count times."""
     seq, rules, shift = ids.astype(np.uint32), [], 16 if base <= 1 << 16 else 32
@@ -75,14 +101,7 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> bytes:
             top = np.argpartition(-counts, 4 * BATCH)[: 4 * BATCH]
             pairs, counts = pairs[top], counts[top]
         pairs = pairs[np.lexsort((pairs, -counts))]
-        a, b = (pairs >> kind(shift)).astype(np.int64), (pairs & mask).astype(np.int64)
-        # a symbol is a left or a right one, as in the most frequent pair that it is in, or both in a pair with itself
-        rank = np.arange(len(pairs))
-        as_left, as_right = np.full(base + len(rules), len(pairs)), np.full(base + len(rules), len(pairs))
-        as_left[a[::-1]], as_right[b[::-1]] = rank[::-1], rank[::-1]
-        own = (a == b) & (as_left[a] == rank) & (as_right[a] == rank)
-        apart = (a != b) & (as_left[a] < as_right[a]) & (as_right[b] < as_left[b])
-        chosen = np.sort(pairs[own | apart][:BATCH])
+        chosen = np.sort(pairs[_apart((pairs >> kind(shift)).astype(np.int64), (pairs & mask).astype(np.int64), base + len(rules))][:BATCH])
         is_left, is_right = np.zeros(base + len(rules), bool), np.zeros(base + len(rules), bool)
         is_left[(chosen >> kind(shift)).astype(np.int64)] = True
         is_right[(chosen & mask).astype(np.int64)] = True
