@@ -291,7 +291,9 @@ def score(docs: DataFrame) -> DataFrame:
     tokens = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
     bits = max(LEAST_BUCKETS, tokens // BUCKET).bit_length() - 1
     asks = chunks.mapInArrow(_asks(bits), ASKS)
-    answers = written(asks.groupBy("order", "bucket").applyInArrow(_answer, ANSWERS), "lm-answers")
+    # tasks follow the buckets, a few each, however many shuffle partitions are set
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (2 << bits) // 4)
+    answers = written(asks.repartition(tasks, "order", "bucket").groupBy("order", "bucket").applyInArrow(_answer, ANSWERS), "lm-answers")
     words = answers.where(F.col("order") == 1)
     totals = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct_counted", "distinct_trained", "n_counted", "n_trained", "unseen")]).first()
     levels = np.zeros(BINS)
