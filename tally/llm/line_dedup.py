@@ -58,8 +58,8 @@ MIN_WORDS = 5
 SIMILARITY = 0.8
 BUDGET = 3
 SHORT = 32
-#: (lines up to which, blocks that agree): 10 keys of 25 bits, 20 of 32, 35 of 36, 56 of 40. Lines by chance in a key stay under one in a hundred.
-BLOCKS = ((1 << 18, 2), (1 << 25, 3), (1 << 29, 4), (1 << 62, 5))
+#: (lines up to which, blocks that agree): 10 keys of 25 bits, 20 of 32, 35 of 36, 56 of 40. Few keys have more than two lines by chance.
+BLOCKS = ((1 << 22, 2), (1 << 28, 3), (1 << 32, 4), (1 << 62, 5))
 #: Lines in a key from which it is cut by the bits outside it.
 HOT = 64
 #: Lines that are repeated over 1 / MOST of all lines each.
@@ -178,9 +178,15 @@ def _ids(lines: DataFrame) -> DataFrame:
     return written(lines.groupBy("id").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.min("sh").alias("sh"), F.first("more").alias("more")), "lines-ids")
 
 
-def _shared(keyed: DataFrame, label: str) -> DataFrame:
-    """(key, block, id, sh, n) of the rows (key, block, id, sh) whose key has n > 1 of them."""
-    keys = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-keys")
+def _shared(keyed: DataFrame, label: str, blocks: bool) -> DataFrame:
+    """(key, block, id, sh, n) of the rows (key, block, id, sh) whose key has n > 1 of them.
+
+    Of block keys, those of two lines alone that differ in too many bits are left out at
+    once: that is most of what meets by chance.
+    """
+    counts = [F.count("*").alias("n"), *([F.bit_xor("sh").alias("x")] if blocks else [])]
+    keys = keyed.groupBy("key").agg(*counts).where("n > 1")
+    keys = written((keys.where((F.col("n") > 2) | (F.bit_count("x") <= BUDGET)) if blocks else keys).select("key", "n"), f"{label}-keys")
     small = keys.count() <= BROADCAST_KEYS
     found = written(keyed.join(F.broadcast(keys) if small else keys, "key").select("key", "block", "id", "sh", "n"), label)
     drop_table(keys)
@@ -192,19 +198,19 @@ def _members(ids: DataFrame) -> DataFrame:
     n = ids.count()
     masks = block_masks(BUDGET, next(agree for most, agree in BLOCKS if n <= most))
     keys = [F.struct(F.xxhash64(F.lit(k), F.col("sh").bitwiseAND(signed(m))).alias("key"), F.lit(k).alias("block")) for k, m in enumerate(masks)]
-    more = F.transform("more", lambda x: F.struct(x.alias("key"), F.lit(None).cast("int").alias("block")))
+    further = F.transform("more", lambda x: F.struct(x.alias("key"), F.lit(None).cast("int").alias("block")))
     # dealt out so that a task counts some KEYS keys in memory
     rows = ids.select("id", "sh").repartition(max(1, n * len(keys) // KEYS))
     blocks = rows.select(F.explode(F.array(*keys)).alias("k"), "id", "sh").select("k.key", "k.block", "id", "sh")
-    others = ids.where(F.size("more") > 0).select(F.explode(more).alias("k"), "id", "sh").select("k.key", "k.block", "id", "sh")
-    found = _shared(blocks.unionByName(others), "lines-shared")
-    hot = found.where(f"n > {HOT} and block is not null")
+    others = ids.where(F.size("more") > 0).select(F.explode(further).alias("k"), "id", "sh").select("k.key", "k.block", "id", "sh")
+    near, more = _shared(blocks, "lines-shared", True), _shared(others, "lines-short", False)
+    hot = near.where(f"n > {HOT}")
     if hot.isEmpty():
-        return found
+        return near.unionByName(more)
     rest = [[signed(p) for p in parts([b for b in range(64) if not m >> b & 1], BUDGET + 1)] for m in masks]
     outside = F.get(F.array(*[F.array(*r) for r in rest]), F.col("block"))
     cut = hot.select(F.explode(F.transform(outside, lambda p: F.xxhash64("key", p, F.col("sh").bitwiseAND(p)))).alias("key"), "block", "id", "sh")
-    return found.where(f"n <= {HOT} or block is null").unionByName(_shared(cut, "lines-cut"))
+    return near.where(f"n <= {HOT}").unionByName(more).unionByName(_shared(cut, "lines-cut", True))
 
 
 def _close(a: str, b: str) -> Column:
