@@ -35,6 +35,8 @@ from ._common import written
 FIT = 400
 #: Words a language that an epoch is fitted on, at most.
 FIT_WORDS = 96_000
+#: Parts of a language's words that are ranked each alone before all are.
+PARTS = 32
 LEXICON = 300
 BITS = 15
 DIMENSIONS = 1 << BITS
@@ -334,6 +336,10 @@ def fit(docs: DataFrame) -> Model | None:
     levels = counts.groupBy("lang", level.alias("level")).agg(F.count("*").alias("k")).withColumn("above", F.sum("k").over(reach) - F.col("k"))
     bounds = levels.where(F.col("above") < LEXICON).groupBy("lang").agg(F.min("level").alias("least"))
     counts = counts.join(bounds, "lang").where(level >= F.col("least")).drop("least")
+    # ranked in parts first: what a language's own ranking reads does not grow with words or partitions
+    part = F.pmod(F.xxhash64("word"), F.lit(PARTS))
+    best = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "word")
+    counts = counts.withColumn("part", part).withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEXICON).drop("k", "part")
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     frequent = counts.withColumn("k", F.row_number().over(top)).where(F.col("k") <= LEXICON).collect()  # LEXICON words a language
     langs = sorted({r["lang"] for r in frequent})
