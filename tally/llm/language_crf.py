@@ -339,7 +339,8 @@ def fit(docs: DataFrame) -> Model | None:
     # ranked in parts first: what a language's own ranking reads does not grow with words or partitions
     part = F.pmod(F.xxhash64("word"), F.lit(PARTS))
     best = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "word")
-    counts = counts.withColumn("part", part).withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEXICON).drop("k", "part")
+    # dealt by both: left to itself, Spark deals by the language once for both rankings
+    counts = counts.withColumn("part", part).repartition("lang", "part").withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEXICON).drop("k", "part")
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     frequent = counts.withColumn("k", F.row_number().over(top)).where(F.col("k") <= LEXICON).collect()  # LEXICON words a language
     langs = sorted({r["lang"] for r in frequent})
