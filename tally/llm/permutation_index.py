@@ -9,7 +9,9 @@ and the ten nearest of each block are merged.
 
 Index rows lie in blocks of about ``BLOCK`` by hash, queries in blocks of
 ``QUERIES``; each pair of a query block and an index block is one piece of work
-of bounded size, so that no inverted file of the whole table is ever held. Equal
+of bounded size, so that no inverted file of the whole table is ever held. Pairs
+are made by the tasks that read both tables of blocks, without shuffle or
+broadcast, and a task sends on the nearest of all its blocks. Equal
 vectors of a block are one entry with its least vec_ids, as many as a result can
 hold: a vector that a third of all rows share can't crowd out others.
 
@@ -19,7 +21,7 @@ brute force is in the README.
 
 Nothing is pruned before the ranking: on vectors without clusters, such as those of
 the test tables, files of the nearest pivots alone miss too many neighbours. Work
-grows with queries times rows; an index block moves once for each ``QUERIES`` queries.
+grows with queries times rows; an index block is read once for each task of query blocks.
 
 Defined results: vectors null, zero, or with null or non-finite components take no
 part, nor do those of another length than most have (the longer one of two equally
@@ -45,6 +47,8 @@ QUERIES = 4096
 SHARE = 0.2
 RERANK = 200
 NEAREST = 10
+#: Files of a table of blocks, at most.
+MOST_FILES = 10_000
 
 
 def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
@@ -124,9 +128,21 @@ def _pack(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "ids": pa.array([ids.tobytes()], pa.binary()), "rows": pa.array([rows.tobytes()], pa.binary()), "vectors": pa.array([flat.tobytes()], pa.binary())})
 
 
+def _packed(rows: DataFrame, blocks: int, label: str) -> DataFrame:
+    """Blocks as a table with a row each, in files of a few blocks, so that each is read by a task of its own or nearly so."""
+    return written(rows.repartition(min(blocks, MOST_FILES), "block").groupBy("block").applyInArrow(_pack, PACKED), label)
+
+
+def _merged(a: tuple, b: tuple, n: int) -> tuple:
+    """The n nearest rows of two answers to one query vector from different blocks."""
+    ids, rows, distance = (np.concatenate(pair) for pair in zip(a, b, strict=True))
+    best = np.lexsort((rows, ids, distance))[:n]
+    return ids[best], rows[best], distance[best]
+
+
 def _search(pivots: np.ndarray, nearest: int):
     def run(batches):
-        last, block = None, None
+        last, block, best = None, None, {}
         for batch in batches:
             for row in batch.to_pylist():
                 if row["block"] != last:
@@ -136,10 +152,14 @@ def _search(pivots: np.ndarray, nearest: int):
                 q_ids, queries = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"]).reshape(-1, pivots.shape[1])
                 q_orders = orders(queries, pivots)
                 found = [block.nearest(i, q, o, nearest) for i, q, o in zip(q_ids.tolist(), queries, q_orders, strict=True)]
-                sizes = [len(f[0]) for f in found]
-                if sum(sizes):
-                    columns = [np.repeat(q_ids, sizes), *(np.concatenate([f[k] for f in found]) for k in range(3))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "row", "score"])
+                # a task sends the nearest of all its blocks
+                before = best.get(row["q_block"], (q_ids, None))[1]
+                best[row["q_block"]] = q_ids, found if before is None else [_merged(a, b, nearest) for a, b in zip(before, found, strict=True)]
+        for q_ids, found in best.values():
+            sizes = [len(f[0]) for f in found]
+            if sum(sizes):
+                columns = [np.repeat(q_ids, sizes), *(np.concatenate([f[k] for f in found]) for k in range(3))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "row", "score"])
 
     return run
 
@@ -148,7 +168,8 @@ def search(vectors: DataFrame, every: int = 100, nearest: int = NEAREST) -> Data
     """query_id, rank, vec_id, score: the nearest rows of those whose vec_id is divisible by ``every``."""
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     rows = usable(vectors)
-    sizes = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).limit(1).collect()
+    counts = F.count("*").alias("count"), F.count_if(F.col("vec_id") % every == 0).alias("asked")
+    sizes = rows.groupBy(F.size("v").alias("width")).agg(*counts).orderBy(F.desc("count"), F.desc("width")).limit(1).collect()
     if not sizes:
         return rows.sparkSession.createDataFrame([], schema)
     width, n = sizes[0]["width"], sizes[0]["count"]
@@ -157,15 +178,13 @@ def search(vectors: DataFrame, every: int = 100, nearest: int = NEAREST) -> Data
     picked = least(rows.select("vec_id", "v"), 4 * PIVOTS, n, "vec_id", "v").collect()  # a fixed number of pivots
     pivots = np.unique(np.array([r["v"] for r in picked]), axis=0)
     pivots = pivots[np.random.default_rng(1).permutation(len(pivots))[:PIVOTS]]
-    blocks, q_blocks = -(-n // BLOCK), -(-n // (every * QUERIES))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, blocks))).cast("int"))
-    packed = written(dealt.groupBy("block").applyInArrow(_pack, PACKED), "ann-blocks")
-    asked = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(max(1, q_blocks))).cast("int"))
-    asked = asked.groupBy("block").applyInArrow(_pack, PACKED).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    # each query block goes to each index block: rows of this table are blocks, not vectors
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1))))
-    work = packed.join(asked, "block").repartition("block", "q_block").sortWithinPartitions("block")
-    found = written(work.select("block", "ids", "rows", "vectors", "q_ids", "q_vectors").mapInArrow(_search(pivots, nearest), FOUND), "ann-found")
+    blocks, q_blocks = -(-n // BLOCK), max(1, -(-sizes[0]["asked"] // QUERIES))
+    packed = _packed(rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")), blocks, "ann-blocks")
+    asked = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(q_blocks)).cast("int"))
+    asked = _packed(asked, q_blocks, "ann-queries").select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    # each query block meets each index block where it is read: nothing is copied to the driver or to disk for it
+    work = packed.crossJoin(asked.hint("shuffle_replicate_nl"))
+    found = written(work.select("block", "ids", "rows", "vectors", "q_block", "q_ids", "q_vectors").mapInArrow(_search(pivots, nearest), FOUND), "ann-found")
     # repeated query rows find the same rows: one answer, the nearest, for each query_id and found row
     once = found.groupBy("query_id", "row").agg(F.min("score").alias("score"), F.min("vec_id").alias("vec_id"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id", "row")

@@ -588,6 +588,27 @@ def test_permutation_index_of_repeated_rows(spark):
         assert got[q] == [(k + 1, i, d) for k, (d, i) in enumerate(near)]
 
 
+def test_permutation_index_of_many_blocks(spark, monkeypatch):
+    """Pairs of query and index blocks are made where they are read: the driver sends no copy of the queries for each index block."""
+    monkeypatch.setattr(permutation_index, "BLOCK", 32)
+    monkeypatch.setattr(permutation_index, "QUERIES", 8)
+    monkeypatch.setattr(permutation_index, "RERANK", 32)
+    x = np.random.default_rng(3).normal(size=(3000, 16)).round(3)
+    table = spark.createDataFrame([(k, x[k].tolist()) for k in range(3000)], "vec_id bigint, embedding array<double>").repartition(3)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "100k")
+    try:
+        got = [tuple(r) for r in permutation_index.search(table).orderBy("query_id", "rank").collect()]
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    want = []
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        near = [k for k in np.lexsort((np.arange(3000), d)) if k != q][:10]
+        want += [(q, r + 1, int(k), d[k]) for r, k in enumerate(near)]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want])
+
+
 # op9 ---------------------------------------------------------------------------
 
 
