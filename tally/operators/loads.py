@@ -156,11 +156,17 @@ def alternative_only(groups: DataFrame, entries: DataFrame, alternative: Column)
 
 
 def rematch_stored(files: DataFrame, items: DataFrame) -> DataFrame:
-    """(file_id, item_id, tier) of files by hashes they already have, strongest first: sha1, md5, crc32 with size; files without hashes are left out."""
+    """(file_id, item_id, tier) of files by hashes they already have, strongest first: sha1, md5, crc32 with size; files without hashes are left out.
+
+    Of the items of a hash the least id alone can be a file's match, so each hash has
+    one item before it meets the files: hits are at most a row for each file and tier.
+    """
     parts = []
     for tier, key in enumerate((["sha1"], ["md5"], ["crc32", "size"])):
-        f = files.where(" and ".join(f"{k} is not null" for k in key)).select(F.col("id").alias("file_id"), *key)
-        parts.append(f.join(items.where("not retired").select(F.col("id").alias("item_id"), *key), key).select("file_id", "item_id", F.lit(tier).alias("tier")))
+        has = " and ".join(f"{k} is not null" for k in key)
+        f = files.where(has).select(F.col("id").alias("file_id"), *key)
+        first = items.where(f"not retired and {has}").groupBy(*key).agg(F.min("id").alias("item_id"))
+        parts.append(f.join(first, key).select("file_id", "item_id", F.lit(tier).alias("tier")))
     hits = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return first_per_key(hits, ["file_id"], [F.col("tier"), F.col("item_id")])
 

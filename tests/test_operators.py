@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tally.operators import bind, diff, groups, match, pick, relational, state
+from tally.operators import bind, diff, groups, loads, match, pick, relational, state
 from tally.sources import files as fs
 
 
@@ -108,3 +108,41 @@ def test_zip_location(spark):
 def test_expire_needs_both(spark):
     ops = df(spark, [(25, 10.0), (25, 9e4), (1, 9e4)], "tries int, age double")
     assert state.expire(ops, "tries", "age").count() == 2
+
+
+def test_rematch_meets_one_item_a_hash(spark):
+    """Hits do not grow with files times items of a hash; the least live item of the strongest hash is the match."""
+    hashes = ["cast(null as bigint) as size", "cast(null as bigint) as crc32"]
+    files = spark.range(1000).selectExpr("id", *hashes, "if(id % 2 = 0, id % 3, null) as md5", "if(id % 5 = 0, id % 2, null) as sha1")
+    items = spark.range(1000).selectExpr("id", *hashes, "id % 3 as md5", "if(id % 7 = 0, id % 2, null) as sha1", "id < 10 as retired")
+    got = loads.rematch_stored(files, items)
+    live = items.where("not retired").collect()
+    want = set()
+    for f in files.collect():
+        for tier, k in enumerate(("sha1", "md5")):
+            hit = [i["id"] for i in live if f[k] is not None and i[k] == f[k]]
+            if hit:
+                want.add((f["id"], min(hit), tier))
+                break
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 600
+    # rows that reach the last pick: at most one for each file and tier
+    joins = [n for n in spark_nodes(got) if n.nodeName().endswith("Join")]
+    assert joins and all(n.metrics().apply("numOutputRows").value() <= 1000 for n in joins)
+
+
+def spark_nodes(df):
+    """Physical operators of a collected frame, with their metrics."""
+    found = []
+
+    def walk(n):
+        name = n.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(n.executedPlan())
+        if "QueryStage" in name:
+            return walk(n.plan())
+        found.append(n)
+        for k in range(n.children().size()):
+            walk(n.children().apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
