@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..functions import hashing, naming, text
 from ..operators import bind, browse, diff, fuzzy, groups, match, pick, quality, relational, state
 from ..streaming import streams
@@ -663,10 +663,28 @@ def _stream(spark, d, name: str) -> DataFrame:
 
 
 def _drained(df: DataFrame, mode: str) -> DataFrame:
-    """All that a stream gives on the files there are now."""
-    sink = f"stream_{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(sink).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(sink)
+    """All that a stream gives on the files there are now, as a table in the shared folder: nothing of it is held by the driver.
+
+    Each micro-batch is a folder, written anew if it is run again; in complete mode
+    the last one holds all. State is kept in RocksDB, on the executors' disks.
+    """
+    spark = df.sparkSession
+    path = tables.new_path(spark, "stream")
+    tables.goes_at_exit(spark, path)
+    setting, batches = "spark.sql.streaming.stateStore.providerClass", []
+    before = spark.conf.get(setting)
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/out/{n}")
+        batches.append(f"{path}/out/{n}")
+
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    last = dict.fromkeys(batches) if mode == "append" else batches[-1:]
+    return spark.read.schema(df.schema).parquet(*last) if last else spark.createDataFrame([], df.schema)
 
 
 @query(ORACLES["throttle_per_phase"].replace("len(ev)::BIGINT AS events FROM f", "FROM f").replace("s.kept AS kept, ", "s.kept AS kept "))

@@ -52,3 +52,17 @@ def test_windows_and_sessions(spark, tmp_path):
     assert sorted((r["user"], r["n"]) for r in out.collect()) == sorted((k, 15) for k in range(4) for _ in range(2))
     out = run(streams.sessions(stream, "user", "ts", "2 minutes", "10 hours"), "complete", "sessions")
     assert sorted(out.collect()) == sorted(state.session_runs(rows, ["user"], "ts", "2 minutes").collect())
+
+
+def test_drained_streams_stay_off_the_driver(spark, tmp_path):
+    """What a stream gives is read from files, over all micro-batches or from the last complete one; no table is kept by the driver."""
+    from tally.plans.queries import _drained
+
+    rows, stream = events(spark, tmp_path)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    kept = _drained(streams.throttled(stream, "user", "phase", "s", "event_id", 0.0), "append")
+    out = _drained(streams.sessions(stream, "user", "ts", "2 minutes", "10 hours"), "complete")
+    assert kept.count() == 120 and sorted(out.collect()) == sorted(state.session_runs(rows, ["user"], "ts", "2 minutes").collect())
+    for df in (kept, out):
+        assert df.inputFiles() and "LogicalRelation" in df._jdf.queryExecution().analyzed().getClass().getName()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
