@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +19,20 @@ def throttled(events: DataFrame, key: str, phase: str, seconds: str, event_id: s
 
     def step(keys, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, at = state.get if state.exists else (None, float("-inf"))
-        rows = pd.concat(list(batches)).sort_values([seconds, event_id])
-        kept = []
-        for r in rows.itertuples(index=False):
-            s, p = getattr(r, seconds), getattr(r, phase)
+        parts = list(batches)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        # arrays, since a frame's sort and rows cost more than a key's events
+        at_s, ids = rows[seconds].to_numpy(), rows[event_id].to_numpy()
+        order = np.lexsort((ids, at_s))
+        phases = rows[phase].to_numpy(dtype=object)[order].tolist()
+        passed = []
+        for k, (p, s) in enumerate(zip(phases, at_s[order].tolist(), strict=True)):
             if last != p or s - at >= interval:
                 last, at = p, s
-                kept.append((keys[0], p, s, getattr(r, event_id)))
+                passed.append(k)
         state.update((last, at))
-        yield pd.DataFrame(kept, columns=[key, phase, seconds, event_id])
+        if passed:
+            yield rows.iloc[order[passed]][[key, phase, seconds, event_id]]
 
     kind = dict(events.dtypes)
     schema = f"{key} {kind[key]}, {phase} string, {seconds} double, {event_id} bigint"
