@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
 from .relational import first_per_key
 
 
@@ -48,23 +49,21 @@ ONE_TASK = 1 << 17
 def numbered(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Dense numbers from 1 in key order, without one task for all rows beyond ONE_TASK.
 
-    Rows fall into ranges between fixed bounds, which are taken from rows of low hash;
-    a number is the rank in a range plus the counts of earlier ones. The bounds are
-    values in the plan, so both readings of df see the same ranges.
+    Rows are dealt out to sorted ranges and written once with their place, a range and a
+    rank in it; a number is the rank plus the counts of earlier ranges. All readers see
+    the same ranges, and none sorts again.
     """
     n = df.count()
     if n <= ONE_TASK:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("long"))
-    parts = -(-n // ONE_TASK)
-    low = F.pmod(F.xxhash64(*keys), F.lit(max(1, n // (16 * parts)))) == 0
-    at = F.struct(*keys)
-    picked = df.where(low).select(at.alias("k")).distinct().orderBy("k")  # some 16 rows a range
-    bounds = F.broadcast(picked.agg(F.array_sort(F.collect_list("k")).alias("_bounds")))  # one row
-    ranged = df.crossJoin(bounds).withColumn("_part", F.size(F.filter("_bounds", lambda b: b <= at))).drop("_bounds")
-    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
+    ranged = df.repartitionByRange(-(-n // ONE_TASK), *keys).sortWithinPartitions(*keys)
+    # the partition above 33 bits, the row in it below
+    ranged = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    firsts = ranged.groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"))
-    return ranked.join(firsts, "_part").withColumn(name, F.col("_first") + F.col("_rank")).drop("_part", "_rank", "_first")
+    firsts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"))
+    rank = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranged.withColumn("_part", part).join(F.broadcast(firsts), "_part").withColumn(name, F.col("_first") + rank).drop("_part", "_at", "_first")
 
 
 def upsert_changed(base: DataFrame, delta: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

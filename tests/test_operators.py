@@ -146,3 +146,16 @@ def spark_nodes(df):
 
     walk(df._jdf.queryExecution().executedPlan())
     return found
+
+
+def test_numbered_sorts_once(spark, monkeypatch):
+    """Beyond one task's rows, numbers are read from a table with ranges: no look at all bounds for each row, no second sort."""
+    monkeypatch.setattr(diff, "ONE_TASK", 100)
+    rows = spark.range(1000).select(F.when(F.col("id") % 50 != 0, F.col("id") * 7 % 1000).alias("k"), "id")
+    got = diff.numbered(rows, ["k", "id"], "n")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.inputFiles() and "lambda" not in plan and "row_number" not in plan
+    key = lambda r: (r["k"] is not None, r["k"], r["id"])  # noqa: E731  nulls first
+    want = sorted(rows.collect(), key=key)
+    assert [(r["k"], r["id"]) for r in sorted(got.collect(), key=lambda r: r["n"])] == [tuple(r) for r in want]
+    assert sorted(r["n"] for r in got.collect()) == list(range(1, 1001)) and got.schema["n"].dataType.typeName() == "long"
