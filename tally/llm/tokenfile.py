@@ -91,21 +91,28 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> bytes:
         overlap = _overlapping(seq)
         ordered = np.delete(codes, overlap) if len(overlap) else codes.copy()
         ordered.sort()
-        edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(edges, len(ordered)))
-        often = np.flatnonzero(counts >= min_count)
-        if not len(often):
+        m = min_count - 1
+        if len(ordered) <= m:
             break
-        pairs, counts = ordered[edges[often]], counts[often]
+        # of runs of min_count and more alone: where they start, and where they end
+        edge = np.ones(len(ordered) + 1, bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=edge[1:-1])
+        long = ordered[m:] == ordered[: len(ordered) - m]
+        starts = np.flatnonzero(long & edge[: len(long)])
+        if not len(starts):
+            break
+        pairs, counts = ordered[starts], np.flatnonzero(long & edge[m + 1 :]) + min_count - starts
         if len(pairs) > 4 * BATCH:
             top = np.argpartition(-counts, 4 * BATCH)[: 4 * BATCH]
             pairs, counts = pairs[top], counts[top]
         pairs = pairs[np.lexsort((pairs, -counts))]
         chosen = np.sort(pairs[_apart((pairs >> kind(shift)).astype(np.int64), (pairs & mask).astype(np.int64), base + len(rules))][:BATCH])
-        is_left, is_right = np.zeros(base + len(rules), bool), np.zeros(base + len(rules), bool)
-        is_left[(chosen >> kind(shift)).astype(np.int64)] = True
-        is_right[(chosen & mask).astype(np.int64)] = True
-        may = is_left[seq[:-1]] & is_right[seq[1:]]
+        # bit 1 of a symbol: left of a chosen pair, bit 2: right; each symbol of the text is looked up once
+        side = np.zeros(base + len(rules), np.uint8)
+        side[(chosen >> kind(shift)).astype(np.int64)] |= 1
+        side[(chosen & mask).astype(np.int64)] |= 2
+        sides = side.take(seq)
+        may = (sides[:-1] & (sides[1:] >> 1)).view(bool)
         may[overlap] = False
         maybe = np.flatnonzero(may)
         at = np.searchsorted(chosen, codes[maybe])
