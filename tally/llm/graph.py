@@ -2,8 +2,9 @@
 
 Alternating stars: the large star links the larger neighbours of a node to the
 smallest one, the small star its smaller ones, until the edges are stars around
-the smallest node of each component. Every round is a table in the shared
-folder. Minima are pre-aggregated, and the joins back to the edges are plain
+the smallest node of each component: every node has one smaller neighbour, which
+has none. Every round is two tables in the shared folder, whose rows say whether
+either did not hold. Minima are pre-aggregated, and the joins back to the edges are plain
 equi-joins whose hot keys adaptive execution splits.
 """
 
@@ -17,28 +18,24 @@ from ._common import drop_table, written
 ROUNDS = 60
 
 
-def _mark(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 40)))).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) edges of any one orderable type -> (node, root): every node that has an edge, and the least node of its component."""
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
-    mark = _mark(now)
+    stars = False
     for _ in range(ROUNDS):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # u > v in every edge: the least of v and its neighbours is the least of v and its smaller ones
+        least = now.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+        large = now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved")).distinct()
         large = written(large, "edges")
+        if stars and large.where("moved").isEmpty():
+            drop_table(large)
+            break
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("more"))
+        after = written(small.unionByName(least.select("u", F.col("m").alias("v"), F.lit(False).alias("more"))).distinct(), "edges")
         drop_table(large)
         drop_table(now)
-        now, before, mark = after, mark, _mark(after)
-        if mark == before:
-            break
+        now, stars = after, after.where("more").isEmpty()
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

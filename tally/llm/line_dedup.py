@@ -48,6 +48,9 @@ beside a struct of the caller's.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +74,8 @@ BROADCAST_KEYS = 1 << 20
 _SUMS = (1 << 62) - 1
 #: The low bits of four and of two counters in a long, and the hashes that 16 bits count.
 _ONES16, _ONES32, MOST_COUNTED = 0x0001000100010001, 0x0000000100000001, 16_383
+#: Hashes of a list that are added up before they reach its counters.
+EACH = 8
 
 
 def folded(text: Column) -> Column:
@@ -107,15 +112,24 @@ def _majority(sums: list[Column], ones: int, bit: int) -> Column:
     return _or([F.shiftleft(F.shiftrightunsigned((s + lift).bitwiseAND(F.lit(ones << bit)), bit), k) for k, s in enumerate(sums)])
 
 
+def eights(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n (the size of the list), part (MOST_COUNTED hashes, about) and h0, h1, ...: EACH hashes a row of rows (keys, hashes), the last ones 0."""
+    n = F.size("hashes")
+    rows = lists.where(n > 0).select(*keys, n.alias("n"), "hashes", F.explode(F.sequence(F.lit(0), n - 1, F.lit(EACH))).alias("at"))
+    hashes = [F.coalesce(F.get("hashes", F.col("at") + j), F.lit(0).cast("long")).alias(f"h{j}") for j in range(EACH)]
+    return rows.select(*keys, "n", F.floor(F.col("at") / MOST_COUNTED).alias("part"), *hashes)
+
+
 def simhashes(lists: DataFrame, keys: list[str], label: str = "simhashes") -> DataFrame:
     """keys and sh of rows (keys, hashes): the bits that over half of a list's hashes have, for lists of any length.
 
-    Counters of 16 bits, four in a sum, add up MOST_COUNTED hashes each; only lists longer than that go on
-    to counters of 32 bits. The sums are compiled code over rows of one hash; a loop over an array is not.
+    Counters of 16 bits, four in a sum, add up some MOST_COUNTED hashes each; only lists longer than that go on
+    to counters of 32 bits. The sums are compiled code over rows of EACH hashes, so that a list is looked up
+    once for so many; a loop over an array is not compiled.
     """
-    rows = lists.select(*keys, F.size("hashes").alias("n"), F.posexplode("hashes").alias("at", "h"))
-    rows = rows.select(*keys, "n", F.floor(F.col("at") / MOST_COUNTED).alias("part"), "h")
-    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_ONES16))).alias(f"s{k}") for k in range(16)]
+    rows = eights(lists, keys)
+    counted = [[F.shiftrightunsigned(f"h{j}", k).bitwiseAND(F.lit(_ONES16)) for j in range(EACH)] for k in range(16)]
+    sums = [F.sum(reduce(add, c)).alias(f"s{k}") for k, c in enumerate(counted)]
     names = [f"s{k}" for k in range(16)]
     rows = rows.groupBy(*keys, "n", "part").agg(*sums)
     few = F.col("n") <= MOST_COUNTED
@@ -133,8 +147,8 @@ def short_keys(hashes: Column) -> Column:
     """Of a line of at most SHORT words: the sums of its words' hashes without one of them, and with all."""
 
     def keys(total: Column) -> Column:
-        less = F.transform(hashes, lambda h: (total - h.bitwiseAND(F.lit(_SUMS))).bitwiseAND(F.lit(_SUMS)))
-        return F.array_distinct(F.transform(F.array_append(less, total), lambda s: F.xxhash64(F.lit("short"), s)))
+        each = F.array_append(F.array_distinct(hashes), F.lit(0).cast("long"))
+        return F.transform(each, lambda h: (total - h.bitwiseAND(F.lit(_SUMS))).bitwiseAND(F.lit(_SUMS)))
 
     total = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: (a + h.bitwiseAND(F.lit(_SUMS))).bitwiseAND(F.lit(_SUMS)))
     return F.when(F.size(hashes) <= SHORT, _let(total, keys)).otherwise(F.array().cast("array<bigint>"))

@@ -125,6 +125,19 @@ def test_trie_join_loses_no_link():
         assert (simhash.trie_join(np.zeros(len(fps), int), fps) == want).all()
 
 
+def test_components_of_stars_chains_and_random_edges(spark):
+    """Edges that are stars already, none at all, loops, and graphs that need some rounds."""
+    rng = random.Random(3)
+    for pairs in ([], [(1, 1)], [(2, 1), (3, 1), (5, 4)], [(3, 1), (3, 2), (2, 0)], [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]):
+        pairs = [(u + 1, v + 1) for u, v in pairs]
+        names = sorted({x for p in pairs if p[0] != p[1] for x in p})
+        root, least = union(len(names), [(names.index(u), names.index(v)) for u, v in pairs if u != v]), {}
+        for k, x in enumerate(names):
+            least.setdefault(root[k], x)
+        got = [(r["node"], r["root"]) for r in components(spark.createDataFrame(pairs, "u bigint, v bigint")).collect()]
+        assert sorted(got) == [(x, least[root[k]]) for k, x in enumerate(names)]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 99), (7, 7)], "u bigint, v bigint")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
@@ -298,6 +311,25 @@ def test_line_simhash_of_any_length(spark):
         assert r["sh"] & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * int((v >> np.uint64(b) & np.uint64(1)).sum()) > len(v))
 
 
+def test_line_hashes_reach_their_counters_by_eights(spark):
+    """A row for eight hashes of a line, the last filled up with zeros, and every hash in one of them."""
+    rng = np.random.default_rng(5)
+    lists = [rng.integers(1, 2**63, n).tolist() for n in (1, 7, 8, 9, 64, 65, 20_000)] + [[]]
+    table = spark.createDataFrame([(len(x), x) for x in lists], "k int, hashes array<bigint>")
+    got = defaultdict(list)
+    for r in line_dedup.eights(table, ["k"]).collect():
+        got[r["k"]].append([r[f"h{j}"] for j in range(8)])
+    assert {k: len(v) for k, v in got.items()} == {len(x): -(-len(x) // 8) for x in lists if x}
+    assert all(sorted(h for r in got[len(x)] for h in r if h) == sorted(x) for x in lists)
+
+
+def test_line_dedup_of_short_lines_but_for_one_word(spark):
+    """Repeated words count as often as they stand: a replaced, an added and a lost one are found, two are not."""
+    lines = ["red red blue green white black", "red red blue green white brown", "red red blue green white black red", "red red blue green white", "blue red red blue pink pink black lime navy gold", "red pink pink black lime navy gold teal teal blue"]
+    table = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in line_dedup.dedup(table).collect()} == {0, 4, 5}
+
+
 def test_line_blocks_find_every_pair_within_the_budget():
     for budget, blocks in ((line_dedup.BUDGET, line_dedup.BLOCKS), (simhash.BUDGET, simhash.BLOCKS)):
         for _, agree in blocks:
